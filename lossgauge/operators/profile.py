@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossgauge.operators.ordered import GROUP_LIMIT, exact_quantiles
 from lossgauge.operators.stats import correlations
-from lossgauge.operators.summarize import numeric_columns
+from lossgauge.operators.summarize import frequency, numeric_columns
 
 QUANTILES = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -86,22 +86,21 @@ def profile_numeric(
 def profile_frequent(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:
     """(column, value, n, position): the ``top`` most frequent values of each column, ties by value.
 
-    One top-``top`` sort per column, so a column with very many values is not ranked in one task.
+    One top-``top`` sort per column over a scan of that column, so that a column with very many values is
+    not ranked in one task.
     """
-    counts = _pairs(df, columns, "string").filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
     leading = None
     for c in columns:
-        best = counts.filter(F.col("column") == c).orderBy(F.desc("n"), F.asc("value")).limit(top)
+        best = (
+            frequency(df, c)
+            .select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "n")
+            .orderBy(F.desc("n"), F.asc("value"))
+            .limit(top)
+        )
         leading = best if leading is None else leading.unionByName(best)
-    # at most top * len(columns) rows
-    ranked = leading.groupBy("column").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))).alias("best")
-    )
-    return ranked.select("column", F.posexplode("best").alias("place", "item")).select(
-        "column", F.col("item.v").alias("value"), (-F.col("item.k")).alias("n"), (F.col("place") + 1).alias("position")
-    )
+    # at most ``top`` rows per column
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value")))
+    return leading.withColumn("position", place)
 
 
 def profile_histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 50) -> DataFrame:
