@@ -9,6 +9,7 @@ from lossgauge.functions import special
 from lossgauge.operators import decide, stats
 from lossgauge.operators.enrich import attach_dimension
 from lossgauge.plans import policy_ranking as plan
+from lossgauge.session import stable
 from lossgauge.sources.delimited import read_table
 
 FEATURES = ["quantity", "discount", "tax"]
@@ -93,6 +94,7 @@ BASKETS = """
 
 
 def baskets(spark, sf):
+    """Written once: several aggregations read these rows."""
     lines = (
         read_table(spark, sf, "lineitem")
         .groupBy("l_orderkey")
@@ -107,11 +109,10 @@ def baskets(spark, sf):
     )
     customers = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     rows = attach_dimension(orders, lines, "o_orderkey", "l_orderkey")
-    rows = attach_dimension(rows, customers.withColumn("_c", F.col("c_custkey")), "o_custkey", "c_custkey").drop("_c")
+    rows = attach_dimension(rows, customers, "o_custkey", "c_custkey")
     rows = attach_dimension(rows, read_table(spark, sf, "nation"), "c_nationkey", "n_nationkey")
-    return attach_dimension(rows, read_table(spark, sf, "region"), "n_regionkey", "r_regionkey").drop(
-        "c_nationkey", "n_regionkey"
-    )
+    rows = attach_dimension(rows, read_table(spark, sf, "region"), "n_regionkey", "r_regionkey")
+    return stable(rows.drop("c_nationkey", "n_regionkey"))
 
 
 def nearest_sql(table: str, entity: str, group: str, features=FEATURES) -> str:
@@ -186,7 +187,11 @@ def welch_sql(table: str, pairs: str, entity: str, group: str, features=FEATURES
 def welch_by_group(spark, sf):
     rows = baskets(spark, sf)
     tests = stats.welch_tests(
-        rows, rows.select("n_name", "r_name").distinct(), entity="n_name", group="r_name", features=FEATURES
+        stats.sample_moments(rows, "n_name", FEATURES),
+        stats.sample_moments(rows, "r_name", FEATURES),
+        rows.select("n_name", "r_name").distinct(),
+        entity="n_name",
+        group="r_name",
     )
     return tidied(tidied(tests, ["statistic", "pval"], 6), ["dof"], 4)
 

@@ -1,6 +1,6 @@
 """Distribution functions.
 
-``normal_quantile`` is a Column expression because it meets many rows. The others are NumPy helpers for
+``with_normal_quantile`` uses Column expressions because it meets many rows. The others are NumPy helpers for
 rows that are already aggregated, one per test.
 """
 
@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,16 +85,29 @@ def polynomial(coefficients, x):
     return value
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution function, for 0 < p < 1."""
-    q = p - 0.5
-    near = 0.180625 - q * q
-    tail = F.sqrt(-F.log(F.least(p, 1 - p)))
+def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
+    """Add the inverse of the standard normal distribution function at ``p``, for 0 < p < 1.
+
+    Built in steps, so that each intermediate value is a column and is computed once.
+    """
+    steps = df.withColumn("_p", p).withColumns(
+        {
+            "_q": F.col("_p") - 0.5,
+            "_near": 0.180625 - (F.col("_p") - 0.5) * (F.col("_p") - 0.5),
+            "_tail": F.sqrt(-F.log(F.least(F.col("_p"), 1 - F.col("_p")))),
+        }
+    )
+    q, near, tail = F.col("_q"), F.col("_near"), F.col("_tail")
     centre = q * polynomial(CENTRE_TOP, near) / polynomial(CENTRE_BOTTOM, near)
-    middle = polynomial(MIDDLE_TOP, tail - 1.6) / polynomial(MIDDLE_BOTTOM, tail - 1.6)
-    far = polynomial(FAR_TOP, tail - 5.0) / polynomial(FAR_BOTTOM, tail - 5.0)
-    outer = F.when(tail <= 5.0, middle).otherwise(far)
-    return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * outer)
+    steps = steps.withColumns({"_t": F.when(tail <= 5.0, tail - 1.6).otherwise(tail - 5.0)})
+    middle = polynomial(MIDDLE_TOP, F.col("_t")) / polynomial(MIDDLE_BOTTOM, F.col("_t"))
+    far = polynomial(FAR_TOP, F.col("_t")) / polynomial(FAR_BOTTOM, F.col("_t"))
+    value = (
+        F.when(F.abs(q) <= 0.425, centre)
+        .when(tail <= 5.0, F.signum(q) * middle)
+        .otherwise(F.signum(q) * far)
+    )
+    return steps.withColumn(name, value).drop("_p", "_q", "_near", "_tail", "_t")
 
 
 def normal_upper(z: np.ndarray) -> np.ndarray:

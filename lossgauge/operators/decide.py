@@ -14,9 +14,16 @@ from lossgauge.operators.ordered import GROUP_LIMIT, running_total
 OWN, ACTUAL, NEAREST = "own", "actual group", "nearest group"
 
 
-def significant_counts(tests: DataFrame, entity: str, name: str) -> DataFrame:
-    """Number of significant features per entity; a test without a p-value does not count."""
-    return tests.groupBy(entity).agg(F.count_if(F.coalesce(F.col("significant"), F.lit(False))).alias(name))
+def significant_counts(tests: DataFrame, entity: str) -> DataFrame:
+    """(entity, actual_significant, nearest_significant): significant features against either group.
+
+    ``tests`` tells the two comparisons apart by ``role``. A test without a p-value does not count.
+    """
+    significant = F.coalesce(F.col("significant"), F.lit(False))
+    return tests.groupBy(entity).agg(
+        F.count_if((F.col("role") == ACTUAL) & significant).alias("actual_significant"),
+        F.count_if((F.col("role") == NEAREST) & significant).alias("nearest_significant"),
+    )
 
 
 def select_model(

@@ -186,28 +186,28 @@ def sample_moments(df: DataFrame, by: str, features: Sequence[str]) -> DataFrame
 
 
 def welch_tests(
-    df: DataFrame, pairs: DataFrame, *, entity: str, group: str, features: Sequence[str], level: float = 0.05
+    own: DataFrame, other: DataFrame, pairs: DataFrame, *, entity: str, group: str, level: float = 0.05
 ) -> DataFrame:
     """Unequal-variance t test of each entity against a group, per feature.
 
-    ``pairs`` says which (entity, group) to compare. The entity's own rows are part of the group's sample.
-    Result: (entity, group, feature, statistic, dof, pval, significant, reason); too few or constant
-    values give NULL and a reason.
+    ``own`` and ``other`` are the sample moments by entity and by group, ``pairs`` says which (entity, group) to
+    compare; its further columns stay. The entity's own rows are part of the group's sample. Result:
+    (pair columns, feature, statistic, dof, pval, significant, reason); too few or constant values give
+    NULL and a reason.
     """
-    own = sample_moments(df, entity, features).select(
+    own = own.select(
         entity, "feature", F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("variance").alias("v1")
     )
-    other = sample_moments(df, group, features).select(
+    other = other.select(
         group, "feature", F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("variance").alias("v2")
     )
-    joined = pairs.select(entity, group).join(own, entity).join(other, [group, "feature"])
+    joined = pairs.join(own, entity).join(other, [group, "feature"])
     a, b = F.try_divide(F.col("v1"), F.col("n1")), F.try_divide(F.col("v2"), F.col("n2"))
     error = a + b
     spread = F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n2") - 1)
     enough = (F.col("n1") > 1) & (F.col("n2") > 1)
     measured = joined.select(
-        entity,
-        group,
+        *pairs.columns,
         "feature",
         F.when(enough, F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(error))).alias("statistic"),
         F.when(enough, F.try_divide(error * error, spread)).alias("dof"),
@@ -215,25 +215,32 @@ def welch_tests(
     )
     tested = measured.withColumn("pval", special.student_two_sided(F.col("statistic"), F.col("dof")))
     return tested.select(
-        entity, group, "feature", "statistic", "dof", "pval", (F.col("pval") < level).alias("significant"), "reason"
+        *pairs.columns, "feature", "statistic", "dof", "pval", (F.col("pval") < level).alias("significant"), "reason"
     )
 
 
 RUN = 10_000
 
 
-def _score_sums(counted: DataFrame) -> DataFrame:
-    """Add the sums of normal scores, and of their squares, over the ranks ``lo``..``hi`` of one value."""
-    score = lambda i: special.normal_quantile((i.cast("double") - 0.375) / (F.col("_size") + 0.25))
-    single = score(F.col("lo"))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    many = F.aggregate(
-        F.sequence("lo", "hi"),
-        start,
-        lambda acc, i: F.struct((acc["s"] + score(i)).alias("s"), (acc["q"] + score(i) * score(i)).alias("q")),
+def _with_scores(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per rank ``i`` with the value at that rank and its normal score ``m``.
+
+    A value that occurs often covers a run of ranks. Long runs are first cut into pieces that spread
+    over the tasks.
+    """
+    short = ranked.filter(F.col("n") <= RUN)
+    pieces = (
+        ranked.filter(F.col("n") > RUN)
+        .withColumn("_from", F.explode(F.sequence("lo", "hi", F.lit(RUN))))
+        .withColumn("hi", F.least(F.col("_from") + (RUN - 1), F.col("hi")))
+        .withColumn("lo", F.col("_from"))
+        .drop("_from")
+        .repartition(*keys, "lo")
     )
-    scores = F.when(F.col("lo") == F.col("hi"), F.struct(single.alias("s"), (single * single).alias("q"))).otherwise(many)
-    return counted.withColumn("_scores", scores)
+    ranks = short.unionByName(pieces).select(
+        *keys, "value", F.col("_size").alias("n"), F.explode(F.sequence("lo", "hi")).alias("i")
+    )
+    return special.with_normal_quantile(ranks, (F.col("i") - 0.375) / (F.col("n") + 0.25), "m")
 
 
 # Royston (1995), algorithm AS R94; lowest power first.
@@ -271,39 +278,28 @@ def normality_tests(
         total="_size",
         group_limit=group_limit,
     ).withColumns({"lo": F.col("_upto") - F.col("n") + 1, "hi": F.col("_upto")})
-    short = ranked.filter(F.col("n") <= RUN)
-    pieces = (
-        ranked.filter(F.col("n") > RUN)
-        .withColumn("_from", F.explode(F.sequence("lo", "hi", F.lit(RUN))))
-        .withColumns({"lo": F.col("_from"), "hi": F.least(F.col("_from") + RUN - 1, F.col("hi"))})
-        .withColumn("n", F.col("hi") - F.col("lo") + 1)
-        .drop("_from")
-    )
-    scored = _score_sums(short.unionByName(pieces.repartition(*keys, "lo")))
-
-    def at(rank: Column, what: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= rank) & (rank <= F.col("hi")), what))
-
-    size, value = F.col("_size"), F.col("value")
-    sums = scored.groupBy(*keys).agg(
-        F.max(size).alias("n"),
-        F.sum(F.col("_scores.q")).alias("q"),
-        F.sum(F.col("_scores.s") * value).alias("sx"),
-        F.sum(F.col("n") * value).alias("x_sum"),
-        at(F.lit(1), value).alias("x1"),
-        at(F.lit(2), value).alias("x2"),
-        at(size - 1, value).alias("y2"),
-        at(size, value).alias("y1"),
+    scored = _with_scores(ranked, keys)
+    i, n, value = F.col("i"), F.col("n"), F.col("value")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(i == rank, value))
+
+    sums = scored.groupBy(*keys, "n").agg(
+        F.sum(F.col("m") * F.col("m")).alias("q"),
+        F.sum(F.col("m") * value).alias("sx"),
+        at(F.lit(1)).alias("x1"),
+        at(F.lit(2)).alias("x2"),
+        at(n - 1).alias("y2"),
+        at(n).alias("y1"),
     )
     # squares about the mean, from the raw rows: a stable built-in aggregate
     squares = long.groupBy(*keys).agg((F.var_pop("value") * F.count("value")).alias("ss"))
-    row = sums.join(squares, keys)
+    row = sums.join(squares, keys).filter(F.col("n") >= 3)
 
     n = F.col("n").cast("double")
-    m1 = special.normal_quantile((n - 0.375) / (n + 0.25))
-    m2 = special.normal_quantile((n - 1.375) / (n + 0.25))
     root = 1 / F.sqrt(n)
-    row = row.filter(F.col("n") >= 3).withColumns({"m1": m1, "m2": m2})
+    row = special.with_normal_quantile(row, (n - 0.375) / (n + 0.25), "m1")
+    row = special.with_normal_quantile(row, (n - 1.375) / (n + 0.25), "m2")
     last = special.polynomial(WEIGHT_LAST, root) + F.col("m1") / F.sqrt("q")
     second = special.polynomial(WEIGHT_SECOND, root) + F.col("m2") / F.sqrt("q")
     row = row.withColumn("a1", F.when(F.col("n") == 3, F.sqrt(F.lit(0.5))).otherwise(last)).withColumn(

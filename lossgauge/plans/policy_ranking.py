@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +43,10 @@ class Ranking:
     comparison: DataFrame
     own_fits: DataFrame
     group_fits: DataFrame
-    actual_tests: DataFrame
-    nearest_tests: DataFrame
+    tests: DataFrame
     selection: DataFrame
+    coefficients: DataFrame
     priorities: DataFrame
-    coefficients: DataFrame = field(repr=False)
 
 
 def clean_losses(
@@ -120,23 +119,20 @@ def rank_categories(panel: DataFrame, columns: Columns = Columns(), few: int = 5
     own = stats.fit_least_squares(panel, by=[entity], target=columns.target, features=features)
     grouped = stats.fit_least_squares(panel, by=[group], target=columns.target, features=features)
     comparison = stable(stats.nearest_group(panel, entity=entity, group=group, features=features))
-    actual = stats.welch_tests(
-        panel,
-        comparison.select(entity, F.col("actual_group").alias(group)),
-        entity=entity,
-        group=group,
-        features=features,
+    roles = F.array(
+        *[
+            F.struct(F.lit(role).alias("role"), F.col(name).alias(group))
+            for role, name in ((decide.ACTUAL, "actual_group"), (decide.NEAREST, "nearest_group"))
+        ]
     )
-    nearest = stats.welch_tests(
-        panel,
-        comparison.select(entity, F.col("nearest_group").alias(group)),
+    tests = stats.welch_tests(
+        stats.sample_moments(panel, entity, features),
+        stats.sample_moments(panel, group, features),
+        comparison.select(entity, F.inline(roles)),
         entity=entity,
         group=group,
-        features=features,
-    )
-    counts = decide.significant_counts(actual, entity, "actual_significant").join(
-        decide.significant_counts(nearest, entity, "nearest_significant"), entity, "full"
     )
+    counts = decide.significant_counts(tests, entity)
     selection = decide.select_model(own, comparison, counts, entity=entity, few=few)
     coefficients = decide.chosen_coefficients(
         selection,
@@ -146,7 +142,7 @@ def rank_categories(panel: DataFrame, columns: Columns = Columns(), few: int = 5
         group=group,
     )
     priorities = decide.rank_priorities(coefficients, entity=entity)
-    return Ranking(comparison, own, grouped, actual, nearest, selection, priorities, coefficients)
+    return Ranking(comparison, own, grouped, tests, selection, coefficients, priorities)
 
 
 def list_policies(
