@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
+
+# tasks get these helpers by value: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RANK_TOLERANCE = 1e-12
 

@@ -7,13 +7,18 @@ rows that are already aggregated, one per test.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# tasks get these helpers by value: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Wichura (1988), algorithm AS 241, PPND16; lowest power first.
 CENTRE_TOP = (
     3.3871328727963666080e0,

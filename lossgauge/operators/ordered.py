@@ -46,44 +46,34 @@ def running_total(
     order_by: Sequence[str],
     name: str,
     weight: str | None = None,
-    total: str | None = None,
     group_limit: int = GROUP_LIMIT,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` (or running row number) per group, as column ``name``.
 
-    ``order_by`` must order the rows of a group without ties. ``total`` adds the sum of the group.
+    ``order_by`` must order the rows of a group without ties. ``hot`` says whether a group exceeds the limit,
+    where the caller knows; otherwise the sizes are looked up.
     """
-    amount = F.col(weight) if weight else F.lit(1)
-    amount = amount.cast("long")
-    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    if hot is None:
+        hot = has_hot_group(df, partition_by, group_limit)
+    amount = (F.col(weight) if weight else F.lit(1)).cast("long")
     so_far = (Window.unboundedPreceding, Window.currentRow)
 
-    if not has_hot_group(df, partition_by, group_limit):
-        group = Window.partitionBy(*partition_by)
-        added = {name: F.sum(amount).over(group.orderBy(*order_by).rowsBetween(*so_far))}
-        if total:
-            added[total] = F.sum(amount).over(group.rowsBetween(*whole))
-        return df.withColumns(added)
+    if not hot:
+        group = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(*so_far)
+        return df.withColumn(name, F.sum(amount).over(group))
 
     keys = [*partition_by, BLOCK]
     rows = into_blocks(df, [*partition_by, *order_by])
-    blocks = Window.partitionBy(*partition_by).orderBy(BLOCK)
-    cells = (
-        rows.groupBy(*keys)
-        .agg(F.sum(amount).alias("_in_block"))
-        .select(
-            *keys,
-            F.coalesce(
-                F.sum("_in_block").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_before"),
-            F.sum("_in_block").over(blocks.rowsBetween(*whole)).alias("_total"),
-        )
-    )
+    earlier = Window.partitionBy(*partition_by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*keys).agg(F.sum(amount).alias("_in_block"))
+    carried = cells.select(*keys, F.coalesce(F.sum("_in_block").over(earlier), F.lit(0)).alias("_before"))
     local = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(*so_far)
-    joined = _join_cells(rows, cells, keys).withColumn(name, F.col("_before") + F.sum(amount).over(local))
-    if total:
-        joined = joined.withColumn(total, F.col("_total"))
-    return joined.drop("_before", "_total", BLOCK)
+    return (
+        _join_cells(rows, carried, keys)
+        .withColumn(name, F.col("_before") + F.sum(amount).over(local))
+        .select(*df.columns, name)
+    )
 
 
 def forward_fill(
@@ -131,6 +121,23 @@ def value_counts_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def cumulative_counts(
+    df: DataFrame, *, by: Sequence[str], value: str, group_limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """(group, value, n, _upto, _size): distinct values with count, running count and group size.
+
+    A first pass counts each group and sketches its number of distinct values, without shuffling a value.
+    """
+    sizes = stable(
+        df.groupBy(*by).agg(F.count(value).alias("_size"), F.approx_count_distinct(value).alias("_values"))
+    )
+    hot = (sizes.agg(F.max("_values")).first()[0] or 0) > group_limit
+    ranked = running_total(
+        value_counts_by(df, by, value), partition_by=by, order_by=[value], weight="n", name="_upto", hot=hot
+    )
+    return ranked.join(sizes.drop("_values"), list(by))
+
+
 def exact_quantiles(
     df: DataFrame,
     *,
@@ -145,10 +152,7 @@ def exact_quantiles(
     ``method='linear'`` interpolates at position (n-1)p, as data frames do. ``method='hazen'`` uses
     np - 1/2, as box plots do. The work runs on distinct values with counts.
     """
-    counts = value_counts_by(df, by, value)
-    ranked = running_total(
-        counts, partition_by=by, order_by=[value], weight="n", name="_upto", total="_size", group_limit=group_limit
-    )
+    ranked = cumulative_counts(df, by=by, value=value, group_limit=group_limit)
     size = F.col("_size")
     picks = []
     for name, p in probabilities.items():

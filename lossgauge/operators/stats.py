@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lossgauge.functions import linear, special
-from lossgauge.operators.ordered import GROUP_LIMIT, forward_fill, running_total, value_counts_by
+from lossgauge.operators.ordered import GROUP_LIMIT, cumulative_counts, forward_fill
 from lossgauge.session import stable
 
 NUMBERS = T.ArrayType(T.DoubleType())
@@ -140,7 +140,8 @@ def nearest_group(
         F.lit(None).cast(group_points.schema["found"].dataType).alias("found"),
     )
     points = group_points.unionByName(entity_points).withColumn("minus_value", -F.col("value"))
-    few = points.count() <= group_limit
+    # the stored table's row count bounds the number of points
+    few = cells.count() * 2 ** (len(features) + 1) <= group_limit
 
     def neighbour(order: str) -> DataFrame:
         filled = forward_fill(
@@ -269,15 +270,9 @@ def normality_tests(
         ),
     )
     keys = [by, "feature"]
-    ranked = running_total(
-        value_counts_by(long, keys, "value"),
-        partition_by=keys,
-        order_by=["value"],
-        weight="n",
-        name="_upto",
-        total="_size",
-        group_limit=group_limit,
-    ).withColumns({"lo": F.col("_upto") - F.col("n") + 1, "hi": F.col("_upto")})
+    ranked = cumulative_counts(long, by=keys, value="value", group_limit=group_limit).withColumns(
+        {"lo": F.col("_upto") - F.col("n") + 1, "hi": F.col("_upto")}
+    )
     scored = _with_scores(ranked, keys)
     i, n, value = F.col("i"), F.col("n"), F.col("value")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,30 +28,29 @@ def build_session(app: str = "lossgauge", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder of the session.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session, where one
-    machine holds all executors, falls back to a temporary folder.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session, where one machine
+    holds all executors, falls back to a temporary folder.
     """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="lossgauge-checkpoint-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="lossgauge-")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there.
+    """Write ``df`` as a table in the checkpoint folder and read it from there.
 
-    Columns such as a partition number are then stored data: later passes, and tasks re-run after
-    an executor is lost, see the same values.
+    This cuts the lineage. Columns such as a partition number become stored data: later passes, and tasks
+    re-run after an executor is lost, see the same values. As a columnar table it is read by column,
+    and its size is known to the planner.
     """
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
