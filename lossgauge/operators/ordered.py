@@ -8,6 +8,7 @@ block: one aggregate row per (group, block) carries the state from block to bloc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,15 +20,23 @@ GROUP_LIMIT = 5_000_000
 BLOCK = "_block"
 
 
-def has_hot_group(df: DataFrame, partition_by: Sequence[str], group_limit: int) -> bool:
-    """Whether any group has more than ``group_limit`` rows (one number reaches the driver)."""
+def blocks_needed(df: DataFrame, partition_by: Sequence[str], group_limit: int) -> int:
+    """1 if every group has at most ``group_limit`` rows, else the number of blocks of that size.
+
+    Two numbers reach the driver.
+    """
     sizes = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) > group_limit
+    largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+    return _blocks(largest or 0, rows or 0, group_limit)
+
+
+def _blocks(largest: int, rows: int, group_limit: int) -> int:
+    return 1 if largest <= group_limit else math.ceil(rows / group_limit)
 
 
-def into_blocks(df: DataFrame, sort_keys: Sequence[str]) -> DataFrame:
+def into_blocks(df: DataFrame, sort_keys: Sequence[str], blocks: int) -> DataFrame:
     """Range-partition on the sort keys and store the partition number as a column."""
-    return stable(df.repartitionByRange(*sort_keys).withColumn(BLOCK, F.spark_partition_id()))
+    return stable(df.repartitionByRange(blocks, *sort_keys).withColumn(BLOCK, F.spark_partition_id()))
 
 
 def _join_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -47,24 +56,23 @@ def running_total(
     name: str,
     weight: str | None = None,
     group_limit: int = GROUP_LIMIT,
-    hot: bool | None = None,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` (or running row number) per group, as column ``name``.
 
-    ``order_by`` must order the rows of a group without ties. ``hot`` says whether a group exceeds the limit,
-    where the caller knows; otherwise the sizes are looked up.
+    ``order_by`` must order the rows of a group without ties. ``blocks`` is for callers that know the sizes.
     """
-    if hot is None:
-        hot = has_hot_group(df, partition_by, group_limit)
+    if blocks is None:
+        blocks = blocks_needed(df, partition_by, group_limit)
     amount = (F.col(weight) if weight else F.lit(1)).cast("long")
     so_far = (Window.unboundedPreceding, Window.currentRow)
 
-    if not hot:
+    if blocks == 1:
         group = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(*so_far)
         return df.withColumn(name, F.sum(amount).over(group))
 
     keys = [*partition_by, BLOCK]
-    rows = into_blocks(df, [*partition_by, *order_by])
+    rows = into_blocks(df, [*partition_by, *order_by], blocks)
     earlier = Window.partitionBy(*partition_by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy(*keys).agg(F.sum(amount).alias("_in_block"))
     carried = cells.select(*keys, F.coalesce(F.sum("_in_block").over(earlier), F.lit(0)).alias("_before"))
@@ -94,12 +102,18 @@ def forward_fill(
     partition_by, order_by = list(partition_by), list(order_by)
     so_far = (Window.unboundedPreceding, Window.currentRow)
 
-    if partition_by and (bounded or not has_hot_group(df, partition_by, group_limit)):
+    if not partition_by:
+        # the whole table is one group: never a single task
+        default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = max(default, math.ceil(df.count() / group_limit))
+    else:
+        blocks = 1 if bounded else blocks_needed(df, partition_by, group_limit)
+    if partition_by and blocks == 1:
         group = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(*so_far)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(group) for c in columns})
 
     keys = [*partition_by, BLOCK]
-    rows = into_blocks(df, [*partition_by, *order_by])
+    rows = into_blocks(df, [*partition_by, *order_by], blocks)
     position = F.struct(*order_by)
     cells = rows.groupBy(*keys).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_last_{c}") for c in columns]
@@ -131,9 +145,14 @@ def cumulative_counts(
     sizes = stable(
         df.groupBy(*by).agg(F.count(value).alias("_size"), F.approx_count_distinct(value).alias("_values"))
     )
-    hot = (sizes.agg(F.max("_values")).first()[0] or 0) > group_limit
+    largest, values = sizes.agg(F.max("_values"), F.sum("_values")).first()
     ranked = running_total(
-        value_counts_by(df, by, value), partition_by=by, order_by=[value], weight="n", name="_upto", hot=hot
+        value_counts_by(df, by, value),
+        partition_by=by,
+        order_by=[value],
+        weight="n",
+        name="_upto",
+        blocks=_blocks(largest or 0, values or 0, group_limit),
     )
     return ranked.join(sizes.drop("_values"), list(by))
 

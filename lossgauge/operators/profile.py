@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lossgauge.operators.ordered import GROUP_LIMIT, exact_quantiles
 from lossgauge.operators.stats import correlations
@@ -22,11 +23,21 @@ def _pairs(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     return df.select(F.inline(items))
 
 
+LONG_TEXT = 64
+
+
+def _short(name: str) -> Column:
+    """A stand-in for counting a value: long text by its SHA-256 digest, so that the text is not shuffled."""
+    text = F.col(name).cast("string")
+    return F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+
+
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, type, n, missing, distinct_values, unique_values) for columns of any type, exact."""
     columns = list(columns) if columns else df.columns
     types = dict(df.dtypes)
-    counts = _pairs(df, columns, "string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
+    items = F.array(*[F.struct(F.lit(c).alias("column"), _short(c).alias("value")) for c in columns])
+    counts = df.select(F.inline(items)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
     known = F.col("value").isNotNull()
     summary = counts.groupBy("column").agg(
         F.sum("k").alias("n"),
@@ -137,7 +148,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def profile_duplicates(df: DataFrame) -> DataFrame:
     """(n, duplicates, share): rows, rows that repeat an earlier one, and their share."""
-    counts = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
+    stand_ins = df.select(
+        *[
+            _short(f.name).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name)
+            for f in df.schema
+        ]
+    )
+    counts = stand_ins.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
     totals = counts.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"),
