@@ -131,14 +131,14 @@ def forward_fill(
 
 
 def value_counts_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(group, value, n) without NULL values; copies collapse before the shuffle."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    """(group, value, _n) without NULL values; copies collapse before the shuffle."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def cumulative_counts(
     df: DataFrame, *, by: Sequence[str], value: str, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """(group, value, n, _upto, _size): distinct values with count, running count and group size.
+    """(group, value, _n, _upto, _size): distinct values with count, running count and group size.
 
     A first pass counts each group and sketches its number of distinct values, without shuffling a value.
     """
@@ -150,7 +150,7 @@ def cumulative_counts(
         value_counts_by(df, by, value),
         partition_by=by,
         order_by=[value],
-        weight="n",
+        weight="_n",
         name="_upto",
         blocks=_blocks(largest or 0, values or 0, group_limit),
     )
@@ -180,7 +180,7 @@ def exact_quantiles(
         position = F.least(F.greatest(raw, F.lit(0.0)), (size - 1).cast("double"))
         floor, ceiling = F.floor(position), F.ceil(position)
         for label, index in (("lo", floor), ("hi", ceiling)):
-            holds = (index >= F.col("_upto") - F.col("n")) & (index < F.col("_upto"))
+            holds = (index >= F.col("_upto") - F.col("_n")) & (index < F.col("_upto"))
             picks.append(F.max(F.when(holds, F.col(value).cast("double"))).alias(f"_{name}_{label}"))
         picks.append(F.max(position - floor).alias(f"_{name}_part"))
     picked = ranked.groupBy(*by).agg(F.max(size).alias("n"), *picks)

@@ -229,9 +229,9 @@ def _with_scores(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     A value that occurs often covers a run of ranks. Long runs are first cut into pieces that spread
     over the tasks.
     """
-    short = ranked.filter(F.col("n") <= RUN)
+    short = ranked.filter(F.col("_n") <= RUN)
     pieces = (
-        ranked.filter(F.col("n") > RUN)
+        ranked.filter(F.col("_n") > RUN)
         .withColumn("_from", F.explode(F.sequence("lo", "hi", F.lit(RUN))))
         .withColumn("hi", F.least(F.col("_from") + (RUN - 1), F.col("hi")))
         .withColumn("lo", F.col("_from"))
@@ -271,7 +271,7 @@ def normality_tests(
     )
     keys = [by, "feature"]
     ranked = cumulative_counts(long, by=keys, value="value", group_limit=group_limit).withColumns(
-        {"lo": F.col("_upto") - F.col("n") + 1, "hi": F.col("_upto")}
+        {"lo": F.col("_upto") - F.col("_n") + 1, "hi": F.col("_upto")}
     )
     scored = _with_scores(ranked, keys)
     i, n, value = F.col("i"), F.col("n"), F.col("value")
@@ -389,13 +389,13 @@ def one_hot_correlation(
             F.count(F.lit(1)).alias("n"), F.avg(measure).alias("mean"), F.var_pop(measure).alias("variance")
         ).alias("w")
     ).scalar()
-    per = rows.groupBy(category).agg(F.count(measure).alias("k"), F.avg(measure).alias("m")).withColumn("w", whole)
-    part = F.try_divide(F.col("k").cast("double"), F.col("w.n"))
+    per = rows.groupBy(category).agg(F.count(measure).alias("_k"), F.avg(measure).alias("_m")).withColumn("_w", whole)
+    part = F.try_divide(F.col("_k").cast("double"), F.col("_w.n"))
     # covariance of a 0/1 column: share * (mean inside - mean overall)
-    cover = F.coalesce(part * (F.col("m") - F.col("w.mean")), F.lit(0.0))
+    cover = F.coalesce(part * (F.col("_m") - F.col("_w.mean")), F.lit(0.0))
     flags = per.select(
         F.concat(F.lit(f"{category}_"), F.col(category)).alias("column"),
-        F.try_divide(cover, F.sqrt(part * (1 - part) * F.col("w.variance"))).alias("corr"),
+        F.try_divide(cover, F.sqrt(part * (1 - part) * F.col("_w.variance"))).alias("corr"),
     )
     columns = [measure, *others]
     wide = rows.agg(

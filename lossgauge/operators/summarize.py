@@ -59,7 +59,7 @@ def top_with_others(df: DataFrame, column: str, top: int = 7, others: str = "Oth
 def mode_by(df: DataFrame, by: Sequence[str], column: str, name: str = "mode") -> DataFrame:
     """Most frequent value per group, the smallest on a tie. Two aggregations, no value lists."""
     counts = value_counts_by(with_known_keys(df, by), by, column)
-    return counts.groupBy(*by).agg(F.min_by(column, F.struct(-F.col("n"), F.col(column))).alias(name))
+    return counts.groupBy(*by).agg(F.min_by(column, F.struct(-F.col("_n"), F.col(column))).alias(name))
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -147,7 +147,7 @@ def box_plot(
         method=method,
         group_limit=group_limit,
     )
-    counts = value_counts_by(known, [by], value).withColumnRenamed("n", "_copies")
+    counts = value_counts_by(known, [by], value)
     fences = quartiles.withColumn("_reach", 1.5 * (F.col("q3") - F.col("q1")))
     inside = F.col(value).between(F.col("q1") - F.col("_reach"), F.col("q3") + F.col("_reach"))
     return (
@@ -156,7 +156,7 @@ def box_plot(
         .agg(
             F.least(F.min(F.when(inside, F.col(value))), F.col("q1")).alias("lower_whisker"),
             F.greatest(F.max(F.when(inside, F.col(value))), F.col("q3")).alias("upper_whisker"),
-            F.coalesce(F.sum(F.when(~inside, F.col("_copies"))), F.lit(0)).alias("outliers"),
+            F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"),
         )
     )
 

@@ -25,18 +25,23 @@ def prepare_losses(
     denied: Sequence[str] = labels.DENIED_AREAS,
     fill_order: Sequence[str] = FILL_ORDER,
 ) -> DataFrame:
-    """Without duplicates, harmonised, with region, income and commodity group, gaps filled per country."""
+    """Without duplicates, harmonised, with region, income and commodity group, gaps filled per country.
+
+    A gap takes the last known value before it in the order of ``fill_order``.
+    """
     renamed = clean.replace_values(clean.drop_duplicate_rows(losses), "country", names)
     kept = clean.drop_values(renamed, "country", denied)
     joined = attach_dimension(kept, entities, "country", "Country")
     joined = attach_dimension(joined, commodities, "commodity", "Commodities")
-    rest = [c for c in joined.columns if c not in ("country", *fill_order)]
+    order = {f"_by_{c}": F.col(c) for c in fill_order}
+    # rows are distinct here, so a hash of all columns settles the order of the others
+    order["_by_row"] = F.xxhash64(*[c for c in joined.columns])
     filled = forward_fill(
-        joined.withColumns({f"_by_{c}": F.col(c) for c in rest}),
-        rest,
+        joined.withColumns(order),
+        [c for c in joined.columns if c != "country"],
         partition_by=["country"],
-        order_by=[*fill_order, *[f"_by_{c}" for c in rest]],
-    ).drop(*[f"_by_{c}" for c in rest])
+        order_by=list(order),
+    ).drop(*order)
     income = map_values(clean_text(F.col("Income")), {**labels.INCOME_LABELS, **labels.UNLABELLED_INCOME})
     return filled.withColumns(
         {"Income": income, "Region": map_values(F.col("Region"), labels.REGION_LABELS)}
