@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lossgauge.catalog.registry import q, query, tidied, tidy
+from lossgauge.catalog.registry import q, query, tidied
 from lossgauge.functions import special
 from lossgauge.operators import decide, stats
 from lossgauge.operators.enrich import attach_dimension
@@ -365,7 +365,7 @@ def catalogue_ranked(spark, sf):
 @query(
     f"""
     WITH baskets AS ({BASKETS}), {ranked_sql(NATION_FEW)},
-    shelf AS ({SHELF.replace('FROM part', "FROM part WHERE p_size > 40")})
+    shelf AS ({SHELF})
     SELECT n_name, p.priority, c.p_type, p_partkey, position
     FROM priorities p
     JOIN (VALUES ('quantity', 'ECONOMY'), ('discount', 'PROMO'), ('tax', 'SMALL')) AS c(feature, p_type) ON c.feature = p.feature
@@ -374,7 +374,7 @@ def catalogue_ranked(spark, sf):
 )
 def policy_ranking(spark, sf):
     short = _nation_ranking(spark, sf).priorities.replace(CATEGORIES, subset=["feature"])
-    shelf = read_table(spark, sf, "part").filter("p_size > 40").select("p_type", "p_partkey", "p_retailprice")
+    shelf = read_table(spark, sf, "part").select("p_type", "p_partkey", "p_retailprice")
     listed = plan.list_policies(
         short, shelf, entity="n_name", category="p_type", item="p_partkey", loading="p_retailprice"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lossgauge.catalog.registry import q, query, tidied
-from lossgauge.operators import clean, ordered, panel, reshape, summarize
+from lossgauge.operators import ordered, panel, reshape, summarize
 from lossgauge.sources.delimited import read_table
 
 YEARS = list(range(1995, 2002))
@@ -48,15 +48,17 @@ def long_to_wide(spark, sf):
     return tidied(wide, [str(y) for y in YEARS])
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 @query(
-    f"""
+    """
     WITH m AS (
       SELECT o_orderpriority AS series, c_nationkey AS nation, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS price
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
-    SELECT nation, year, {q("max(price) FILTER (series = '1-URGENT')")} AS "1-URGENT",
-           {q("max(price) FILTER (series = '5-LOW')")} AS "5-LOW"
-    FROM m WHERE series IN ('1-URGENT', '5-LOW') GROUP BY ALL
-    """
+    SELECT nation, year, """
+    + ", ".join(f"""{q(f"max(price) FILTER (series = '{p}')")} AS "{p}" """ for p in PRIORITIES)
+    + " FROM m GROUP BY nation, year"
 )
 def year_stack(spark, sf):
     orders = read_table(spark, sf, "orders")
@@ -67,12 +69,11 @@ def year_stack(spark, sf):
         F.year("o_orderdate").alias("year"),
         F.col("o_totalprice").alias("price"),
     )
-    means = summarize.mean_by(clean.keep_values(rows, "series", ["1-URGENT", "5-LOW"]), ["nation", "series", "year"], ["price"])
+    means = summarize.mean_by(rows, ["nation", "series", "year"], ["price"])
     wide = reshape.long_to_wide(means, ["nation", "series"], "year", "price", YEARS)
     columns = {str(y): y for y in YEARS}
-    stacked = reshape.stack_years(wide, entity="nation", series="series", years=columns, labels=["1-URGENT", "5-LOW"])
-    known = stacked.dropna("all", subset=["1-URGENT", "5-LOW"])
-    return tidied(known, ["1-URGENT", "5-LOW"])
+    stacked = reshape.stack_years(wide, entity="nation", series="series", years=columns, labels=PRIORITIES)
+    return tidied(stacked.dropna("all", subset=PRIORITIES), PRIORITIES)
 
 
 RAW = """

@@ -45,7 +45,14 @@ def profile_numeric(spark, sf):
     return tidied(found, ["total"], 2)
 
 
-COLUMN_TYPES = {"o_orderkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string"}
+COLUMN_TYPES = {
+    "o_orderkey": "bigint",
+    "o_custkey": "bigint",
+    "o_orderstatus": "string",
+    "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz",
+    "o_orderpriority": "string",
+}
 
 
 @query(
@@ -57,7 +64,7 @@ COLUMN_TYPES = {"o_orderkey": "bigint", "o_orderstatus": "string", "o_totalprice
     )
 )
 def profile_columns(spark, sf):
-    return profile.profile_columns(read_table(spark, sf, "orders"), list(COLUMN_TYPES))
+    return profile.profile_columns(read_table(spark, sf, "orders"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lossgauge.catalog.registry import ORDERS_OF_CUSTOMERS, orders_of_customers, q, query, tidied
-from lossgauge.operators import clean, reshape, stats, summarize
+from lossgauge.operators import clean, reshape, summarize
 from lossgauge.plans.loss_explorer import LossExplorer
 from lossgauge.sources.delimited import read_table
 

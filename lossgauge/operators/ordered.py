@@ -92,22 +92,26 @@ def forward_fill(
     partition_by: Sequence[str] = (),
     bounded: bool = False,
     group_limit: int = GROUP_LIMIT,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Replace NULL by the last non-null value before it in the group.
 
     Without ``partition_by`` the fill runs over the whole table in the given order, across entities.
     ``order_by`` must order the rows of a group without ties. ``bounded=True`` states that groups are
-    small by construction (one row per entity and year) and skips the size check.
+    small by construction (one row per entity and year) and skips the size check; ``blocks`` is for callers
+    that looked the sizes up on a cheaper table. Neither changes the result.
     """
     partition_by, order_by = list(partition_by), list(order_by)
     so_far = (Window.unboundedPreceding, Window.currentRow)
 
-    if not partition_by:
+    if bounded:
+        blocks = 1
+    elif blocks is None and partition_by:
+        blocks = blocks_needed(df, partition_by, group_limit)
+    elif blocks is None:
         # the whole table is one group: never a single task
         default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         blocks = max(default, math.ceil(df.count() / group_limit))
-    else:
-        blocks = 1 if bounded else blocks_needed(df, partition_by, group_limit)
     if partition_by and blocks == 1:
         group = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(*so_far)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(group) for c in columns})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lossgauge.functions.scalar import clean_text, leading_year, map_values, to_number
 from lossgauge.operators import clean, profile, summarize
 from lossgauge.operators.enrich import attach_dimension, lookup_rename
-from lossgauge.operators.ordered import forward_fill
+from lossgauge.operators.ordered import GROUP_LIMIT, blocks_needed, forward_fill
 from lossgauge.operators.reshape import wide_to_long
 from lossgauge.plans import labels
 
@@ -33,7 +33,8 @@ def prepare_indicators(indicators: DataFrame, renames: DataFrame, entities: Data
         ["score_rank", "Region", "Income"],
         partition_by=["country", "Series Name"],
         order_by=["year"],
-        bounded=True,
+        # the raw table bounds the size of a country's series
+        blocks=blocks_needed(indicators, ["Country Name", "Series Name"], GROUP_LIMIT // len(labels.YEAR_COLUMNS)),
     )
     income = map_values(clean_text(F.col("Income")), {**labels.INCOME_LABELS, **labels.UNLABELLED_INCOME})
     return filled.withColumns(
@@ -57,16 +58,20 @@ class IndicatorExplorer:
         years: tuple[int, int] | None = None,
         series: str = "score",
         series_name: str = clean.ALL,
+        exact: bool = True,
         **equal: object,
     ) -> IndicatorExplorer:
         """Closed year range, score or rank, equal values; ``'All'`` stands for no filter.
 
-        A named series narrows the rows to that series.
+        A named series narrows the rows to that series; with ``exact=False`` only to series whose name
+        contains the word given in ``series``.
         """
         listed = labels.SCORE_SERIES if series == "score" else labels.RANK_SERIES
+        named = series_name != clean.ALL
+        rows = clean.keep_matching(self.rows, "Series Name", series) if named and not exact else self.rows
         chosen = clean.filter_panel(
-            self.rows,
-            equal={"Series Name": series_name, **equal},
+            rows,
+            equal={"Series Name": series_name if exact else clean.ALL, **equal},
             member={"Series Name": listed},
             between={"year": years} if years else None,
         )

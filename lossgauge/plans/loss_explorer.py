@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lossgauge.functions.scalar import clean_text, map_values
 from lossgauge.operators import clean, profile, stats, summarize
 from lossgauge.operators.enrich import attach_dimension
-from lossgauge.operators.ordered import forward_fill
+from lossgauge.operators.ordered import GROUP_LIMIT, blocks_needed, forward_fill
 from lossgauge.plans import labels
 
 FILL_ORDER = ("year", "commodity", "food_supply_stage")
@@ -41,6 +41,8 @@ def prepare_losses(
         [c for c in joined.columns if c != "country"],
         partition_by=["country"],
         order_by=list(order),
+        # the raw table bounds the size of a country and has one narrow column to read
+        blocks=blocks_needed(losses, ["country"], GROUP_LIMIT),
     ).drop(*order)
     income = map_values(clean_text(F.col("Income")), {**labels.INCOME_LABELS, **labels.UNLABELLED_INCOME})
     return filled.withColumns(

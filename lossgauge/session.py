@@ -44,6 +44,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_written: list[str] = []
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it from there.
 
@@ -53,4 +56,13 @@ def stable(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediate_tables(spark: SparkSession) -> None:
+    """Delete the tables written by ``stable`` so far. Results that still read them must be done."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
