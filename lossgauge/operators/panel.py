@@ -18,7 +18,8 @@ def resample_last(
 
     ``order_by`` says which row of a year comes last.
     """
-    position = F.struct(*order_by)
+    # a single order column keeps the aggregation hash-based for numbers
+    position = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
     known = df.filter(F.col(entity).isNotNull() & F.col(year).isNotNull())
     return known.groupBy(entity, year).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in columns]

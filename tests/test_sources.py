@@ -44,7 +44,7 @@ def test_semicolons_byte_order_mark_and_quoted_line_breaks(spark, tmp_path, rows
 
 
 def test_latin_1_and_kept_marker(spark, tmp_path, rows):
-    path = put(tmp_path, "lpi.csv", "Country Name,Series Name,2007 [YR2007]\nCôte,s,..\nÅland,s,2.5\n", encoding="latin-1")
+    path = put(tmp_path, "indicators.csv", "Country Name,Series Name,2007 [YR2007]\nCôte,s,..\nÅland,s,2.5\n", encoding="latin-1")
     assert rows(files.read_indicators(spark, path)) == [("Côte", "s", ".."), ("Åland", "s", "2.5")]
 
 
