@@ -141,23 +141,21 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = guard(1.0 + odd / c)
         step = d * c
         h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
+        if np.all(np.abs(step - 1.0) < 1e-14):
             break
     return h
 
 
-def beta_regularised(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """I_x(a, b), element by element."""
-    a, b, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
-    inside = np.clip(x, 1e-300, 1.0 - 1e-16)
-    log_front = (
-        _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(inside) + b * np.log1p(-inside)
-    )
-    front = np.exp(log_front)
-    direct = inside < (a + 1.0) / (a + b + 2.0)
-    left = front * _beta_fraction(a, b, inside) / a
-    right = 1.0 - front * _beta_fraction(b, a, 1.0 - inside) / b
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(direct, left, right)))
+def beta_regularised(a: np.ndarray, b: np.ndarray, x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """I_x(a, b), element by element; ``rest`` is 1 - x, given apart because x may be close to 1."""
+    x, rest = np.clip(x, 1e-300, 1.0), np.clip(rest, 1e-300, 1.0)
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log(rest))
+    low = x < (a + 1.0) / (a + b + 2.0)
+    out = np.empty(len(x))
+    out[low] = front[low] * _beta_fraction(a[low], b[low], x[low]) / a[low]
+    high = ~low
+    out[high] = 1.0 - front[high] * _beta_fraction(b[high], a[high], rest[high]) / b[high]
+    return out
 
 
 def gamma_upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -202,12 +200,20 @@ def _where_known(values: np.ndarray, *inputs: np.ndarray) -> np.ndarray:
     return np.where(known, values, np.nan)
 
 
+# beyond this the normal approximation below is closer than the continued fraction
+MANY_DEGREES = 1e5
+
+
 def _student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    t, df = t.to_numpy(float), df.to_numpy(float)
+    t, df = np.abs(t.to_numpy(float)), df.to_numpy(float)
     known = np.isfinite(t) & np.isfinite(df) & (df > 0)
     out = np.full(len(t), np.nan)
-    t, df = t[known], df[known]
-    out[known] = beta_regularised(df / 2.0, np.full(len(df), 0.5), df / (df + t * t))
+    few = known & (df <= MANY_DEGREES)
+    square, d = t[few] ** 2, df[few]
+    out[few] = beta_regularised(d / 2.0, np.full(len(d), 0.5), d / (d + square), square / (d + square))
+    many = known & (df > MANY_DEGREES)
+    t, d = t[many], df[many]
+    out[many] = 2.0 * normal_upper(t * (1.0 - 1.0 / (4.0 * d)) / np.sqrt(1.0 + t * t / (2.0 * d)))
     return pd.Series(out)
 
 
