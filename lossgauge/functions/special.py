@@ -193,13 +193,6 @@ def gamma_upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _where_known(values: np.ndarray, *inputs: np.ndarray) -> np.ndarray:
-    known = np.ones(len(values), dtype=bool)
-    for v in inputs:
-        known &= np.isfinite(v)
-    return np.where(known, values, np.nan)
-
-
 # beyond this the normal approximation below is closer than the continued fraction
 MANY_DEGREES = 1e5
 
@@ -226,8 +219,8 @@ def _chi_square_upper(x: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def _normal_upper(z: pd.Series) -> pd.Series:
-    z = z.to_numpy(float)
-    return pd.Series(_where_known(normal_upper(np.nan_to_num(z)), z))
+    # erfc carries NaN through
+    return pd.Series(normal_upper(z.to_numpy(float)))
 
 
 def student_two_sided(t: Column, df: Column) -> Column:
