@@ -82,12 +82,12 @@ FAR_BOTTOM = (
 )
 
 
-def polynomial(coefficients, x):
-    """Horner's rule; works for numbers, arrays and Columns."""
-    value = coefficients[-1]
+def polynomial(coefficients, x: str) -> Column:
+    """Horner's rule over a SQL expression ``x``; one parsed text instead of many Column calls."""
+    text = f"{coefficients[-1]!r}D"
     for c in reversed(coefficients[:-1]):
-        value = value * x + c
-    return value
+        text = f"({text} * ({x}) + {c!r}D)"
+    return F.expr(text)
 
 
 def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
@@ -102,11 +102,11 @@ def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
             "_tail": F.sqrt(-F.log(F.least(F.col("_p"), 1 - F.col("_p")))),
         }
     )
-    q, near, tail = F.col("_q"), F.col("_near"), F.col("_tail")
-    centre = q * polynomial(CENTRE_TOP, near) / polynomial(CENTRE_BOTTOM, near)
+    q, tail = F.col("_q"), F.col("_tail")
+    centre = q * polynomial(CENTRE_TOP, "_near") / polynomial(CENTRE_BOTTOM, "_near")
     steps = steps.withColumns({"_t": F.when(tail <= 5.0, tail - 1.6).otherwise(tail - 5.0)})
-    middle = polynomial(MIDDLE_TOP, F.col("_t")) / polynomial(MIDDLE_BOTTOM, F.col("_t"))
-    far = polynomial(FAR_TOP, F.col("_t")) / polynomial(FAR_BOTTOM, F.col("_t"))
+    middle = polynomial(MIDDLE_TOP, "_t") / polynomial(MIDDLE_BOTTOM, "_t")
+    far = polynomial(FAR_TOP, "_t") / polynomial(FAR_BOTTOM, "_t")
     value = (
         F.when(F.abs(q) <= 0.425, centre)
         .when(tail <= 5.0, F.signum(q) * middle)

@@ -292,11 +292,10 @@ def normality_tests(
     row = sums.join(squares, keys).filter(F.col("n") >= 3)
 
     n = F.col("n").cast("double")
-    root = 1 / F.sqrt(n)
     row = special.with_normal_quantile(row, (n - 0.375) / (n + 0.25), "m1")
     row = special.with_normal_quantile(row, (n - 1.375) / (n + 0.25), "m2")
-    last = special.polynomial(WEIGHT_LAST, root) + F.col("m1") / F.sqrt("q")
-    second = special.polynomial(WEIGHT_SECOND, root) + F.col("m2") / F.sqrt("q")
+    last = special.polynomial(WEIGHT_LAST, "1 / sqrt(n)") + F.col("m1") / F.sqrt("q")
+    second = special.polynomial(WEIGHT_SECOND, "1 / sqrt(n)") + F.col("m2") / F.sqrt("q")
     row = row.withColumn("a1", F.when(F.col("n") == 3, F.sqrt(F.lit(0.5))).otherwise(last)).withColumn(
         "a2", F.when(F.col("n") > 5, second)
     )
@@ -313,11 +312,11 @@ def normality_tests(
     )
     varies = F.col("y1") > F.col("x1")
     row = row.withColumn("statistic", F.when(varies, F.least(F.try_divide(numerator * numerator, F.col("ss")), F.lit(1.0))))
-    w, log_n = F.col("statistic"), F.log(n)
+    w = F.col("statistic")
     miss = F.log(F.greatest(1 - w, F.lit(1e-300)))
-    gamma = special.polynomial(SMALL_GAMMA, n)
-    small_z = (-F.log(gamma - miss) - special.polynomial(SMALL_MEAN, n)) / F.exp(special.polynomial(SMALL_SPREAD, n))
-    large_z = (miss - special.polynomial(LARGE_MEAN, log_n)) / F.exp(special.polynomial(LARGE_SPREAD, log_n))
+    gamma = special.polynomial(SMALL_GAMMA, "n")
+    small_z = (-F.log(gamma - miss) - special.polynomial(SMALL_MEAN, "n")) / F.exp(special.polynomial(SMALL_SPREAD, "n"))
+    large_z = (miss - special.polynomial(LARGE_MEAN, "ln(n)")) / F.exp(special.polynomial(LARGE_SPREAD, "ln(n)"))
     row = row.withColumn(
         "z", F.when((F.col("n") > 3) & (F.col("n") <= 11), F.when(miss < gamma, small_z)).when(F.col("n") > 11, large_z)
     ).withColumn("upper", special.normal_upper_tail(F.col("z")))
