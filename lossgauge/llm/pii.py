@@ -1,0 +1,341 @@
+"""Personal data replaced by surrogates.
+
+Detected entities get keyed replacements of the same kind: the digits, letter cases, separators, check digits, script
+and gender of the original. One entity has one surrogate in the whole corpus, however it is written, and two entities
+never share one: surrogates are drawn for the distinct entities of the corpus, and those that meet another's surrogate
+or a real entity are drawn again until none is left. Documents are then rewritten where they lie; only redrawn
+entities, if there are any, are joined to the documents that mention them.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lossgauge.llm.common import whole_text
+from lossgauge.session import stable
+
+_EMAIL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}", re.UNICODE)
+_DIGITS = re.compile(r"[0-9]")
+_IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.ASCII)
+_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII)
+_SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
+_CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII)
+_PHONE = re.compile(
+    r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])"  # with an area code in brackets
+    r"|(?<![\w.])\+\d(?:[ .-]?\d){7,13}(?![\w-])"  # with a country code
+    r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",  # plain
+    re.ASCII,
+)
+# What access keys begin with
+KEY_HEADS = ("AKIA", "ASIA", "ghp_", "sk-", "xoxb-", "xoxp-")
+_ACCESS_KEY = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:ghp_|sk-|xox[bp]-)[\w-]{16,}", re.ASCII)
+_ASSIGNED = re.compile(
+    r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)([A-Za-z0-9+/_-]{8,}={0,2})"
+)
+
+# Titles by gender, and given names by gender
+TITLES = {
+    "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"),
+    "m": ("Mr", "Sir", "Herr", "Señor", "Monsieur", "Господин"),
+}
+GIVEN = {
+    "f": (
+        "Anna", "Maria", "Julia", "Laura", "Sarah", "Emma", "Sophie", "Claire", "Helen", "Alice", "Elena", "Carmen",
+        "Lucia", "Marta", "Ingrid", "Greta", "Nadine", "Camille", "Isabel", "Teresa", "Diana", "Ruth", "Nora", "Olivia",
+    ),
+    "m": (
+        "John", "James", "Robert", "Michael", "David", "Thomas", "Peter", "Paul", "Daniel", "Martin", "Pedro", "Carlos",
+        "Luis", "Diego", "Pierre", "Jacques", "Henri", "Olivier", "Klaus", "Stefan", "Jürgen", "Walter", "Oscar", "Victor",
+    ),
+}
+GIVEN_CYRILLIC = {
+    "f": ("Анна", "Мария", "Елена", "Ольга", "Ирина", "Наталья", "Светлана", "Татьяна"),
+    "m": ("Иван", "Сергей", "Андрей", "Дмитрий", "Алексей", "Николай", "Павел", "Михаил"),
+}
+SYLLABLES = {
+    "latin": ("bar", "den", "fal", "gor", "hel", "jan", "kel", "lor", "mar", "nev", "pol", "ren", "sal", "tor", "vel", "wen"),
+    "cyrillic": ("бар", "ден", "фал", "гор", "хел", "кал", "лор", "мар", "нев", "пол", "рен", "сал", "тор", "вел", "зам", "жан"),
+}
+
+_CAPITALISED = r"[^\W\d_a-zа-я][^\W\d_]+(?:[-'][^\W\d_]+)?"
+_TITLE_OF = {t: g for g, titles in TITLES.items() for t in titles}
+_GIVEN_OF = {n.lower(): g for lists in (GIVEN, GIVEN_CYRILLIC) for g, names in lists.items() for n in names}
+_TITLED = re.compile(rf"\b({'|'.join(_TITLE_OF)})\.? ({_CAPITALISED})(?: ({_CAPITALISED}))?")
+_NAMED = re.compile(
+    rf"\b({'|'.join(n for lists in (GIVEN, GIVEN_CYRILLIC) for names in lists.values() for n in names)}) ({_CAPITALISED})\b"
+)
+_NAME_CUES = (*_TITLE_OF, *(n for lists in (GIVEN, GIVEN_CYRILLIC) for names in lists.values() for n in names))
+
+NAME_KINDS = ("given_f", "given_m", "surname")
+
+
+def _digits(text: str) -> str:
+    return re.sub(r"\D", "", text, flags=re.ASCII)
+
+
+def _luhn(digits: str) -> int:
+    """The sum that is a multiple of ten for a sound card number."""
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10
+
+
+def _iban_check(country: str, rest: str) -> str:
+    number = "".join(str(int(c, 36)) for c in rest + country + "00")
+    return f"{98 - int(number) % 97:02d}"
+
+
+def _spans(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, entity) in order of precedence; spans may overlap. An entity is written one way only."""
+    if "@" in text:
+        for m in _EMAIL.finditer(text):
+            yield m.start(), m.end(), "email", m.group().lower()
+    if "=" in text or ":" in text:
+        for m in _ASSIGNED.finditer(text):
+            yield m.start(1), m.end(1), "secret", m.group(1)
+    if any(head in text for head in KEY_HEADS):
+        for m in _ACCESS_KEY.finditer(text):
+            yield m.start(), m.end(), "secret", m.group()
+    if _DIGITS.search(text):
+        for m in _IP.finditer(text):
+            yield m.start(), m.end(), "ip", m.group()
+        for m in _IBAN.finditer(text):
+            plain = m.group().replace(" ", "")
+            if 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]:
+                yield m.start(), m.end(), "iban", plain
+        for m in _SSN.finditer(text):
+            yield m.start(), m.end(), "ssn", _digits(m.group())
+        for m in _CARD.finditer(text):
+            yield m.start(), m.end(), "card", _digits(m.group())
+        for m in _PHONE.finditer(text):
+            found = _digits(m.group())
+            if 7 <= len(found) <= 15:
+                yield m.start(), m.end(), "phone", found[-10:]
+    if any(name in text for name in _NAME_CUES):
+        yield from _names(text)
+
+
+def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Names after a title or with a known given name, and the bare surname wherever the text repeats it."""
+    surnames = set()
+    for m in _TITLED.finditer(text):
+        gender = _TITLE_OF[m.group(1)]
+        if m.group(3):
+            yield m.start(2), m.end(2), f"given_{gender}", m.group(2).lower()
+        at = 3 if m.group(3) else 2
+        surnames.add(m.group(at))
+    for m in _NAMED.finditer(text):
+        yield m.start(1), m.end(1), f"given_{_GIVEN_OF[m.group(1).lower()]}", m.group(1).lower()
+        surnames.add(m.group(2))
+    for name in sorted(surnames):
+        for m in re.finditer(rf"\b{re.escape(name)}\b", text):
+            yield m.start(), m.end(), "surname", name.lower()
+
+
+def find(text: str | None) -> list[tuple[int, int, str, str]]:
+    """Entities of a text from left to right, without overlaps: of two that overlap the earlier kind stays."""
+    kept, taken = [], None
+    for span in _spans(text or ""):
+        start, end = span[:2]
+        taken = taken or bytearray(len(text))
+        if not any(taken[start:end]):
+            taken[start:end] = b"\1" * (end - start)
+            kept.append(span)
+    return sorted(kept)
+
+
+class _Stream:
+    """Keyed pseudo-random choices for one entity."""
+
+    def __init__(self, key: bytes, kind: str, entity: str, attempt: int):
+        self.seed = hashlib.blake2b(f"{kind}\0{attempt}\0{entity}".encode("utf-8", "surrogatepass"), key=key).digest()
+        self.block, self.rest = 0, b""
+
+    def below(self, n: int) -> int:
+        if len(self.rest) < 4:
+            self.rest += hashlib.blake2b(self.seed + self.block.to_bytes(4, "little")).digest()
+            self.block += 1
+        value, self.rest = int.from_bytes(self.rest[:4], "little"), self.rest[4:]
+        return value % n
+
+    def like(self, text: str) -> str:
+        """Another text of the same shape: digits for digits, letters of the same case and script for letters."""
+        out = []
+        for c in text:
+            if c.isdecimal() and c.isascii():
+                out.append(str(self.below(10)))
+            elif c.isalpha():
+                first = "а" if "Ѐ" <= c <= "ӿ" else "α" if "Ͱ" <= c <= "Ͽ" else "a"
+                letter = chr(ord(first) + self.below(17 if first == "α" else 26))
+                out.append(letter.upper() if c.isupper() else letter)
+            else:
+                out.append(c)
+        return "".join(out)
+
+
+def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
+    """The replacement of an entity, in the one way entities are written."""
+    draw = _Stream(key, kind, entity, attempt)
+    if kind == "email":
+        local, _, domain = entity.partition("@")
+        labels = domain.split(".")
+        inner = [draw.like(x) for x in labels[: max(1, len(labels) - 2)]]
+        return f"{draw.like(local)}@{'.'.join(inner)}.example.{('com', 'net', 'org')[draw.below(3)]}"
+    if kind == "ip":
+        private = re.match(r"(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", entity)
+        kept = private.group()[:-1].split(".") if private else [str(11 + draw.below(89))]
+        return ".".join(kept + [str(1 + draw.below(254)) for _ in range(4 - len(kept))])
+    if kind == "card":
+        body = entity[0] + draw.like(entity[1:-1])
+        last = (10 - _luhn(body + "0")) % 10
+        return body + (str(last) if _luhn(entity) == 0 else draw.like(entity[-1]))
+    if kind == "phone":
+        return str(2 + draw.below(8)) + draw.like(entity[1:])
+    if kind == "ssn":
+        return f"{100 + draw.below(565):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
+    if kind == "iban":
+        rest = draw.like(entity[4:])
+        return entity[:2] + _iban_check(entity[:2], rest) + rest
+    if kind == "secret":
+        head = re.match(r"AKIA|ASIA|ghp_|sk-|xox[bp]-", entity)
+        head = head.group() if head else ""
+        body = entity[len(head) :]
+        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
+            digits = "0123456789abcdef" if body == body.lower() else "0123456789ABCDEF"
+            return head + "".join(digits[draw.below(16)] for _ in body)
+        return head + draw.like(body)
+    script = "cyrillic" if re.search("[Ѐ-ӿ]", entity) else "latin"
+    if kind == "surname":
+        return "".join(SYLLABLES[script][draw.below(16)] for _ in range(3 + attempt // 2))
+    names = (GIVEN_CYRILLIC if script == "cyrillic" else GIVEN)[kind[-1]]
+    return "-".join(names[draw.below(len(names))].lower() for _ in range(1 + attempt // 2))
+
+
+def render(kind: str, original: str, entity: str, replacement: str) -> str:
+    """``replacement`` written as ``original`` writes ``entity``."""
+    if kind in ("card", "phone", "ssn"):
+        kept = len(_digits(original)) - len(entity)  # a country code stays
+        fresh, seen, out = iter(replacement), 0, []
+        for c in original:
+            if c.isdecimal():
+                seen += 1
+                c = next(fresh) if seen > kept else c
+            out.append(c)
+        return "".join(out)
+    if kind == "iban":
+        fresh = iter(replacement)
+        return "".join(c if c == " " else next(fresh) for c in original)
+    if kind in NAME_KINDS:
+        return replacement.upper() if original.isupper() else replacement.title()
+    if kind == "email" and original.isupper():
+        return replacement.upper()
+    return replacement
+
+
+def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_hash, kind, entity) of all texts, each once."""
+
+    def look(batches):
+        for batch in batches:
+            found = {
+                (h, kind, entity)
+                for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for _, _, kind, entity in find(text)
+            }
+            columns = list(zip(*found)) if found else [[], [], []]
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["text_hash", "kind", "entity"]
+            )
+
+    text = whole_text(text_col)
+    rows = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(look, "text_hash long, kind string, entity string").distinct()
+
+
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, entity, attempt, surrogate) of distinct (kind, entity), with distinct surrogates that are no entity.
+
+    In each round those that meet a surrogate drawn in an earlier attempt, or by a smaller entity, or an entity of the
+    corpus, are drawn again. Later attempts draw from larger sets where sets are small, so the rounds end.
+    """
+
+    @F.pandas_udf("string")
+    def draw(kind: pd.Series, entity: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, *row) for row in zip(kind, entity, attempt)], dtype=object)
+
+    entities = entities.select("kind", "entity")
+    real = entities.select("kind", F.col("entity").alias("surrogate")).withColumn("real", F.lit(True))
+    current = entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "entity", "attempt"))
+    while True:
+        current = stable(current.select("kind", "entity", "attempt", "surrogate"))
+        owner = current.groupBy("kind", "surrogate").agg(
+            F.count("*").alias("n"), F.min(F.struct("attempt", "entity")).alias("owner")
+        )
+        owner = owner.join(real, ["kind", "surrogate"], "left").where("n > 1 OR real")
+        if owner.isEmpty():
+            return current
+        judged = current.join(owner, ["kind", "surrogate"], "left")
+        again = F.coalesce(F.col("real") | (F.struct("attempt", "entity") != F.col("owner")), F.lit(False))
+        judged = judged.withColumn("again", again).withColumn("attempt", F.col("attempt") + F.col("again").cast("int"))
+        fresh = draw("kind", "entity", "attempt")
+        current = (
+            judged.where("NOT again")
+            .select("kind", "entity", "attempt", "surrogate")
+            .unionByName(judged.where("again").select("kind", "entity", "attempt", fresh.alias("surrogate")))
+        )
+
+
+def _rewrite(text: str | None, key: bytes, attempts: dict) -> tuple[str | None, int]:
+    found = find(text)
+    if not found:
+        return text, 0
+    out, at = [], 0
+    for start, end, kind, entity in found:
+        replacement = surrogate(key, kind, entity, attempts.get((kind, entity), 0))
+        out += [text[at:start], render(kind, text[start:end], entity, replacement)]
+        at = end
+    return "".join(out) + text[at:], len(found)
+
+
+def mask(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs`` with personal data of ``text_col`` replaced; all columns stay, and ``count_col`` gets the number replaced.
+
+    Null texts stay null, texts without entities stay as they are. Rows are kept one by one, whatever their ids;
+    an empty table gives an empty result.
+    """
+    named = stable(mentions(docs, text_col))
+    redrawn = assign(named.select("kind", "entity").distinct(), key).where("attempt > 0")
+
+    @F.pandas_udf("text string, n int")
+    def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, redrawn_there in batches:
+            rows = []
+            for text, redraws in zip(texts, redrawn_there):
+                attempts = {} if redraws is None else {(r["kind"], r["entity"]): r["attempt"] for r in redraws}
+                rows.append(_rewrite(text, key, attempts))
+            yield pd.DataFrame({"text": [r[0] for r in rows], "n": [r[1] for r in rows]}, dtype=object).astype({"n": "int32"})
+
+    kind = "array<struct<kind:string,entity:string,attempt:int>>"
+    if redrawn.isEmpty():
+        marked = docs.withColumn("__redrawn", F.lit(None).cast(kind))
+    else:
+        there = named.join(redrawn.select("kind", "entity", "attempt"), ["kind", "entity"])
+        there = there.groupBy(F.col("text_hash").alias("__hash")).agg(
+            F.collect_list(F.struct("kind", "entity", "attempt")).alias("__redrawn")
+        )
+        hashed = docs.withColumn("__text_hash", F.xxhash64(whole_text(text_col)))
+        marked = hashed.join(there, F.col("__text_hash") == F.col("__hash"), "left")
+    made: Column = rewrite(F.col(text_col), F.col("__redrawn"))
+    columns = [F.col("__made.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    count = [F.col("__made.n").alias(count_col)] if count_col else []
+    return marked.withColumn("__made", made).select(*columns, *count)

@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lossgauge.llm import exact_dedup
+from lossgauge.llm import exact_dedup, packing, pii, quality_rules, records, simhash, toxicity
 from lossgauge.llm.common import documents
+from lossgauge.sources.delimited import read_table
+
+# the key of the test tables; a production job takes its own from its secret store
+MASKING_KEY = b"test tables only"
+
+
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +48,77 @@ def query(sql: str | None = None):
 """)
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir)).drop("chars")
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.classify(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query()
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), byte_tokenizer(), end_id=1)
+
+
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ), n AS (
+        SELECT doc_id, words, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+               length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+               list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM d
+    ), p AS (SELECT doc_id, n_words, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM n),
+    g AS (
+        SELECT doc_id, pos,
+               CASE WHEN pos <= n_words - 2 THEN list(word) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) END AS w3,
+               CASE WHEN pos <= n_words - 7 THEN list(word) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) END AS w8,
+               CASE WHEN pos <= n_words - 100
+                    THEN md5(array_to_string(list(word) OVER (w ROWS BETWEEN CURRENT ROW AND 100 FOLLOWING), ' ')) END AS w101
+        FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+    ), c AS (
+        SELECT doc_id, pos, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w3) > 1 AS r3,
+               w8 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w8) > 1 AS r8,
+               w101 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w101) > 1 AS r101
+        FROM g
+    ), v AS (
+        SELECT doc_id, r101, bool_or(r3) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
+               bool_or(r8) OVER (w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c8
+        FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+    ), s AS (
+        SELECT doc_id, count(*) FILTER (c3) AS n_repeat_words, count(*) FILTER (c8) AS covered, bool_or(r101) AS long_repeat
+        FROM v GROUP BY doc_id
+    ), t AS (
+        SELECT n.doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+               coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered, 0) AS covered,
+               coalesce(long_repeat, false) AS long_repeat
+        FROM n LEFT JOIN s ON n.doc_id = s.doc_id
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered <= 0.3 * n_words AND NOT long_repeat AS kept
+    FROM t
+"""
+)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
+
+
+@query()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return pii.mask(docs, MASKING_KEY, count_col="n_replaced")
+
+
+@query()
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(documents(spark, sf_dir), byte_tokenizer(), end_id=2)
