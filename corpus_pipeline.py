@@ -6,21 +6,46 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lossgauge.llm import exact_dedup
+from lossgauge.llm import exact_dedup, packing, pii, quality_rules, simhash
 from lossgauge.llm.common import documents
+from lossgauge.llm.queries import MASKING_KEY, tokenizer
 from lossgauge.session import stable
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    return quality_rules.keep_good(docs)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.keep_first_of_each(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one_of_each(docs)
+
+
+def masking_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to surrogates; all documents stay."""
+    return pii.mask(docs, MASKING_KEY)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences."""
+    return packing.pack(docs, tokenizer(), end_id=1)
+
+
 STAGES = [
+    ("quality rules", quality_stage),
     ("exact dedup", exact_stage),
+    ("SimHash near-dedup", near_stage),
+    ("PII", masking_stage),
+    ("packing", packing_stage),
 ]
 
-# packing needs a tokenizer and masking needs keyed digests, which SQL cannot express
+# fingerprints, keyed digests and a tokenizer are beyond SQL
 ORACLE_SQL = None
 
 

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossgauge.llm import exact_dedup, packing, pii, quality_rules, records, simhash, toxicity
+from lossgauge.llm import (
+    exact_dedup,
+    ordinal,
+    packing,
+    pii,
+    piece_lattice,
+    quality_rules,
+    records,
+    sharding,
+    simhash,
+    toxicity,
+)
 from lossgauge.llm.common import documents
 from lossgauge.sources.delimited import read_table
 
@@ -15,10 +26,10 @@ from lossgauge.sources.delimited import read_table
 MASKING_KEY = b"test tables only"
 
 
-def byte_tokenizer() -> str:
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +67,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
 
 
+@query()
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document on one of 64 shards."""
+    placed = sharding.place(documents(spark, sf_dir), [f"shard-{i:03d}" for i in range(64)])
+    return placed.select(F.col("doc_id").cast("long").alias("doc_id"), "slot", "shard")
+
+
 @query()
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -63,7 +81,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), byte_tokenizer(), end_id=1)
+    return packing.pack(documents(spark, sf_dir), tokenizer(), end_id=1)
 
 
 @query(
@@ -113,6 +131,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("covered_words", "longest_repeat")
 
 
+@query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: one point for quality, one for not being toxic. Documents that likely have both are kept."""
+    docs = documents(spark, sf_dir)
+    grade = (F.col("quality") + 1 - F.col("toxic")).alias("grade")
+    model = ordinal.learn(docs, read_table(spark, sf_dir, "labels").select("doc_id", grade), n_grades=3)
+    return ordinal.select(docs, model, grade=2)
+
+
 @query()
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -121,4 +148,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.round_trip(documents(spark, sf_dir), byte_tokenizer(), end_id=2)
+    return records.round_trip(documents(spark, sf_dir), tokenizer(), end_id=2)
+
+
+@query()
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.encode(documents(spark, sf_dir), piece_lattice.load(tokenizer("piece_bpe_32k.model")))
