@@ -4,8 +4,8 @@ Text is folded first: lower case, look-alike letters and digits to the letters t
 by Aho-Corasick on the folded text; entries are whole words or beginnings of words, and a match inside an exception
 phrase does not count. The summed weights, and their sum per length of text, give a score between 0 and 1.
 
-The lexicon is learned from a bounded sample of labelled documents. Entries are chosen one after the other by how
-well they set apart toxic documents that no earlier entry explains, so that the private words of a document with many
+The lexicon starts from a fixed list and is learned from a bounded sample of labelled documents. Entries are chosen one
+after the other by how well they set apart toxic documents that no earlier entry explains, so that the private words of a document with many
 copies don't enter. Nothing of a document but its text is ever an input of its score.
 """
 
@@ -27,7 +27,9 @@ SAMPLE = 8_000
 CANDIDATES = 4_000
 LEAST_EVIDENCE = 25.0
 PREFIXES = range(4, 9)
-STRENGTH = 1.0
+STRENGTH = 0.3
+# of the score where labels can't teach it: a single seed in any text reaches 0.5
+DEFAULT_MODEL = (-3.0, 2.0, 0.0)
 
 # Letters and digits that stand for another letter, and that letter. l and i share one form, as 1 may
 # stand for either.
@@ -46,6 +48,21 @@ LOOKALIKES = (
     ("ı", "i"), ("ɑ", "a"), ("ɡ", "g"), ("ʟ", "i"), ("ɩ", "i"), ("ո", "n"), ("օ", "o"), ("ս", "u"),
 )
 
+# Words of abuse that the lexicon starts from
+SEEDS = (
+    # English
+    "idiot", "idiots", "stupid", "moron", "morons", "scum", "trash", "loser", "losers", "worthless", "pathetic",
+    "disgusting", "clown", "dumb", "jerk", "imbecile", "filth", "vermin", "freak", "dimwit", "scumbag", "bastard",
+    "asshole", "bitch", "retard", "fuck", "fucking", "shit",
+    # German
+    "idioten", "dumm", "trottel", "abschaum", "arschloch", "vollidiot", "widerlich", "wertlos", "dreckig",
+    # French
+    "crétin", "débile", "connard", "ordure", "abruti", "minable", "imbécile", "dégoûtant",
+    # Spanish
+    "idiota", "estúpido", "imbécil", "basura", "escoria", "asqueroso", "patético", "payaso",
+)
+SEED_WEIGHT = 4.0
+
 # Harmless phrases that hold a lexicon word
 EXCEPTIONS = (
     "trash can", "trash bin", "trash bag", "trash collection", "idiot proof", "idiot light", "clown fish",
@@ -176,10 +193,19 @@ def _evidence(t, c, toxic: int, clean: int):
 
 
 def _choose(candidates: pd.DataFrame, holders: dict[str, set], toxic: int, clean: int, least: float) -> list[tuple[str, float]]:
-    """Entries one by one: always the one with most evidence on toxic documents not explained so far."""
-    chosen, explained = [], set()
+    """Entries one by one: always the one with most evidence on toxic documents not explained so far.
+
+    Before them come the seeds, with a fixed weight, but for those that lean to clean documents here.
+    """
+    clean_of, totals = dict(zip(candidates.entry, candidates.c)), dict(zip(candidates.entry, candidates.t))
+    seeds = dict.fromkeys(fold(s) for s in SEEDS)
+    seeds = [s for s in seeds if totals.get(s, 0) * clean >= clean_of.get(s, 0) * toxic]
+    chosen, explained = [(s, SEED_WEIGHT) for s in seeds], set()
+    for seed in seeds:
+        explained |= holders.get(seed, set())
+    told = _evidence(candidates.t, candidates.c, toxic, clean) >= least
+    candidates = candidates[told & ~candidates.entry.isin(seeds)]
     entries, clean_counts = candidates.entry.tolist(), candidates.c.to_numpy(float)
-    totals = dict(zip(entries, candidates.t))
     while len(explained) < toxic:
         left = np.array([len(holders[e] - explained) for e in entries], float)
         gain = _evidence(left, clean_counts, toxic - len(explained), clean)
@@ -223,7 +249,7 @@ def learn(
     """Learn entries, weights and score from at most ``sample`` labelled documents outside the held-out fold.
 
     What reaches the driver is bounded by the sample: counts and holders of at most ``candidates`` entries, and two
-    numbers per document. Without documents of both labels the lexicon is empty and every score is the same.
+    numbers per document. Without documents of both labels the lexicon is the seeds, with a fixed model.
     """
     from lossgauge.session import stable
 
@@ -231,8 +257,7 @@ def learn(
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not toxic or not clean:
-        odds = float(np.log((toxic + 0.5) / (clean + 0.5)))
-        return Lexicon((), tuple(exceptions), (odds, 0.0, 0.0))
+        return Lexicon(tuple((s, SEED_WEIGHT) for s in dict.fromkeys(map(fold, SEEDS))), tuple(exceptions), DEFAULT_MODEL)
 
     def entries(batches):
         for batch in batches:
@@ -249,12 +274,12 @@ def learn(
     counts = seen.groupBy("entry").agg(
         F.sum(is_toxic.cast("long")).alias("t"), F.sum((~is_toxic).cast("long")).alias("c")
     )
-    # entries must lean to toxic documents; the most telling come first
+    # entries must lean to toxic documents, and the most telling come first; seeds come whatever they lean to
     lean = F.col("t") / F.lit(toxic) - F.col("c") / F.lit(clean)
     best = counts.where("t >= 3").where(lean > 0).orderBy(lean.desc(), "entry").limit(candidates)
-    best = stable(best)
-    table = best.toPandas()
-    table = table[_evidence(table.t, table.c, toxic, clean) >= least_evidence].sort_values("entry", ignore_index=True)
+    seeded = counts.where(F.col("entry").isin([fold(s) for s in SEEDS]))
+    best = stable(best.unionByName(seeded).distinct())
+    table = best.toPandas().sort_values("entry", ignore_index=True)
     holders: dict[str, set] = {e: set() for e in table.entry}
     of_toxic = rows.where(is_toxic).select("id", "text", "label").mapInArrow(entries, "entry string, id long, label int")
     for r in of_toxic.join(best.select("entry"), "entry", "left_semi").select("entry", "id").collect():
