@@ -115,111 +115,81 @@ def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
     return steps.withColumn(name, value).drop("_p", "_q", "_near", "_tail", "_t")
 
 
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+# panels of a tail, in units of the distance over which the integrand falls by a factor of e
+_PANELS = np.array([0.0, 1, 2, 4, 8, 16, 32, 64, 128])
+
+
+def _tail_integral(log_ratio, start: np.ndarray, unit: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Integral of exp(log_ratio(u)) from ``start`` to ``end``, element by element.
+
+    ``log_ratio`` is 0 at ``start`` and falls from there; ``unit`` is about the distance in which it falls by 1. Gauss
+    quadrature on panels of growing width, so the number of steps depends on no argument.
+    """
+    marks = np.minimum(start[:, None] + unit[:, None] * _PANELS, end[:, None])
+    marks = np.column_stack([marks, end])
+    half = np.diff(marks, axis=1) / 2
+    points = marks[:, :-1, None] + half[:, :, None] * (1 + _NODES)
+    return (np.exp(log_ratio(points)) * _WEIGHTS * half[:, :, None]).sum(axis=(1, 2))
+
+
 def normal_upper(z: np.ndarray) -> np.ndarray:
-    """P(Z > z)."""
-    return np.array([0.5 * math.erfc(v / math.sqrt(2.0)) for v in z])
-
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    return np.array([math.lgamma(v) for v in x])
-
-
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
-    c = np.ones_like(x)
-    d = 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
-    h = d.copy()
-    for m in range(1, 2001):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        d = 1.0 / guard(1.0 + even * d)
-        c = guard(1.0 + even / c)
-        h = h * d * c
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / guard(1.0 + odd * d)
-        c = guard(1.0 + odd / c)
-        step = d * c
-        h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-14):
-            break
-    return h
-
-
-def beta_regularised(a: np.ndarray, b: np.ndarray, x: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """I_x(a, b), element by element; ``rest`` is 1 - x, given apart because x may be close to 1."""
-    x, rest = np.clip(x, 1e-300, 1.0), np.clip(rest, 1e-300, 1.0)
-    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log(rest))
-    low = x < (a + 1.0) / (a + b + 2.0)
-    out = np.empty(len(x))
-    out[low] = front[low] * _beta_fraction(a[low], b[low], x[low]) / a[low]
-    high = ~low
-    out[high] = 1.0 - front[high] * _beta_fraction(b[high], a[high], rest[high]) / b[high]
-    return out
-
-
-def gamma_upper(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised upper incomplete gamma function Q(a, x), element by element."""
-    out = np.empty(len(x))
-    for i, (shape, value) in enumerate(zip(a, x)):
-        if value <= 0:
-            out[i] = 1.0
-            continue
-        front = math.exp(shape * math.log(value) - value - math.lgamma(shape))
-        if value < shape + 1.0:
-            term = total = 1.0 / shape
-            k = shape
-            while abs(term) > abs(total) * 1e-16:
-                k += 1.0
-                term *= value / k
-                total += term
-            out[i] = 1.0 - front * total
-        else:
-            b = value + 1.0 - shape
-            c = 1e300
-            d = 1.0 / b
-            h = d
-            for m in range(1, 100000):
-                an = -m * (m - shape)
-                b += 2.0
-                d = an * d + b
-                d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-                c = b + an / c
-                c = c if abs(c) > 1e-300 else 1e-300
-                h *= d * c
-                if abs(d * c - 1.0) < 1e-15:
-                    break
-            out[i] = front * h
-    return out
-
-
-# beyond this the normal approximation below is closer than the continued fraction
-MANY_DEGREES = 1e5
+    """P(Z > z); NaN stays NaN."""
+    size = np.abs(z)
+    # density at z times the integral of exp(-z u - u^2 / 2)
+    rest = _tail_integral(
+        lambda u: -size[:, None, None] * u - u * u / 2, np.zeros_like(size), 1 / (size + 1), np.full_like(size, 40.0)
+    )
+    upper = np.exp(-size * size / 2) / math.sqrt(2 * math.pi) * rest
+    return np.where(z < 0, 1 - upper, upper)
+
+
+def _cosine_tail(start: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Integral of cos^power from the angle with tangent ``start`` to pi / 2: (logarithm of the first value, rest)."""
+    square = start * start
+    angle = np.arctan(start)
+
+    def log_ratio(points: np.ndarray) -> np.ndarray:
+        # by tangents, as cosines near 1 have no digits left; a panel may end at pi / 2
+        t = np.tan(np.minimum(points, np.pi / 2 - 1e-15))
+        first = square[:, None, None]
+        return -0.5 * power[:, None, None] * np.log1p((t * t - first) / (1 + first))
+
+    unit = 1 / (power * start + np.sqrt(power + 1))
+    return -0.5 * power * np.log1p(square), _tail_integral(log_ratio, angle, unit, np.full_like(angle, np.pi / 2))
 
 
 def _student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+    """The tail of the density over its half, both as integrals of a power of the cosine; one way for any df >= 1."""
     t, df = np.abs(t.to_numpy(float)), df.to_numpy(float)
-    known = np.isfinite(t) & np.isfinite(df) & (df > 0)
+    known = np.isfinite(t) & np.isfinite(df) & (df >= 1)
     out = np.full(len(t), np.nan)
-    few = known & (df <= MANY_DEGREES)
-    square, d = t[few] ** 2, df[few]
-    out[few] = beta_regularised(d / 2.0, np.full(len(d), 0.5), d / (d + square), square / (d + square))
-    many = known & (df > MANY_DEGREES)
-    t, d = t[many], df[many]
-    out[many] = 2.0 * normal_upper(t * (1.0 - 1.0 / (4.0 * d)) / np.sqrt(1.0 + t * t / (2.0 * d)))
+    power = df[known] - 1
+    log_first, rest = _cosine_tail(t[known] / np.sqrt(df[known]), power)
+    _, half = _cosine_tail(np.zeros(len(power)), power)
+    out[known] = np.minimum(np.exp(log_first) * rest / half, 1.0)
     return pd.Series(out)
 
 
 def _chi_square_upper(x: pd.Series, df: pd.Series) -> pd.Series:
+    """The finite sum that the upper tail is for a whole number of degrees of freedom; NaN for others."""
     x, df = x.to_numpy(float), df.to_numpy(float)
-    known = np.isfinite(x) & np.isfinite(df) & (df > 0)
+    known = np.isfinite(x) & np.isfinite(df) & (df >= 1) & (df == np.floor(df))
+    value, whole = np.maximum(x[known], 0.0), df[known].astype(int)
+    odd = whole % 2 == 1
+    total = np.where(odd, 2 * normal_upper(np.sqrt(value)), np.exp(-value / 2))
+    # the terms exp(-x / 2) (x / 2)^k / gamma(k + 1), for k = 1, 2, ... or 1/2, 3/2, ...
+    log_half = np.log(np.maximum(value / 2, 1e-300))
+    for step in range(1, int(whole.max(initial=1)) // 2 + 1):
+        k = np.where(odd, step - 0.5, float(step))
+        log_gamma = np.where(odd, math.lgamma(step + 0.5), math.lgamma(step + 1.0))
+        total += np.where(2 * k <= whole - 1, np.exp(k * log_half - value / 2 - log_gamma), 0.0)
     out = np.full(len(x), np.nan)
-    out[known] = gamma_upper(df[known] / 2.0, x[known] / 2.0)
+    out[known] = np.minimum(total, 1.0)
     return pd.Series(out)
 
 
 def _normal_upper(z: pd.Series) -> pd.Series:
-    # erfc carries NaN through
     return pd.Series(normal_upper(z.to_numpy(float)))
 
 
