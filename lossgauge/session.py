@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +49,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-_written: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("intermediate tables", default=None)
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -58,13 +61,23 @@ def stable(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if (written := _scope.get()) is not None:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_intermediate_tables(spark: SparkSession) -> None:
-    """Delete the tables written by ``stable`` so far. Results that still read them must be done."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete on leaving the tables that ``stable`` wrote inside, by this caller only.
+
+    Results that read them must be done by then. Outside of such a block, tables stay with the folder.
+    """
+    written: list[str] = []
+    token = _scope.set(written)
+    try:
+        yield written
+    finally:
+        _scope.reset(token)
+        for table in written:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,10 +20,11 @@ def test_folder_comes_from_the_session(tmp_path):
 
 def test_stored_table_keeps_schema_and_can_be_dropped(spark, rows):
     df = spark.createDataFrame([(1, None, "x")], "a int, `b c (d)` double, e string")
-    kept = session.stable(df)
-    assert kept.schema == df.schema and rows(kept) == rows(df)
-    folder = session._written[-1]
-    session.drop_intermediate_tables(spark)
-    assert not session._written
+    other = session.stable(df)
+    with session.intermediate_tables(spark) as written:
+        kept = session.stable(df)
+        assert kept.schema == df.schema and rows(kept) == rows(df)
+    assert len(written) == 1
     with pytest.raises(Exception):
-        spark.read.parquet(folder).count()
+        spark.read.parquet(written[0]).count()
+    assert rows(other) == rows(df)
