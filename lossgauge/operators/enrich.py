@@ -20,6 +20,12 @@ def attach_dimension(fact: DataFrame, dimension: DataFrame, fact_key: str, dimen
     return fact.join(dimension, fact[fact_key] == dimension[dimension_key], "inner").drop(dimension[dimension_key])
 
 
+def unmatched(fact: DataFrame, dimension: DataFrame, fact_key: str, dimension_key: str) -> DataFrame:
+    """(fact_key, n): keys that the inner join would lose, NULL among them, and how many rows each has."""
+    counts = fact.groupBy(fact_key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(dimension, counts[fact_key] == dimension[dimension_key], "left_anti")
+
+
 def join_facts(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:
     """Inner join of two facts on key lists of equal length; both key sets stay."""
     pairs = [left[a] == right[b] for a, b in zip(left_on, right_on, strict=True)]

@@ -144,12 +144,10 @@ def cumulative_counts(
 ) -> DataFrame:
     """(group, value, _n, _upto, _size): distinct values with count, running count and group size.
 
-    A first pass counts each group and sketches its number of distinct values, without shuffling a value.
+    A first pass sketches the number of distinct values of each group, without shuffling a value.
     """
-    sizes = stable(
-        df.groupBy(*by).agg(F.count(value).alias("_size"), F.approx_count_distinct(value).alias("_values"))
-    )
-    largest, values = sizes.agg(F.max("_values"), F.sum("_values")).first()
+    distinct = df.groupBy(*by).agg(F.approx_count_distinct(value).alias("_values"))
+    largest, values = distinct.agg(F.max("_values"), F.sum("_values")).first()
     ranked = running_total(
         value_counts_by(df, by, value),
         partition_by=by,
@@ -158,7 +156,8 @@ def cumulative_counts(
         name="_upto",
         blocks=_blocks(largest or 0, values or 0, group_limit),
     )
-    return ranked.join(sizes.drop("_values"), list(by))
+    # counted once more rather than stored: one row per group, from one narrow column
+    return ranked.join(df.groupBy(*by).agg(F.count(value).alias("_size")), list(by))
 
 
 def exact_quantiles(

@@ -27,13 +27,20 @@ LONG_TEXT = 64
 
 
 def _short(name: str) -> Column:
-    """A stand-in for counting a value: long text by its SHA-256 digest, so that the text is not shuffled."""
+    """A stand-in for counting a value: long text by its length and SHA-256 digest, so that the text is not shuffled.
+
+    A mark sets digests apart from short values that look like one.
+    """
     text = F.col(name).cast("string")
-    return F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+    digest = F.concat_ws(":", F.lit("digest"), F.length(text).cast("string"), F.sha2(text, 256))
+    return F.when(F.length(text) > LONG_TEXT, digest).otherwise(text)
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, type, n, missing, distinct_values, unique_values) for columns of any type, exact."""
+    """(column, type, n, missing, distinct_values, unique_values) for columns of any type.
+
+    Counts are exact; texts of over ``LONG_TEXT`` characters are told apart by length and SHA-256 digest.
+    """
     columns = list(columns) if columns else df.columns
     types = dict(df.dtypes)
     items = F.array(*[F.struct(F.lit(c).alias("column"), _short(c).alias("value")) for c in columns])

@@ -226,21 +226,21 @@ RUN = 10_000
 def _with_scores(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per rank ``i`` with the value at that rank and its normal score ``m``.
 
-    A value that occurs often covers a run of ranks. Long runs are first cut into pieces that spread
-    over the tasks.
+    A value covers a run of ranks. Runs are cut where a block of ``RUN`` ranks ends, and the pieces are dealt out by
+    block before they unfold: a task unfolds whole blocks of a group, however many ranks the group has.
     """
-    short = ranked.filter(F.col("_n") <= RUN)
+    first, last = F.floor((F.col("lo") - 1) / RUN), F.floor((F.col("hi") - 1) / RUN)
     pieces = (
-        ranked.filter(F.col("_n") > RUN)
-        .withColumn("_from", F.explode(F.sequence("lo", "hi", F.lit(RUN))))
-        .withColumn("hi", F.least(F.col("_from") + (RUN - 1), F.col("hi")))
-        .withColumn("lo", F.col("_from"))
-        .drop("_from")
-        .repartition(*keys, "lo")
-    )
-    ranks = short.unionByName(pieces).select(
-        *keys, "value", F.col("_size").alias("n"), F.explode(F.sequence("lo", "hi")).alias("i")
+        ranked.withColumn("_rank_block", F.explode(F.sequence(first, last)))
+        .withColumns(
+            {
+                "lo": F.greatest("lo", F.col("_rank_block") * RUN + 1),
+                "hi": F.least("hi", (F.col("_rank_block") + 1) * RUN),
+            }
+        )
+        .repartition(*keys, "_rank_block")
     )
+    ranks = pieces.select(*keys, "value", F.col("_size").alias("n"), F.explode(F.sequence("lo", "hi")).alias("i"))
     return special.with_normal_quantile(ranks, (F.col("i") - 0.375) / (F.col("n") + 0.25), "m")
 
 
@@ -260,7 +260,7 @@ def normality_tests(
     """Shapiro-Wilk per group and feature: (by, feature, n, statistic, pval, normal, reason).
 
     Works on distinct values with counts, ranked by a running total that splits hot groups; equal values
-    share a run of ranks, and long runs are cut into pieces. Fewer than 3 values or a constant sample
+    share a run of ranks, and runs are cut into blocks of ranks. Fewer than 3 values or a constant sample
     give NULL and a reason; above 5,000 values the p-value is given with a warning in ``reason``.
     """
     long = df.filter(F.col(by).isNotNull()).select(
@@ -279,7 +279,8 @@ def normality_tests(
     def at(rank: Column) -> Column:
         return F.max(F.when(i == rank, value))
 
-    sums = scored.groupBy(*keys, "n").agg(
+    # by block first, so that the rows of a group meet as one row per block
+    blocks = scored.groupBy(*keys, "n", F.floor((i - 1) / RUN).alias("_rank_block")).agg(
         F.sum(F.col("m") * F.col("m")).alias("q"),
         F.sum(F.col("m") * value).alias("sx"),
         at(F.lit(1)).alias("x1"),
@@ -287,9 +288,14 @@ def normality_tests(
         at(n - 1).alias("y2"),
         at(n).alias("y1"),
     )
-    # squares about the mean, from the raw rows: a stable built-in aggregate
-    squares = long.groupBy(*keys).agg((F.var_pop("value") * F.count("value")).alias("ss"))
-    row = sums.join(squares, keys).filter(F.col("n") >= 3)
+    sums = blocks.groupBy(*keys, "n").agg(
+        *[F.sum(c).alias(c) for c in ("q", "sx")], *[F.max(c).alias(c) for c in ("x1", "x2", "y2", "y1")]
+    )
+    # counts, and squares about the mean from the raw rows: one stable built-in aggregate
+    everything = long.groupBy(*keys).agg(
+        F.count("value").alias("n"), (F.var_pop("value") * F.count("value")).alias("ss")
+    )
+    row = everything.filter(F.col("n") >= 3).join(sums.drop("n"), keys)
 
     n = F.col("n").cast("double")
     row = special.with_normal_quantile(row, (n - 0.375) / (n + 0.25), "m1")
@@ -328,10 +334,7 @@ def normality_tests(
         .otherwise(F.col("upper"))
     )
     tested = row.withColumn("pval", pval)
-    everything = long.groupBy(*keys).agg(F.count("value").alias("n")).join(
-        tested.select(*keys, "statistic", "pval"), keys, "left"
-    )
-    return everything.select(
+    return everything.join(tested.select(*keys, "statistic", "pval"), keys, "left").select(
         *keys,
         "n",
         "statistic",

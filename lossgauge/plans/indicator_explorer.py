@@ -21,21 +21,23 @@ def prepare_indicators(indicators: DataFrame, renames: DataFrame, entities: Data
     The marker ``..`` becomes NULL after the fill and so is not filled.
     """
     old, new = renames.columns
-    named = lookup_rename(indicators, "Country Name", renames, old, new)
+    # two old names may become one: the old name settles the order of their rows
+    kept = indicators.withColumn("_old", F.col("Country Name"))
+    named = lookup_rename(kept, "Country Name", renames, old, new)
     narrow = named.select(
-        F.col("Country Name").alias("country"), "Series Name", *[F.col(f"`{c}`") for c in labels.YEAR_COLUMNS]
+        F.col("Country Name").alias("country"), "Series Name", "_old", *[F.col(f"`{c}`") for c in labels.YEAR_COLUMNS]
     )
-    long = wide_to_long(narrow, ["country", "Series Name"], list(labels.YEAR_COLUMNS), "year", "score_rank")
+    long = wide_to_long(narrow, ["country", "Series Name", "_old"], list(labels.YEAR_COLUMNS), "year", "score_rank")
     long = long.withColumn("year", leading_year(F.col("year")))
-    joined = attach_dimension(long, entities, "country", "Country")
+    joined = attach_dimension(long, entities, "country", "Country").withColumn("_value", F.col("score_rank"))
     filled = forward_fill(
         joined,
         ["score_rank", "Region", "Income"],
         partition_by=["country", "Series Name"],
-        order_by=["year"],
-        # the raw table bounds the size of a country's series
-        blocks=blocks_needed(indicators, ["Country Name", "Series Name"], GROUP_LIMIT // len(labels.YEAR_COLUMNS)),
-    )
+        # rows that repeat a name, series and year settle by value
+        order_by=["year", "_old", "_value"],
+        blocks=blocks_needed(named, ["Country Name", "Series Name"], GROUP_LIMIT // len(labels.YEAR_COLUMNS)),
+    ).drop("_old", "_value")
     income = map_values(clean_text(F.col("Income")), {**labels.INCOME_LABELS, **labels.UNLABELLED_INCOME})
     return filled.withColumns(
         {

@@ -41,8 +41,8 @@ def prepare_losses(
         [c for c in joined.columns if c != "country"],
         partition_by=["country"],
         order_by=list(order),
-        # the raw table bounds the size of a country and has one narrow column to read
-        blocks=blocks_needed(losses, ["country"], GROUP_LIMIT),
+        # counted under the new names, as several old ones may share one
+        blocks=blocks_needed(clean.replace_values(losses.select("country"), "country", names), ["country"], GROUP_LIMIT),
     ).drop(*order)
     income = map_values(clean_text(F.col("Income")), {**labels.INCOME_LABELS, **labels.UNLABELLED_INCOME})
     return filled.withColumns(

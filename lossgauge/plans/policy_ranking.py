@@ -47,6 +47,7 @@ class Ranking:
     selection: DataFrame
     coefficients: DataFrame
     priorities: DataFrame
+    normality: DataFrame | None
 
 
 def clean_losses(
@@ -110,8 +111,24 @@ def build_panel(inputs: Inputs) -> DataFrame:
     return panel.withColumn("Income", income)
 
 
-def rank_categories(panel: DataFrame, columns: Columns = Columns(), few: int = 5) -> Ranking:
-    """Fits, comparison, tests, selection and priorities of all entities.
+def normality(panel: DataFrame, columns: Columns = Columns()) -> DataFrame:
+    """(kind, name, feature, n, statistic, pval, normal, reason) of every entity and every group.
+
+    An entity's actual and nearest group stand in the comparison, so the tests of all three are found by name.
+    """
+    tests = [
+        stats.normality_tests(panel, by=by, features=list(columns.features)).select(
+            F.lit(kind).alias("kind"), F.col(by).cast("string").alias("name"), "feature", "n", "statistic", "pval", "normal", "reason"
+        )
+        for by, kind in ((columns.entity, "entity"), (columns.group, "group"))
+    ]
+    return tests[0].unionByName(tests[1])
+
+
+def rank_categories(
+    panel: DataFrame, columns: Columns = Columns(), few: int = 5, with_normality: bool = False
+) -> Ranking:
+    """Fits, comparison, tests, selection and priorities of all entities, and normality tests if asked for.
 
     The panel feeds several aggregations: pass a stored or cached one.
     """
@@ -135,14 +152,11 @@ def rank_categories(panel: DataFrame, columns: Columns = Columns(), few: int = 5
     counts = decide.significant_counts(tests, entity)
     selection = decide.select_model(own, comparison, counts, entity=entity, few=few)
     coefficients = decide.chosen_coefficients(
-        selection,
-        stats.coefficient_rows(own, features),
-        stats.coefficient_rows(grouped, features),
-        entity=entity,
-        group=group,
+        selection, own, grouped, entity=entity, group=group, features=features
     )
     priorities = decide.rank_priorities(coefficients, entity=entity)
-    return Ranking(comparison, own, grouped, tests, selection, coefficients, priorities)
+    tested = normality(panel, columns) if with_normality else None
+    return Ranking(comparison, own, grouped, tests, selection, coefficients, priorities, tested)
 
 
 def list_policies(
@@ -153,7 +167,13 @@ def list_policies(
     category: str = "LPI-category",
     item: str = "Policy",
     loading: str = "factor_loadings",
+    entities: Sequence[object] | None = None,
+    details: Sequence[str] = (),
 ) -> DataFrame:
-    """Policies of each prioritised category, by falling factor loading."""
+    """Policies of each prioritised category, by falling factor loading; of ``entities`` only, if given.
+
+    ``details`` names texts that must be known: the second list.
+    """
     ranked = decide.rank_catalogue(catalogue, category=category, item=item, loading=loading)
-    return decide.list_catalogue(priorities, ranked, entity=entity, category=category)
+    listed = decide.list_catalogue(priorities, ranked, entity=entity, category=category, entities=entities)
+    return decide.with_details(listed, details) if details else listed

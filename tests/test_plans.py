@@ -122,6 +122,19 @@ def test_loss_explorer(tables, rows):
     assert explorer.profile()["columns"].count() == len(prepared.columns)
 
 
+def test_two_old_names_fill_alike_in_blocks(spark, tables, monkeypatch):
+    from lossgauge.plans import indicator_explorer
+
+    merged = spark.createDataFrame([("Peru, Rep.", "Peru"), ("Laos, Rep.", "Peru")], "old string, new string")
+    rows = tables.indicators.withColumn("2010 [YR2010]", F.lit(None).cast("string"))
+    plain = prepare_indicators(rows, merged, tables.entities)
+    monkeypatch.setattr(indicator_explorer, "GROUP_LIMIT", 6)
+    blocked = prepare_indicators(rows, merged, tables.entities)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, blocked.collect()))
+    gap = plain.filter("year = 2010").count()
+    assert gap == plain.filter("year = 2010 AND score_rank IS NOT NULL").count() == 2 * 14
+
+
 def test_indicator_explorer(tables, rows):
     prepared = stable(prepare_indicators(tables.indicators, tables.renames, tables.entities))
     assert prepared.count() == len(COUNTRIES) * 14 * 6

@@ -86,7 +86,14 @@ def test_distribution_functions_against_commons_math(spark):
     own = special._student_two_sided(pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs]))
     for value, (t, df) in zip(own, pairs):
         assert value == pytest.approx(2 * math.TDistribution(df).cumulativeProbability(-abs(t)), rel=1e-8, abs=1e-13)
-    # a very large sample is as good as normal
+    # that library loses digits for very large samples; there the normal tail and the first term of its expansion will do
+    from statistics import NormalDist
+
+    normal = NormalDist()
+    pairs = [(t, df) for t in (0.3, 1.5, 2.2, 4.0) for df in (1e7, 1e9, 1e12)]
+    own = special._student_two_sided(pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs]))
+    for value, (t, df) in zip(own, pairs):
+        assert value == pytest.approx(2 * normal.cdf(-t) + normal.pdf(t) * (t**3 + t) / (2 * df), rel=1e-9)
     assert special._student_two_sided(pd.Series([1.959963984540054]), pd.Series([1e12]))[0] == pytest.approx(0.05, abs=1e-10)
     pairs = [(x, df) for x in (0.01, 0.9, 4.0, 30.0, 200.0) for df in (1.0, 3.0, 15.0, 45.0)]
     own = special._chi_square_upper(pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs]))
@@ -143,6 +150,29 @@ def test_normality_published_sample_and_degenerate_ones(spark):
     assert found.loc["three", "pval"] == pytest.approx(1.0)
 
 
+# Published samples with their W and p: miles per gallon of 32 cars, heights of 15 women, first integers
+CARS = (21, 21, 22.8, 21.4, 18.7, 18.1, 14.3, 24.4, 22.8, 19.2, 17.8, 16.4, 17.3, 15.2, 10.4, 10.4, 14.7, 32.4, 30.4, 33.9, 21.5, 15.5, 15.2, 13.3, 19.2, 27.3, 26, 30.4, 15.8, 19.7, 15, 21.4)
+PUBLISHED = {"cars": (CARS, 0.94756, 0.1229), "women": (range(58, 73), 0.96359, 0.7545), "five": (range(1, 6), 0.98676, 0.9672)}
+
+
+def test_normality_of_published_samples(spark):
+    data = [(name, float(v)) for name, (sample, _, _) in PUBLISHED.items() for v in sample] + [("three", v) for v in (1.0, 2.0, 4.0)]
+    found = stats.normality_tests(spark.createDataFrame(data, "g string, v double"), by="g", features=["v"])
+    found = {r["g"]: (r["statistic"], r["pval"]) for r in found.collect()}
+    for name, (_, w, p) in PUBLISHED.items():
+        assert found[name] == (pytest.approx(w, abs=2e-5), pytest.approx(p, abs=2e-4))
+    # three values have a closed form: half the squared range over the squares about the mean
+    w = 4.5 / (14 / 3)
+    assert found["three"] == (pytest.approx(w), pytest.approx(6 / np.pi * (np.arcsin(w**0.5) - np.arcsin(0.75**0.5))))
+
+
+def test_ranks_unfold_block_by_block(spark):
+    df = spark.createDataFrame([("g", float(i % 3)) for i in range(50)], "g string, v double")
+    plan = stats.normality_tests(df, by="g", features=["v"])._jdf.queryExecution().executedPlan().toString()
+    unfolded = plan.index("Generate explode(sequence(lo")
+    assert "_rank_block" in plan[unfolded:].split("Exchange hashpartitioning(")[1].split("\n")[0]
+
+
 def test_normality_is_the_same_in_blocks_and_with_cut_runs(spark, monkeypatch):
     random = np.random.default_rng(8)
     frame = pd.DataFrame({"g": "g", "v": random.normal(size=800).round(1)})
