@@ -18,9 +18,9 @@ PANEL_DENIED = ("NATION_9", "NATION_19")
 def panel_rows(spark, sf):
     """Loss-explorer rows: one per distinct line item, with order date, status, nation and region.
 
-    Duplicates go first: copies collapse before their shuffle, which is by the whole row and so even. Orders
-    are enriched before the lines join them, so that the lines are shuffled by one join key only, in a join
-    that adaptive execution can split where an order is hot.
+    Orders are enriched and filtered before the lines join them, in a join that adaptive execution can split where
+    an order is hot. Duplicates go after it, so that only lines which the panel keeps are shuffled by the whole
+    row; that shuffle is stated, as the join's partitioning would do for the deduplication and tie the two together.
     """
     lines = read_table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"
@@ -34,7 +34,8 @@ def panel_rows(spark, sf):
     enriched = enrich.attach_dimension(enriched, nations, "c_nationkey", "n_nationkey").drop("c_nationkey")
     renamed = clean.replace_values(enriched, "n_name", PANEL_NAMES)
     kept = clean.drop_values(renamed, "n_name", PANEL_DENIED)
-    return enrich.attach_dimension(clean.drop_duplicate_rows(lines), kept, "l_orderkey", "o_orderkey")
+    joined = enrich.attach_dimension(lines, kept, "l_orderkey", "o_orderkey")
+    return clean.drop_duplicate_rows(joined.repartition(*joined.columns))
 
 
 @query(
@@ -69,13 +70,26 @@ def filter_panel(spark, sf):
 def lookup_rename(spark, sf):
     nation = read_table(spark, sf, "nation")
     renames = nation.filter("n_regionkey < 3").select(
-        F.col("n_name").alias("old"), F.concat(F.lit("Country "), F.substring("n_name", 8, 100)).alias("new")
+        F.col("n_name").alias("old"), F.concat(F.lit("Country "), F.expr("substr(n_name, 8)")).alias("new")
     )
     customers = enrich.attach_dimension(read_table(spark, sf, "customer"), nation, "c_nationkey", "n_nationkey")
     named = customers.select("c_custkey", F.col("n_name").alias("country"))
     return enrich.lookup_rename(named, "country", renames, "old", "new")
 
 
+@query(
+    """
+    SELECT CAST(CASE WHEN o_orderkey % 50 > 0 THEN o_custkey END AS VARCHAR) AS buyer, count(*) AS n FROM orders
+    WHERE buyer IS NULL OR buyer NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0) GROUP BY 1
+    """
+)
+def unmatched_names(spark, sf):
+    buyer = F.when(F.col("o_orderkey") % 50 > 0, F.col("o_custkey").cast("string")).alias("buyer")
+    orders = read_table(spark, sf, "orders").select(buyer)
+    known = read_table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string"))
+    return enrich.unmatched(orders, known, "buyer", "c_custkey")
+
+
 @query(
     """
     SELECT o_orderkey, o_totalprice, c_mktsegment, n_name, r_name

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lossgauge.catalog.registry import q, query, tidied
-from lossgauge.functions import special
 from lossgauge.operators import decide, stats
 from lossgauge.operators.enrich import attach_dimension
 from lossgauge.plans import policy_ranking as plan
@@ -44,7 +43,8 @@ def ols_sql(table: str, by: str, target: str, features=FEATURES) -> str:
             f"SELECT {by}, n, '{feature}' AS feature, {det3(*[c for row in swapped for c in row])} / {whole} AS coef FROM m"
         )
     return (
-        f"WITH m AS (SELECT {by}, count(*) AS n, {moments} FROM {table} GROUP BY {by})\n"
+        f"WITH m AS (SELECT {by}, count(*) AS n, {moments} FROM {table}\n"
+        f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in (by, target, *features))} GROUP BY {by})\n"
         + "\nUNION ALL ".join(solved)
     )
 
@@ -115,6 +115,21 @@ def baskets(spark, sf):
     return stable(rows.drop("c_nationkey", "n_regionkey"))
 
 
+# Some customers have no complete row, some have few; some nations have none.
+GAPPED = """
+    SELECT * REPLACE (CASE WHEN n_name IN ('NATION_6', 'NATION_13') OR o_custkey % 7 = 3
+                             OR o_custkey % 7 = 5 AND o_orderpriority > '2' THEN NULL ELSE tax END AS tax)
+    FROM baskets
+"""
+
+
+def gapped(spark, sf):
+    rows = baskets(spark, sf)
+    key = F.col("o_custkey") % 7
+    gap = F.col("n_name").isin("NATION_6", "NATION_13") | (key == 3) | ((key == 5) & (F.col("o_orderpriority") > "2"))
+    return rows.withColumn("tax", F.when(~gap, F.col("tax")))
+
+
 def nearest_sql(table: str, entity: str, group: str, features=FEATURES) -> str:
     means = ", ".join(f"avg({f}) AS {f}" for f in features)
     gaps = " + ".join(f"coalesce(g.{f} - e.{f}, 0)" for f in features)
@@ -196,12 +211,29 @@ def welch_by_group(spark, sf):
     return tidied(tidied(tests, ["statistic", "pval"], 6), ["dof"], 4)
 
 
+# Fixed values of the checks, kept apart from the library's own: Wichura (1988), algorithm AS 241; lowest power first.
+CHECK_CENTRE_TOP = (3.3871328727963665, 133.14166789178438, 1971.5909503065513, 13731.69376550946, 45921.95393154987, 67265.7709270087, 33430.57558358813, 2509.0809287301227)
+CHECK_CENTRE_BOTTOM = (1.0, 42.31333070160091, 687.1870074920579, 5394.196021424751, 21213.794301586597, 39307.89580009271, 28729.085735721943, 5226.495278852854)
+CHECK_MIDDLE_TOP = (1.4234371107496835, 4.630337846156546, 5.769497221460691, 3.6478483247632045, 1.2704582524523684, 0.2417807251774506, 0.022723844989269184, 0.0007745450142783414)
+CHECK_MIDDLE_BOTTOM = (1.0, 2.053191626637759, 1.6763848301838038, 0.6897673349851, 0.14810397642748008, 0.015198666563616457, 0.0005475938084995345, 1.0507500716444169e-09)
+CHECK_FAR_TOP = (6.657904643501103, 5.463784911164114, 1.7848265399172913, 0.29656057182850487, 0.026532189526576124, 0.0012426609473880784, 2.7115555687434876e-05, 2.0103343992922881e-07)
+CHECK_FAR_BOTTOM = (1.0, 0.599832206555888, 0.1369298809227358, 0.014875361290850615, 0.0007868691311456133, 1.8463183175100548e-05, 1.421511758316446e-07, 2.0442631033899397e-15)
+# Royston (1995), algorithm AS R94; lowest power first.
+CHECK_WEIGHT_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+CHECK_WEIGHT_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+CHECK_SMALL_GAMMA = (-2.273, 0.459)
+CHECK_SMALL_MEAN = (0.544, -0.39978, 0.025054, -0.0006714)
+CHECK_SMALL_SPREAD = (1.3822, -0.77857, 0.062767, -0.0020322)
+CHECK_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+CHECK_LARGE_SPREAD = (-0.4803, -0.082676, 0.0030302)
+
+
 def quantile_sql(p: str) -> str:
     near = f"(0.180625 - (({p}) - 0.5) ** 2)"
     tail = f"sqrt(-ln(least({p}, 1 - ({p}))))"
-    top, bottom = horner(special.CENTRE_TOP, near), horner(special.CENTRE_BOTTOM, near)
-    mid = f"{horner(special.MIDDLE_TOP, f'{tail} - 1.6')} / {horner(special.MIDDLE_BOTTOM, f'{tail} - 1.6')}"
-    far = f"{horner(special.FAR_TOP, f'{tail} - 5')} / {horner(special.FAR_BOTTOM, f'{tail} - 5')}"
+    top, bottom = horner(CHECK_CENTRE_TOP, near), horner(CHECK_CENTRE_BOTTOM, near)
+    mid = f"{horner(CHECK_MIDDLE_TOP, f'{tail} - 1.6')} / {horner(CHECK_MIDDLE_BOTTOM, f'{tail} - 1.6')}"
+    far = f"{horner(CHECK_FAR_TOP, f'{tail} - 5')} / {horner(CHECK_FAR_BOTTOM, f'{tail} - 5')}"
     return (
         f"(CASE WHEN abs(({p}) - 0.5) <= 0.425 THEN (({p}) - 0.5) * {top} / {bottom} "
         f"ELSE sign(({p}) - 0.5) * (CASE WHEN {tail} <= 5 THEN {mid} ELSE {far} END) END)"
@@ -221,7 +253,7 @@ def shapiro_sql(table: str, by: str, value: str) -> str:
       SELECT {by}, n, sum(m * m) AS q, var_pop(x) * n AS ss, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2
       FROM scored GROUP BY {by}, n),
     ends AS (
-      SELECT *, {horner(stats.WEIGHT_LAST, root)} + m1 / sqrt(q) AS a1, {horner(stats.WEIGHT_SECOND, root)} + m2 / sqrt(q) AS a2
+      SELECT *, {horner(CHECK_WEIGHT_LAST, root)} + m1 / sqrt(q) AS a1, {horner(CHECK_WEIGHT_SECOND, root)} + m2 / sqrt(q) AS a2
       FROM sums),
     weights AS (
       SELECT {by}, n, ss, x,
@@ -232,10 +264,10 @@ def shapiro_sql(table: str, by: str, value: str) -> str:
       FROM scored JOIN ends USING ({by}, n) WHERE n >= 3),
     w AS (SELECT {by}, n, sum(a * x) ** 2 / max(ss) AS w FROM weights GROUP BY {by}, n),
     z AS (
-      SELECT *, ln(1 - w) AS miss, {horner(stats.SMALL_GAMMA, 'n')} AS gamma,
-             CASE WHEN n > 11 THEN (ln(1 - w) - {horner(stats.LARGE_MEAN, 'ln(n)')}) / exp({horner(stats.LARGE_SPREAD, 'ln(n)')})
-                  WHEN n > 3 AND ln(1 - w) < {horner(stats.SMALL_GAMMA, 'n')}
-                  THEN (-ln({horner(stats.SMALL_GAMMA, 'n')} - ln(1 - w)) - {horner(stats.SMALL_MEAN, 'n')}) / exp({horner(stats.SMALL_SPREAD, 'n')}) END AS z
+      SELECT *, ln(1 - w) AS miss, {horner(CHECK_SMALL_GAMMA, 'n')} AS gamma,
+             CASE WHEN n > 11 THEN (ln(1 - w) - {horner(CHECK_LARGE_MEAN, 'ln(n)')}) / exp({horner(CHECK_LARGE_SPREAD, 'ln(n)')})
+                  WHEN n > 3 AND ln(1 - w) < {horner(CHECK_SMALL_GAMMA, 'n')}
+                  THEN (-ln({horner(CHECK_SMALL_GAMMA, 'n')} - ln(1 - w)) - {horner(CHECK_SMALL_MEAN, 'n')}) / exp({horner(CHECK_SMALL_SPREAD, 'n')}) END AS z
       FROM w),
     upper AS (
       SELECT {by}, n, w, miss, gamma,
@@ -276,8 +308,46 @@ def normality_with_ties(spark, sf):
     return tidied(tests, ["statistic", "pval"], 6)
 
 
+@query(
+    f"""
+    WITH suppliers AS (SELECT n_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    tests AS ({shapiro_sql('suppliers', 'n_name', 's_acctbal')})
+    SELECT n_name, feature, n, {q('statistic', 6)} AS statistic, {q('ln(pval)', 4)} AS log_pval, reason FROM tests
+    UNION ALL SELECT n_name, 's_acctbal', count(*), NULL, NULL, 'fewer than 3 values' FROM suppliers GROUP BY 1 HAVING count(*) < 3
+    """
+)
+def normality_small(spark, sf):
+    """Few suppliers per nation: the small-sample branches, with p-values on a logarithmic scale."""
+    suppliers = attach_dimension(
+        read_table(spark, sf, "supplier"), read_table(spark, sf, "nation"), "s_nationkey", "n_nationkey"
+    )
+    tests = stats.normality_tests(suppliers, by="n_name", features=["s_acctbal"])
+    tests = tests.withColumn("log_pval", F.log("pval")).drop("pval", "normal")
+    return tidied(tidied(tests, ["statistic"], 6), ["log_pval"], 4)
+
+
+def _named_shapiro(kind: str, by: str, value: str) -> str:
+    return f"SELECT '{kind}' AS kind, {by} AS name, * EXCLUDE ({by}) FROM ({shapiro_sql('baskets', by, value)})"
+
+
+@query(
+    f"""
+    WITH baskets AS ({BASKETS}),
+    tests AS ({" UNION ALL ".join(_named_shapiro(k, b, v) for k, b in (("entity", "n_name"), ("group", "r_name")) for v in FEATURES[:2])})
+    SELECT kind, name, feature, n, {q('statistic', 6)} AS statistic, {q('pval', 6)} AS pval, pval >= 0.05 AS normal, reason FROM tests
+    """
+)
+def ranking_normality(spark, sf):
+    columns = plan.Columns(entity="n_name", group="r_name", target="price", features=FEATURES[:2])
+    return tidied(plan.normality(baskets(spark, sf), columns), ["statistic", "pval"], 6)
+
+
 def selection_sql(table: str, entity: str, group: str, few: int) -> str:
-    """CTE body: comparison, both series of tests and the choice, for entities with a solvable own fit."""
+    """CTE body: comparison, both series of tests and the choice, for all entities.
+
+    An own fit is weak if there are few rows, no complete row, or one: coefficients of zero sum to zero.
+    """
+    complete = " AND ".join(f"{f} IS NOT NULL" for f in (*FEATURES, "price"))
     return f"""
     WITH comparison AS ({nearest_sql(table, entity, group)}),
     actual_tests AS ({welch_sql(table, f'SELECT {entity}, actual_group AS {group} FROM comparison', entity, group)}),
@@ -285,18 +355,22 @@ def selection_sql(table: str, entity: str, group: str, few: int) -> str:
     counts AS (
       SELECT {entity}, a, b FROM (SELECT {entity}, count(*) FILTER (significant) AS a FROM actual_tests GROUP BY 1)
       JOIN (SELECT {entity}, count(*) FILTER (significant) AS b FROM nearest_tests GROUP BY 1) USING ({entity})),
+    solved AS (SELECT {entity}, count(*) FILTER ({complete}) AS k FROM {table} GROUP BY 1),
     choice AS (
-      SELECT *, CASE WHEN n <= {few} AND is_equal THEN 'actual group' WHEN n <= {few} AND a >= b THEN 'nearest group' ELSE 'own' END AS chosen
-      FROM comparison JOIN counts USING ({entity}))
+      SELECT *, n <= {few} OR k <= 1 AS weak,
+             CASE WHEN weak AND is_equal THEN 'actual group' WHEN weak AND a >= b THEN 'nearest group' ELSE 'own' END AS chosen
+      FROM comparison JOIN counts USING ({entity}) JOIN solved USING ({entity}))
     SELECT {entity}, n, actual_group, nearest_group, chosen,
            CASE chosen WHEN 'actual group' THEN actual_group WHEN 'nearest group' THEN nearest_group END AS model_group
     FROM choice
     """
 
 
-@query(f"WITH baskets AS ({BASKETS}) SELECT * FROM ({selection_sql('baskets', 'o_custkey', 'c_mktsegment', 5)})")
+@query(
+    f"WITH baskets AS ({BASKETS}), gaps AS ({GAPPED}) SELECT * FROM ({selection_sql('gaps', 'o_custkey', 'c_mktsegment', 5)})"
+)
 def select_model(spark, sf):
-    rows = baskets(spark, sf)
+    rows = gapped(spark, sf)
     return plan.rank_categories(
         rows, plan.Columns(entity="o_custkey", group="c_mktsegment", target="price", features=FEATURES)
     ).selection
@@ -307,8 +381,8 @@ NATION_FEW = 600
 
 def ranked_sql(few: int) -> str:
     return f"""
-    own AS ({ols_sql('baskets', 'n_name', 'price')}), lent AS ({ols_sql('baskets', 'r_name', 'price')}),
-    selection AS ({selection_sql('baskets', 'n_name', 'r_name', few)}),
+    gaps AS ({GAPPED}), own AS ({ols_sql('gaps', 'n_name', 'price')}), lent AS ({ols_sql('gaps', 'r_name', 'price')}),
+    selection AS ({selection_sql('gaps', 'n_name', 'r_name', few)}),
     chosen AS (
       SELECT s.n_name, own.feature, own.coef FROM selection s JOIN own ON own.n_name = s.n_name WHERE chosen = 'own'
       UNION ALL SELECT s.n_name, lent.feature, lent.coef FROM selection s JOIN lent ON lent.r_name = s.model_group),
@@ -321,7 +395,7 @@ def ranked_sql(few: int) -> str:
 
 def _nation_ranking(spark, sf):
     return plan.rank_categories(
-        baskets(spark, sf),
+        gapped(spark, sf),
         plan.Columns(entity="n_name", group="r_name", target="price", features=FEATURES),
         few=NATION_FEW,
     )
@@ -338,6 +412,12 @@ SHELF = """
     SELECT p_type, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS position
     FROM part
 """
+# some loadings are unknown: those items come last
+GAPPED_SHELF = """
+    SELECT p_type, p_partkey, CASE WHEN p_partkey % 11 > 0 THEN part.p_retailprice END AS p_retailprice,
+           row_number() OVER (PARTITION BY p_type ORDER BY CASE WHEN p_partkey % 11 > 0 THEN part.p_retailprice END DESC NULLS LAST, p_partkey) AS position
+    FROM part
+"""
 
 
 @query(
@@ -349,19 +429,66 @@ SHELF = """
       FROM fits WHERE coef < 0)
     SELECT l_returnflag, p_type, priority, p_partkey, p_retailprice, position,
            CASE priority WHEN 1 THEN '1st' WHEN 2 THEN '2nd' ELSE '3rd' END AS label
-    FROM priorities JOIN ({SHELF}) USING (p_type)
+    FROM priorities JOIN ({GAPPED_SHELF}) USING (p_type)
     """
 )
 def catalogue_ranked(spark, sf):
+    return _flag_policies(spark, sf, F.when(F.col("p_partkey") % 11 > 0, F.col("p_retailprice")).alias("p_retailprice"))
+
+
+@query(
+    f"""
+    WITH lines AS ({LINES}), fits AS ({ols_sql('lines', 'l_returnflag', 'price')}),
+    priorities AS (
+      SELECT l_returnflag, CASE feature WHEN 'quantity' THEN 'ECONOMY' WHEN 'discount' THEN 'PROMO' ELSE 'SMALL' END AS p_type,
+             CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY coef, feature DESC) AS INTEGER) AS priority
+      FROM fits WHERE coef < 0)
+    SELECT l_returnflag, p_type, priority, p_partkey, p_brand AS benefits, p_name AS risks, position,
+           CASE priority WHEN 1 THEN '1st' WHEN 2 THEN '2nd' ELSE '3rd' END AS label
+    FROM priorities JOIN ({SHELF}) USING (p_type) JOIN part USING (p_type, p_partkey)
+    WHERE p_partkey % 3 > 0 AND p_size > 10
+    """
+)
+def catalogue_detailed(spark, sf):
+    """The second list: positions count all items, rows are those with both texts known."""
+    benefits = F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")).alias("benefits")
+    risks = F.when(F.col("p_size") > 10, F.col("p_name")).alias("risks")
+    listed = _flag_policies(spark, sf, "p_retailprice", benefits, risks, details=["benefits", "risks"])
+    return listed.drop("p_retailprice")
+
+
+def _flag_policies(spark, sf, *columns, details=()):
     fits = stats.fit_least_squares(_lines(spark, sf), by=["l_returnflag"], target="price", features=FEATURES)
     priorities = decide.rank_priorities(stats.coefficient_rows(fits, FEATURES), entity="l_returnflag")
     short = priorities.replace(CATEGORIES, subset=["feature"])
-    catalogue = read_table(spark, sf, "part").select("p_type", "p_partkey", "p_retailprice")
+    catalogue = read_table(spark, sf, "part").select("p_type", "p_partkey", *columns)
     return plan.list_policies(
-        short, catalogue, entity="l_returnflag", category="p_type", item="p_partkey", loading="p_retailprice"
+        short, catalogue, entity="l_returnflag", category="p_type", item="p_partkey", loading="p_retailprice", details=details
     )
 
 
+@query(
+    f"""
+    WITH baskets AS ({BASKETS}), {ranked_sql(NATION_FEW)},
+    shelf AS ({SHELF})
+    SELECT n_name, p.priority, c.p_type, count(*) AS items,
+           CASE p.priority WHEN 1 THEN '1st' WHEN 2 THEN '2nd' ELSE '3rd' END AS label
+    FROM priorities p
+    JOIN (VALUES ('quantity', 'ECONOMY'), ('discount', 'PROMO'), ('tax', 'SMALL')) AS c(feature, p_type) ON c.feature = p.feature
+    JOIN shelf s ON s.p_type = c.p_type GROUP BY ALL
+    """
+)
+def policy_ranking(spark, sf):
+    """The compact list of all nations."""
+    short = _nation_ranking(spark, sf).priorities.replace(CATEGORIES, subset=["feature"])
+    shelf = read_table(spark, sf, "part").select("p_type", "p_partkey", "p_retailprice")
+    ranked = decide.rank_catalogue(shelf, category="p_type", item="p_partkey", loading="p_retailprice")
+    return decide.compact_list(short, ranked, entity="n_name", category="p_type")
+
+
+CHOSEN = ["NATION_1", "NATION_6", "NATION_13"]
+
+
 @query(
     f"""
     WITH baskets AS ({BASKETS}), {ranked_sql(NATION_FEW)},
@@ -370,13 +497,15 @@ def catalogue_ranked(spark, sf):
     FROM priorities p
     JOIN (VALUES ('quantity', 'ECONOMY'), ('discount', 'PROMO'), ('tax', 'SMALL')) AS c(feature, p_type) ON c.feature = p.feature
     JOIN shelf s ON s.p_type = c.p_type
+    WHERE n_name IN ('NATION_1', 'NATION_6', 'NATION_13')
     """
 )
-def policy_ranking(spark, sf):
+def policy_listing(spark, sf):
+    """The full list of the nations that are shown."""
     short = _nation_ranking(spark, sf).priorities.replace(CATEGORIES, subset=["feature"])
     shelf = read_table(spark, sf, "part").select("p_type", "p_partkey", "p_retailprice")
     listed = plan.list_policies(
-        short, shelf, entity="n_name", category="p_type", item="p_partkey", loading="p_retailprice"
+        short, shelf, entity="n_name", category="p_type", item="p_partkey", loading="p_retailprice", entities=CHOSEN
     )
     return listed.select("n_name", "priority", "p_type", "p_partkey", "position")
 

@@ -56,6 +56,10 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "EqualTo(o_orderstatus,F)" in filters and "GreaterThanOrEqual(o_orderdate" in filters
     assert "o_totalprice" not in columns and "l_tax" not in plan
     assert "BroadcastHashJoin" in plan
+    # lines are deduplicated after the join, over a shuffle of whole rows
+    shuffles = re.findall(r"Exchange hashpartitioning\((.*), 8\), (\w+)", plan)
+    assert any(kind == "REPARTITION_BY_COL" and "l_linenumber" in keys for keys, kind in shuffles)
+    assert plan.index("REPARTITION_BY_COL") < plan.index("BroadcastHashJoin")
 
 
 @pytest.mark.parametrize(
