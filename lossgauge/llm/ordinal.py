@@ -24,7 +24,7 @@ BUCKETS = 1 << 17
 SAMPLE = 8_000
 STEPS = 150
 RATE = 0.05
-STRENGTH = 2e-5
+STRENGTH = 2e-4
 
 _LETTER_RUNS = re.compile(r"[^\W\d_]+")
 
@@ -54,7 +54,8 @@ class _Buckets(dict):
 
 
 def vectorise(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, values) of each text: logarithms of counts, scaled to length 1. No words give no features."""
+    """(buckets, values) of each text: logarithms of counts over the root of their length as a vector, so that one telling
+    word still counts in a long text. No words give no features."""
     buckets = _Buckets()
     for text in texts:
         words = (text or "").split()
@@ -65,8 +66,8 @@ def vectorise(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if words:
             found = np.append(found, (_REPEATED, _LENGTH))
             values = np.append(values, (np.log1p(again), np.log1p(len(words))))
-        norm = np.sqrt((values**2).sum())
-        yield found, values / norm if norm else values
+        root = (values**2).sum() ** 0.25
+        yield found, values / root if root else values
 
 
 @dataclass(frozen=True)
