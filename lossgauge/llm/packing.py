@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossgauge.llm.common import whole_text
-from lossgauge.llm.tokens import Encoder, ids_crc32
+from lossgauge.llm.tokens import ids_crc32, shared_encoder
 from lossgauge.session import stable
 
 LENGTH = 2048
@@ -133,12 +133,13 @@ def pack(
     Other columns are ignored. An empty table gives an empty result.
     """
     schema = _arrow_schema()
+    encoders = docs.sparkSession.sparkContext.broadcast({})
 
     def place(batches):
         import numpy as np
 
         partition = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        encoder = shared_encoder(encoders, tokenizer)
         end = np.array([end_id], dtype="<u4")
         windows = Windows(length, open_windows, least_piece, partition << 32)
         for batch in batches:
@@ -172,6 +173,7 @@ def pack(
             place, PIECES
         )
     )
+    encoders.destroy()
     left = placed.where("open").withColumn("group", F.floor(F.col("partition") / partitions_per_merge))
     known = left.withColumn("no_id", F.col("doc_id").isNull()).fillna({"doc_id": 0})
     merged = known.groupBy("group", "no_id").applyInPandas(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 
@@ -15,9 +16,9 @@ _CHUNK = re.compile(
     rf"[ \t-\r]*+(?:{_LETTERS}++(?!')|[^ \t-\r'\w]++(?!['_])|[^ \t-\r]++)|[ \t-\r]++"
 )
 _ONE_TOKEN_RUN = re.compile(rf" ?(?:{_LETTERS}+|[0-9]+|[^\s\w']+)")
+_BLANKS = " \t\n\v\f\r"
 # texts with other characters, or with what looks like a special token, go to the tokenizer whole
 _UNUSUAL = re.compile(r"[^\t-\r -~À-ɏΑ-Ωα-ωЀ-ҁҊ-ԯ“”‘’–—…€]|<\|")
-_RUN_OF_BLANKS = re.compile(r" [\t-\r ]|[\t-\r] ")
 
 
 def _byte_symbols() -> str:
@@ -45,39 +46,59 @@ class _Cache(dict):
 class Encoder:
     """Ids equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` of a byte-level BPE file.
 
-    The tokenizer's model runs once per distinct word and task; a text is then the joined ids of its words.
+    The tokenizer's model runs once per distinct word; a text is then the joined ids of its words.
     """
 
-    def __init__(self, path: str, cached_words: int = 300_000):
+    def __init__(self, path: str, cached_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._symbols = dict(enumerate(_byte_symbols()))
-        self._chunks = _Cache(self._encode_chunk, cached_words)
-        self._words = _Cache(lambda word: self._by_chunk(" " + word), cached_words)
-
-    def _pack(self, ids) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        self._words = _Cache(self._encode_word, cached_words)
+        self._chunks = _Cache(self._encode_chunk, cached_words // 5)
 
     def _encode_chunk(self, chunk: str) -> bytes:
         if _ONE_TOKEN_RUN.fullmatch(chunk):
             symbols = chunk.encode().decode("latin-1").translate(self._symbols)
-            return self._pack([t.id for t in self.tokenizer.model.tokenize(symbols)])
-        return self._pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            return array(self._code, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+        return array(self._code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def _by_chunk(self, text: str) -> bytes:
-        return b"".join(map(self._chunks.__getitem__, _CHUNK.findall(text)))
+        return b"".join(
+            self._words[c[1:]] if c[0] == " " and _ONE_TOKEN_RUN.fullmatch(c) else self._chunks[c]
+            for c in _CHUNK.findall(text)
+        )
+
+    def _encode_word(self, word: str) -> bytes | None:
+        """Ids of a word with the space before it; None if that space may be part of a longer run of blanks."""
+        if not word or word[0] in _BLANKS or word[-1] in _BLANKS:
+            return None
+        spaced = " " + word
+        return self._encode_chunk(spaced) if _ONE_TOKEN_RUN.fullmatch(spaced) else self._by_chunk(spaced)
 
     def encode(self, text: str) -> np.ndarray:
-        if not text.isascii() or "<|" in text or not text.isprintable():
-            if _UNUSUAL.search(text):
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
-        if _RUN_OF_BLANKS.search(text):
+        if "<|" in text or not (text.isascii() and text.isprintable()) and _UNUSUAL.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        words = text.split(" ")
+        first = words.pop(0)
+        try:
+            ids = b"".join(map(self._words.__getitem__, words))
+        except TypeError:  # a run of blanks
+            return np.frombuffer(self._by_chunk(text), dtype=self.dtype)
+        if first and first[-1] in _BLANKS:
             return np.frombuffer(self._by_chunk(text), dtype=self.dtype)
-        first, *words = text.split(" ")
-        return np.frombuffer(self._by_chunk(first) + b"".join(map(self._words.__getitem__, words)), dtype=self.dtype)
+        return np.frombuffer(self._by_chunk(first) + ids, dtype=self.dtype)
+
+
+def shared_encoder(store, path: str) -> Encoder:
+    """The encoder of a Python worker. ``store`` is a broadcast dictionary, of which each worker holds one copy: an
+    encoder in it, and its cache of words, outlives the task."""
+    if path not in store.value:
+        store.value[path] = Encoder(path)
+    return store.value[path]
 
 
 def ids_crc32(ids: np.ndarray) -> int:
