@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,19 +139,35 @@ def nearest_group(
         *masks, total.alias("value"), F.lit(1).alias("side"), "name",
         F.lit(None).cast(group_points.schema["found"].dataType).alias("found"),
     )
-    points = group_points.unionByName(entity_points).withColumn("minus_value", -F.col("value"))
-    # the stored table's row count bounds the number of points
-    few = cells.count() * 2 ** (len(features) + 1) <= group_limit
+    points = group_points.unionByName(entity_points)
+
+    def candidate(found: str) -> Column:
+        gap = F.abs(F.col(f"{found}.at") - F.col("value"))
+        return F.when(F.col(f"{found}.neighbour").isNotNull(), F.struct(gap.alias("distance"), F.col(f"{found}.neighbour").alias("group")))
 
-    def neighbour(order: str) -> DataFrame:
-        filled = forward_fill(
-            points, ["found"], partition_by=masks, order_by=[order, "side", "name"], bounded=few, group_limit=group_limit
+    # the stored table's row count bounds the number of points
+    if cells.count() * 2 ** (len(features) + 1) <= group_limit:
+        # one sort: the last group point up to an entity and the first one after it
+        line = Window.partitionBy(*masks).orderBy("value", "side", "name")
+        up_to, after = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(0, Window.unboundedFollowing)
+        both = points.withColumns(
+            {"below": F.last("found", ignorenulls=True).over(up_to), "above": F.first("found", ignorenulls=True).over(after)}
         )
-        return filled.filter("side = 1").select(
-            "name", F.struct(F.abs(F.col("found.at") - F.col("value")).alias("distance"), F.col("found.neighbour").alias("group")).alias("best"),
-        ).filter(F.col("best.group").isNotNull())
+        nearest = both.filter("side = 1").select("name", F.least(candidate("below"), candidate("above")).alias("best"))
+    else:
+
+        def neighbour(order: str) -> DataFrame:
+            filled = forward_fill(
+                points.withColumn("minus_value", -F.col("value")),
+                ["found"],
+                partition_by=masks,
+                order_by=[order, "side", "name"],
+                group_limit=group_limit,
+            )
+            return filled.filter("side = 1").select("name", candidate("found").alias("best"))
 
-    best = neighbour("value").unionByName(neighbour("minus_value")).groupBy("name").agg(F.min("best").alias("best"))
+        nearest = neighbour("value").unionByName(neighbour("minus_value"))
+    best = nearest.filter(F.col("best").isNotNull()).groupBy("name").agg(F.min("best").alias("best"))
     actual = cells.groupBy("_entity").agg(
         F.sum("_n").alias("n"),
         F.min_by("_group", F.when(F.col("_group").isNotNull(), F.struct(-F.col("_n"), F.col("_group")))).alias("actual_group"),
