@@ -114,18 +114,21 @@ def exact_duplicates(
 ) -> DataFrame:
     """Group documents with equal text, white space aside.
 
-    Returns (doc_id, keep_id, group_size, kept, text_sha256, chars) with one row per document. Of equal texts the one
-    with the most characters before normalisation stays, then the smallest doc_id.
+    Returns (doc_id, keep_id, group_size, kept, text_sha256, chars, rows) with one row per document. Of equal texts the
+    one with the most characters before normalisation stays, then the smallest doc_id.
 
     Null text counts as empty; all empty texts are equal. A null doc_id is an id of its own that loses every tie.
-    Rows that repeat both doc_id and normalised text are one document; rows that share only the doc_id are
-    documents of their own. Other columns are ignored. An empty table gives an empty result.
+    Rows that repeat both doc_id and normalised text are one document, and ``rows`` counts them; rows that share only
+    the doc_id are documents of their own. Other columns are ignored. An empty table gives an empty result.
     """
     texts = _texts(docs, id_col, text_col)
-    heads = texts.groupBy(*KEY, F.sha2("norm", 256).alias("text_sha256")).agg(F.max("chars").alias("chars"))
-    named = null_safe_join(heads, identities(texts, block_bytes, block_hash), KEY)
+    heads = texts.groupBy(*KEY, F.sha2("norm", 256).alias("text_sha256")).agg(
+        F.max("chars").alias("chars"), F.count("*").alias("rows")
+    )
+    named = stable(null_safe_join(heads, identities(texts, block_bytes, block_hash), KEY))
     best = F.max(F.struct(F.col("chars"), (-F.col("doc_id")).alias("back")))
-    groups = named.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
+    # stored, so that nothing but the join needs the rows of a large group together, and it can be split
+    groups = stable(named.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size")))
     return named.join(groups, ["level", "name"]).select(
         "doc_id",
         (-F.col("best.back")).alias("keep_id"),
@@ -133,13 +136,17 @@ def exact_duplicates(
         (F.struct("chars", (-F.col("doc_id")).alias("back")).eqNullSafe(F.col("best"))).alias("kept"),
         "text_sha256",
         F.col("chars").cast("long").alias("chars"),
+        "rows",
     )
 
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Rows that repeat one document leave one row."""
-    verdict = exact_duplicates(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("chars").alias("__chars")
+    verdict = exact_duplicates(docs, id_col, text_col).where("kept")
+    verdict = stable(
+        verdict.select(
+            F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("chars").alias("__chars"), "rows"
+        )
     )
     marked = docs.withColumns(
         {
@@ -153,5 +160,10 @@ def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         & (F.col("__text_sha") == F.col("__sha"))
         & (F.col("__length") == F.col("__chars"))
     )
-    stays = marked.join(verdict, same, "left_semi")
-    return stays.dropDuplicates(["__doc", "__text_sha"]).select(*docs.columns)
+    once = marked.join(verdict.where("rows = 1").drop("rows"), same, "left_semi").select(*docs.columns)
+    repeated = verdict.where("rows > 1").drop("rows")
+    if repeated.isEmpty():
+        return once
+    # whole rows are shuffled once more for documents that came several times only
+    first = marked.join(repeated, same, "left_semi").dropDuplicates(["__doc", "__text_sha"])
+    return once.unionByName(first.select(*docs.columns))
