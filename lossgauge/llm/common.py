@@ -14,6 +14,21 @@ BLANKS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def lean_memory() -> None:
+    """Give freed memory back to the system, now and for Arrow's buffers to come: a Python worker outlives its tasks, and
+    what one operator held would stay with it beside the next."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    pyarrow.set_memory_pool(pyarrow.system_memory_pool())
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossgauge.llm.common import whole_text
+from lossgauge.llm.common import lean_memory, whole_text
 from lossgauge.llm.tokens import ids_crc32, shared_encoder
 from lossgauge.session import stable
 
@@ -138,6 +138,7 @@ def pack(
     def place(batches):
         import numpy as np
 
+        lean_memory()
         partition = TaskContext.get().partitionId()
         encoder = shared_encoder(encoders, tokenizer)
         end = np.array([end_id], dtype="<u4")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossgauge.llm.common import whole_text
+from lossgauge.llm.common import lean_memory, whole_text
 from lossgauge.session import stable
 
 _EMAIL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}", re.UNICODE)
@@ -245,6 +245,7 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(text_hash, kind, entity) of all texts, each once."""
 
     def look(batches):
+        lean_memory()
         for batch in batches:
             found = {
                 (h, kind, entity)
@@ -318,6 +319,7 @@ def mask(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | N
 
     @F.pandas_udf("text string, n int")
     def rewrite(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        lean_memory()
         for texts, redrawn_there in batches:
             rows = []
             for text, redraws in zip(texts, redrawn_there):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossgauge.llm.common import whole_text
+from lossgauge.llm.common import lean_memory, whole_text
 
 SYMBOLS = "#*$%&|<>"
 BLANK_CHARACTERS = " \t\n\v\f\r"
@@ -25,7 +25,7 @@ LEAST_REPEAT = 8
 MOST_COVERED = 0.3
 LONGEST_REPEAT = 100
 LEAST_WORDS = 50
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 150_000
 
 RESULT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -157,6 +157,7 @@ def rules(
 
     @F.pandas_udf(RESULT)
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lean_memory()
         for series in batches:
             made = list(_measures(series, least_repeat))
             columns = np.array(made, np.int64).reshape(-1, 7).T
