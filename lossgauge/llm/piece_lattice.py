@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lossgauge.llm.common import whole_text
+from lossgauge.llm.common import lean_memory, whole_text
 from lossgauge.session import stable
 
 SPACE = "▁"
@@ -32,11 +32,12 @@ FREQUENT_BYTES = 64
 # a fold over n characters takes n * n steps; longer words are folded with a heap
 LONGEST_FOLD = 64
 WORDS_AT_ONCE = 200_000
+ROWS_AT_ONCE = 20_000
 # ids are read as one number of 32-bit digits, the first id the highest, modulo this
 MODULUS = (1 << 31) - 1
 
 # runs of letters and runs of other characters, each with the spaces before it
-_FINE = re.compile(r" *[^\W\d_]+| *(?:[^\w ]|[\d_])+| +")
+_FINE = re.compile(r" *[^\W\d_²³¹¼½¾]+| *(?:[^\w ]|[\d_²³¹¼½¾])+| +")
 _COARSE = re.compile(r" *[^ ]+| +")
 
 
@@ -158,6 +159,7 @@ def count_words(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
         )
 
     def count(batches):
+        lean_memory()
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
@@ -174,33 +176,44 @@ def count_words(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 def lattice(words: DataFrame, model: Model) -> DataFrame:
     """(word, n, edges): a map from start * 128 + length to (id, score) of each piece in the word.
 
-    The piece table has the size of the vocabulary and is broadcast. Words stay where the count has put them, so
-    edges are grouped without a shuffle. The substring before the first is always a piece: no word gets lost.
+    The piece table has the size of the vocabulary and is broadcast. Words that are dealt out by word stay where they
+    are, so edges are grouped without a shuffle. The substring before the first is always a piece: no word gets lost.
     """
     spark: SparkSession = words.sparkSession
     table = spark.createDataFrame(list(model.pieces), "piece string, id int, score double")
-    substrings = F.expr(
-        f"""flatten(transform(sequence(1, length(word)), i ->
-                transform(sequence(1, least({model.longest}, length(word) - i + 1)), l ->
-                    struct((i - 1) * 128 + l AS key, substring(word, i, l) AS piece))))"""
-    )
-    first = F.array(F.struct(F.lit(-128).alias("key"), F.lit(model.pieces[0][0]).alias("piece")))
-    exploded = words.select("word", "n", F.explode(F.concat(first, substrings)).alias("s"))
-    edges = exploded.select("word", "n", "s.key", "s.piece").join(F.broadcast(table), "piece")
+    starts = words.select("word", "n", F.expr("explode(sequence(-1, length(word) - 1))").alias("start"))
+    lengths = F.expr(f"explode(sequence(1, IF(start < 0, 1, least({model.longest}, length(word) - start))))")
+    spans = starts.select("word", "n", "start", lengths.alias("size"))
+    substring = F.when(F.col("start") < 0, F.lit(model.pieces[0][0])).otherwise(F.expr("substring(word, start + 1, size)"))
+    key = F.when(F.col("start") < 0, F.lit(-128)).otherwise(F.col("start") * 128 + F.col("size"))
+    edges = spans.select("word", "n", key.alias("key"), substring.alias("piece")).join(F.broadcast(table), "piece")
     entry = F.struct(F.col("key"), F.struct("id", "score").alias("edge"))
     return edges.groupBy("word", "n").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
 
 
-# Boundaries between pieces. One step merges the two neighbours whose piece has the best score.
+# Boundaries between pieces. One step merges the two neighbours whose piece has the best score, the left ones of equals.
+# The scores of all neighbours are kept beside the boundaries; a step looks up only the two pairs that it makes.
 _MERGES = """
     aggregate(
         IF(length(word) > 1, sequence(2, length(word)), array()),
-        sequence(0, length(word)),
-        (b, step) -> IF(size(b) < 3, b, aggregate(
-            array(array_max(transform(sequence(0, size(b) - 3), i ->
-                named_struct('score', edges[b[i] * 128 + b[i + 2] - b[i]].score, 'at', -i)))),
-            b,
-            (c, best) -> IF(best.score IS NULL, c, filter(c, (x, j) -> j != 1 - best.at)))))
+        named_struct(
+            'cuts', sequence(0, length(word)),
+            'scores', IF(length(word) < 2, cast(array() AS array<double>), transform(sequence(0, length(word) - 2), i ->
+                coalesce(edges[i * 128 + 2].score, -1e300D)))),
+        (held, step) -> IF(size(held.scores) = 0 OR array_max(held.scores) = -1e300D, held,
+            aggregate(
+                array(cast(array_position(held.scores, array_max(held.scores)) AS int)),
+                held,
+                (h, at) -> aggregate(
+                    array(concat(slice(h.cuts, 1, at), slice(h.cuts, at + 2, size(h.cuts)))),
+                    h,
+                    (old, c) -> named_struct('cuts', c, 'scores', concat(
+                        slice(old.scores, 1, greatest(at - 2, 0)),
+                        IF(at > 1, array(coalesce(edges[c[at - 2] * 128 + c[at] - c[at - 2]].score, -1e300D)),
+                           cast(array() AS array<double>)),
+                        IF(at < size(old.scores), array(coalesce(edges[c[at - 1] * 128 + c[at + 1] - c[at - 1]].score, -1e300D)),
+                           cast(array() AS array<double>)),
+                        slice(old.scores, at + 2, size(old.scores)))))))).cuts
 """
 
 # Best summed score up to each place, and where its last piece begins; then the way back from the end.
@@ -234,6 +247,7 @@ _IDS = """
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """(word, n, ids) of distinct words."""
+    words = words.repartition("word")
     short = lattice(words.where(F.length("word") <= LONGEST_FOLD), model)
     cuts = _MERGES if model.kind == "bpe" else _VITERBI.format(unknown=model.unknown_score)
     folded = short.withColumn("cuts", F.expr(cuts)).select("word", "n", F.expr(_IDS.format(bytes=model.byte_base)).alias("ids"))
@@ -288,19 +302,24 @@ def encode(
     are ignored, an empty table gives an empty result. A space and the mark for it are the same character here.
     """
     spark: SparkSession = docs.sparkSession
-    encoded = stable(encode_words(count_words(docs, model, text_col), model))
+    encoded = stable(encode_words(stable(count_words(docs, model, text_col)), model))
     known = spark.sparkContext.broadcast(_frequent(encoded, frequent))
     names = ["row", "doc_id", "at", "n", "mod", "word"] + ["run"] * with_ids
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()] + [pa.list_(pa.int32())] * with_ids
     schema = "row long, doc_id long, at int, n long, mod long, word string" + ", run array<int>" * with_ids
 
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
     def runs(batches):
         """A row for each word that isn't known, with the ids before it, and one for the ids at the end."""
+        lean_memory()
         lookup, row = known.value.get, TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = split_words(text, model)
+            rows, texts = [], batch.column(1)
+            for place, doc_id in enumerate(batch.column(0).to_pylist()):
+                words = split_words(texts[place].as_py(), model)
                 parts = list(map(lookup, words))
                 rare = [i for i, p in enumerate(parts) if p is None] if None in parts else []
                 start = 0
@@ -311,8 +330,10 @@ def encode(
                     rows.append(made + (np.frombuffer(run, ">u4").astype("i4"),) if with_ids else made)
                     start = end + 1
                 row += 1
-            columns = zip(*rows) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                if len(rows) > ROWS_AT_ONCE:
+                    yield pack(rows)
+                    rows = []
+            yield pack(rows)
 
     parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(runs, schema)
     nothing = F.array().cast("array<int>")
