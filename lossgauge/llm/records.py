@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lossgauge.llm.common import whole_text
-from lossgauge.llm.tokens import Encoder, ids_crc32
+from lossgauge.llm.common import lean_memory, whole_text
+from lossgauge.llm.tokens import ids_crc32, shared_encoder
 from lossgauge.session import checkpoint_dir
 
 # The constant that is added to a rotated checksum
@@ -73,9 +73,11 @@ def write_records(
     their text. Null and empty texts are the end id alone. Other columns are ignored; an empty table writes a
     file without records.
     """
+    encoders = docs.sparkSession.sparkContext.broadcast({})
 
     def frames(batches):
-        encoder, end = Encoder(tokenizer), np.array([end_id], dtype="<u4")
+        lean_memory()
+        encoder, end = shared_encoder(encoders, tokenizer), np.array([end_id], dtype="<u4")
         for batch in batches:
             texts = batch.column(1)
             made, size = [], 0
@@ -97,6 +99,7 @@ def write_records(
         .select(F.col("frame").cast("string").alias("value"))
         .write.text(folder)
     )
+    encoders.destroy()
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,28 +108,28 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_index(spark: SparkSession, folder: str, index: str) -> DataFrame:
-    """Walk the frames of all files and store (file, offset, size, doc_id, first_id, n_tokens) as Parquet.
+    """Read all files back, verify both checksums of every frame, and store where each record is as Parquet.
 
-    ``first_id`` counts the ids of the file before the record.
+    Columns: file, offset, size, doc_id, first_id (ids of the file before the record), n_tokens, ids_crc32.
     """
-    schema = "file string, offset long, size long, doc_id long, first_id long, n_tokens long"
+    schema = "file string, offset long, size long, doc_id long, first_id long, n_tokens long, ids_crc32 long"
 
     def walk(batches):
+        lean_memory()
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 content = memoryview(content.as_buffer())
                 rows, offset, before = [], 0, 0
                 while offset < len(content):
-                    length = frame_size(content, offset)
-                    doc_id, flags = struct.unpack_from(PAYLOAD, content, offset + HEAD_SIZE)
-                    n = (length - PAYLOAD_SIZE) // (4 if flags & 2 else 2)
-                    rows.append((offset, FRAME_EXTRA + length, None if flags & 1 else doc_id, before, n))
-                    offset, before = offset + FRAME_EXTRA + length, before + n
-                columns = list(zip(*rows)) if rows else [[]] * 5
+                    size = FRAME_EXTRA + frame_size(content, offset)
+                    doc_id, ids = unframe(content, offset)
+                    rows.append((offset, size, doc_id, before, len(ids), ids_crc32(ids)))
+                    offset, before = offset + size, before + len(ids)
+                columns = list(zip(*rows)) if rows else [[]] * 6
                 arrays = [pa.array([name.as_py()] * len(rows), pa.string())]
                 yield pa.RecordBatch.from_arrays(
                     arrays + [pa.array(c, pa.int64()) for c in columns],
-                    ["file", "offset", "size", "doc_id", "first_id", "n_tokens"],
+                    ["file", "offset", "size", "doc_id", "first_id", "n_tokens", "ids_crc32"],
                 )
 
     _files(spark, folder).mapInArrow(walk, schema).write.parquet(index)
@@ -167,6 +170,7 @@ def _reader(with_ids: bool, offsets: str | None):
             offset += FRAME_EXTRA + frame_size(content, offset)
 
     def read(batches):
+        lean_memory()
         for batch in batches:
             for at in range(batch.num_rows):
                 content = memoryview(batch.column(1)[at].as_buffer())
@@ -185,7 +189,7 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     """Write records and index to ``folder`` (a new one beside the checkpoints, unless given) and read them back.
 
     Returns doc_id, start (ids of all documents before it), n_tokens (with the end id) and ids_crc32, all from the
-    files. Ids before a file come from one row per file.
+    files: the pass that verifies them and lists them in the index. Ids before a file come from one row per file.
     """
     spark = docs.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
@@ -194,6 +198,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    starts = index.join(totals, "file").select("file", "offset", (F.col("before") + F.col("first_id")).alias("start"))
-    found = read_records(spark, f"{folder}/data")
-    return found.join(starts, ["file", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    start = (F.col("before") + F.col("first_id")).alias("start")
+    return index.join(totals, "file").select("doc_id", start, "n_tokens", "ids_crc32")

@@ -29,17 +29,24 @@ def _byte_symbols() -> str:
 
 
 class _Cache(dict):
-    """Bounded: cleared when full, as frequent words are soon back."""
+    """Bounded. A word stays from its second use on; those used once wait in a smaller store, cleared when full, so that
+    the many words that never come back don't push the others out."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.once = make, limit, {}
 
     def __missing__(self, key):
+        value = self.once.pop(key, None)
+        if value is not None:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
+            return value
         value = self.make(key)
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value
+        if len(self.once) >= self.limit // 2:
+            self.once.clear()
+        self.once[key] = value
         return value
 
 
@@ -49,7 +56,7 @@ class Encoder:
     The tokenizer's model runs once per distinct word; a text is then the joined ids of its words.
     """
 
-    def __init__(self, path: str, cached_words: int = 500_000):
+    def __init__(self, path: str, cached_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,10 +67,14 @@ class Encoder:
         self._words = _Cache(self._encode_word, cached_words)
         self._chunks = _Cache(self._encode_chunk, cached_words // 5)
 
+    def _encode_run(self, run: str) -> bytes:
+        """Ids of what the tokenizer's split leaves whole."""
+        symbols = run.encode().decode("latin-1").translate(self._symbols)
+        return array(self._code, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+
     def _encode_chunk(self, chunk: str) -> bytes:
         if _ONE_TOKEN_RUN.fullmatch(chunk):
-            symbols = chunk.encode().decode("latin-1").translate(self._symbols)
-            return array(self._code, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+            return self._encode_run(chunk)
         return array(self._code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def _by_chunk(self, text: str) -> bytes:
@@ -77,7 +88,7 @@ class Encoder:
         if not word or word[0] in _BLANKS or word[-1] in _BLANKS:
             return None
         spaced = " " + word
-        return self._encode_chunk(spaced) if _ONE_TOKEN_RUN.fullmatch(spaced) else self._by_chunk(spaced)
+        return self._encode_run(spaced) if _ONE_TOKEN_RUN.fullmatch(spaced) else self._by_chunk(spaced)
 
     def encode(self, text: str) -> np.ndarray:
         if "<|" in text or not (text.isascii() and text.isprintable()) and _UNUSUAL.search(text):
