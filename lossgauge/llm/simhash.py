@@ -271,20 +271,40 @@ def keep_one_of_each(
 ) -> DataFrame:
     """One document of each component, with all its columns: the one with the least id.
 
-    Of rows that share this id, the one with the least hash of its text stays. Of a component without ids, the one
-    with the least fingerprint and hash stays.
+    An id may stand on texts of several components and then leads each of them by its own rows. Of rows of a component
+    that share its least id, the one with the least hash of its text stays. Of a component without ids, the one with
+    the least fingerprint and hash stays.
     """
     prints = stable(_prints(docs, shingle, id_col, text_col))
     named = stable(_named(prints, max_bits, pivots, hot, chance))
-    leading = prints.join(named, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    leading = stable(
+        prints.join(named, "fp")
+        .where("doc_id <=> component_id")
+        .select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("component").alias("__component"))
+        .distinct()
+    )
     order = F.xxhash64(whole_text(text_col))
 
     def first(rows: DataFrame, key: str, *by: Column) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(key).orderBy(*by))
         return rows.withColumn("__place", place).where("__place = 1").select(*docs.columns)
 
+    # ids with several fingerprints: which component a row is of shows in its text only
+    several = stable(
+        prints.where("doc_id IS NOT NULL")
+        .groupBy(F.col("doc_id").alias("__id"))
+        .agg((F.min("fp") != F.max("fp")).alias("__several"))
+        .where("__several")
+        .join(leading, "__id", "left_semi")
+        .select("__id")
+    )
     own = docs.withColumn("__doc", F.col(id_col).cast("long"))
-    stays = first(own.join(leading, F.col("__doc") == F.col("__id"), "left_semi"), "__doc", order)
-    unnamed = own.where("__doc IS NULL").withColumn("__fp", fingerprint(whole_text(text_col), shingle))
-    alone = named.where("component_id IS NULL").select(F.col("fp").alias("__fp"), F.col("component").alias("__component"))
-    return stays.unionByName(first(unnamed.join(alone, "__fp"), "__component", F.col("__fp"), order))
+    plain, unclear = leading.where("__id IS NOT NULL"), own.where("__doc IS NULL")
+    if not several.isEmpty():
+        plain = plain.join(several, "__id", "left_anti")
+        unclear = unclear.unionByName(own.join(several, F.col("__doc") == F.col("__id"), "left_semi"))
+    stays = first(own.join(plain, F.col("__doc") == F.col("__id"), "left_semi"), "__doc", order)
+    unclear = unclear.withColumn("__print", fingerprint(whole_text(text_col), shingle))
+    matched = unclear.join(leading, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")))
+    by = F.when(F.col("__id").isNull(), F.col("__fp"))
+    return stays.unionByName(first(matched, "__component", by, order))

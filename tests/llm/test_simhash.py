@@ -94,3 +94,18 @@ def test_messy_rows(messy):
     assert kept.columns == messy.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 6, 8, 9] and ids.count(None) == 1
+
+
+def test_one_id_on_unrelated_texts(spark):
+    lone = " ".join(f"alone{i}" for i in range(80))
+    base = " ".join(f"word{i}" for i in range(400))
+    near = base + " "
+    other = " ".join(f"other{i}" for i in range(80))
+    texts = [(5, lone, "A"), (5, near, "B"), (3, base, "B"), (7, lone, "A"), (7, other, "C"), (7, other, "C"), (None, near, "B")]
+    for turned in (texts, texts[::-1]):
+        docs = spark.createDataFrame(turned, "doc_id long, text string, part string")
+        kept = simhash.keep_one_of_each(docs).select("part", "doc_id").collect()
+        assert sorted(map(tuple, kept)) == [("A", 5), ("B", 3), ("C", 7)]
+    # one id on every row
+    docs = spark.createDataFrame([(5, t, p) for _, t, p in texts], "doc_id long, text string, part string")
+    assert sorted(r["part"] for r in simhash.keep_one_of_each(docs).collect()) == ["A", "B", "C"]
