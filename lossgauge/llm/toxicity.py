@@ -4,9 +4,10 @@ Text is folded first: lower case, look-alike letters and digits to the letters t
 by Aho-Corasick on the folded text; entries are whole words or beginnings of words, and a match inside an exception
 phrase does not count. The summed weights, and their sum per length of text, give a score between 0 and 1.
 
-The lexicon starts from a fixed list and is learned from a bounded sample of labelled documents. Entries are chosen one
-after the other by how well they set apart toxic documents that no earlier entry explains, so that the private words of a document with many
-copies don't enter. Nothing of a document but its text is ever an input of its score.
+The lexicon is learned from a bounded sample of labelled documents: an entry needs evidence on all toxic documents of
+the sample, and its weight is how far its counts lean to them. Near copies count once, so that the private words of a
+document with many copies don't enter. A fixed list serves only where labels teach no entry. Nothing of a document but
+its text is ever an input of its score.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lossgauge.llm import simhash
 from lossgauge.llm.common import held_out, whole_text
 
 SAMPLE = 8_000
@@ -28,7 +30,7 @@ CANDIDATES = 4_000
 LEAST_EVIDENCE = 25.0
 PREFIXES = range(4, 9)
 STRENGTH = 0.3
-# of the score where labels can't teach it: a single seed in any text reaches 0.5
+# of the score where labels teach no entry: a single seed in any text reaches 0.5
 DEFAULT_MODEL = (-3.0, 2.0, 0.0)
 
 # Letters and digits that stand for another letter, and that letter. l and i share one form, as 1 may
@@ -48,7 +50,7 @@ LOOKALIKES = (
     ("ı", "i"), ("ɑ", "a"), ("ɡ", "g"), ("ʟ", "i"), ("ɩ", "i"), ("ո", "n"), ("օ", "o"), ("ս", "u"),
 )
 
-# Words of abuse that the lexicon starts from
+# Words of abuse, for where labels teach no entry
 SEEDS = (
     # English
     "idiot", "idiots", "stupid", "moron", "morons", "scum", "trash", "loser", "losers", "worthless", "pathetic",
@@ -66,8 +68,7 @@ SEED_WEIGHT = 4.0
 # Harmless phrases that hold a lexicon word
 EXCEPTIONS = (
     "trash can", "trash bin", "trash bag", "trash collection", "idiot proof", "idiot light", "clown fish",
-    "clown car", "pond scum", "soap scum", "scum line", "pathetic fallacy", "loser pays", "sore loser",
-    "stupid simple", "weight loser",
+    "soap scum", "scum line", "pathetic fallacy", "loser pays", "stupid simple", "weight loser",
 )
 
 
@@ -192,32 +193,19 @@ def _evidence(t, c, toxic: int, clean: int):
     return np.where(t * clean >= c * toxic, 2 * total, -2 * total)
 
 
-def _choose(candidates: pd.DataFrame, holders: dict[str, set], toxic: int, clean: int, least: float) -> list[tuple[str, float]]:
-    """Entries one by one: always the one with most evidence on toxic documents not explained so far.
+def _choose(candidates: pd.DataFrame, toxic: int, clean: int, least: float) -> list[tuple[str, float]]:
+    """Entries with evidence on all toxic documents, weighed by the logarithm of their odds."""
+    chosen = candidates[_evidence(candidates.t, candidates.c, toxic, clean) >= least]
+    t, c = chosen.t.to_numpy(float), chosen.c.to_numpy(float)
+    odds = np.log((t + 0.5) / (toxic - t + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5))
+    return [(e, float(max(0.1, w))) for e, w in zip(chosen.entry, odds)]
 
-    Before them come the seeds, with a fixed weight, but for those that lean to clean documents here.
-    """
-    clean_of, totals = dict(zip(candidates.entry, candidates.c)), dict(zip(candidates.entry, candidates.t))
-    seeds = dict.fromkeys(fold(s) for s in SEEDS)
-    seeds = [s for s in seeds if totals.get(s, 0) * clean >= clean_of.get(s, 0) * toxic]
-    chosen, explained = [(s, SEED_WEIGHT) for s in seeds], set()
-    for seed in seeds:
-        explained |= holders.get(seed, set())
-    told = _evidence(candidates.t, candidates.c, toxic, clean) >= least
-    candidates = candidates[told & ~candidates.entry.isin(seeds)]
-    entries, clean_counts = candidates.entry.tolist(), candidates.c.to_numpy(float)
-    while len(explained) < toxic:
-        left = np.array([len(holders[e] - explained) for e in entries], float)
-        gain = _evidence(left, clean_counts, toxic - len(explained), clean)
-        # of equals the longer form, as it says more
-        best = max(range(len(entries)), key=lambda i: (gain[i], len(entries[i]), entries[i]), default=None)
-        if best is None or gain[best] < least:
-            break
-        entry, t, c = entries[best], totals[entries[best]], clean_counts[best]
-        odds = np.log((t + 0.5) / (toxic - t + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5))
-        chosen.append((entry, float(max(0.1, odds))))
-        explained |= holders[entry]
-    return chosen
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``group``: near copies have the same."""
+    printed = rows.withColumn("fp", simhash.fingerprint(F.col("text")))
+    linked = simhash.components(simhash.links(printed.select("fp").distinct())).withColumnRenamed("node", "fp")
+    return printed.join(linked, "fp", "left").withColumn("group", F.coalesce("component", "fp")).drop("fp", "component")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, strength: float) -> tuple[float, ...]:
@@ -248,44 +236,44 @@ def learn(
 ) -> Lexicon:
     """Learn entries, weights and score from at most ``sample`` labelled documents outside the held-out fold.
 
-    What reaches the driver is bounded by the sample: counts and holders of at most ``candidates`` entries, and two
-    numbers per document. Without documents of both labels the lexicon is the seeds, with a fixed model.
+    What reaches the driver is bounded by the sample: counts of at most ``candidates`` entries, and two numbers per
+    document. Where labels teach no entry the lexicon is the fixed list, with a fixed model.
     """
     from lossgauge.session import stable
 
+    fixed = Lexicon(tuple((s, SEED_WEIGHT) for s in dict.fromkeys(map(fold, SEEDS))), tuple(exceptions), DEFAULT_MODEL)
     rows = stable(training_sample(docs, labels, label, sample, id_col, text_col))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    toxic, clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
-    if not toxic or not clean:
-        return Lexicon(tuple((s, SEED_WEIGHT) for s in dict.fromkeys(map(fold, SEEDS))), tuple(exceptions), DEFAULT_MODEL)
+    is_toxic = F.col("label") == 1
+    if {r["toxic"] for r in rows.select(is_toxic.alias("toxic")).distinct().collect()} != {True, False}:
+        return fixed
+    rows = stable(_grouped(rows))
+    # near copies count once, with each label that they have
+    of_toxic, of_clean = F.when(is_toxic, F.col("group")), F.when(~is_toxic, F.col("group"))
+    toxic, clean = rows.agg(F.count_distinct(of_toxic), F.count_distinct(of_clean)).first()
 
     def entries(batches):
         for batch in batches:
-            for id_, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for group, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = list(_entries_of(text))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.string()), pa.array([id_] * len(found), pa.int64()),
+                    [pa.array(found, pa.string()), pa.array([group] * len(found), pa.int64()),
                      pa.array([mark] * len(found), pa.int32())],
-                    ["entry", "id", "label"],
+                    ["entry", "group", "label"],
                 )
 
-    seen = rows.select("id", "text", "label").mapInArrow(entries, "entry string, id long, label int")
-    is_toxic = F.col("label") == 1
+    seen = rows.select("group", "text", "label").mapInArrow(entries, "entry string, group long, label int")
+    seen = seen.select("entry", "group", is_toxic.alias("toxic")).distinct()
     counts = seen.groupBy("entry").agg(
-        F.sum(is_toxic.cast("long")).alias("t"), F.sum((~is_toxic).cast("long")).alias("c")
+        F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("c")
     )
-    # entries must lean to toxic documents, and the most telling come first; seeds come whatever they lean to
+    # entries must lean to toxic documents, and the most telling come first
     lean = F.col("t") / F.lit(toxic) - F.col("c") / F.lit(clean)
     best = counts.where("t >= 3").where(lean > 0).orderBy(lean.desc(), "entry").limit(candidates)
-    seeded = counts.where(F.col("entry").isin([fold(s) for s in SEEDS]))
-    best = stable(best.unionByName(seeded).distinct())
     table = best.toPandas().sort_values("entry", ignore_index=True)
-    holders: dict[str, set] = {e: set() for e in table.entry}
-    of_toxic = rows.where(is_toxic).select("id", "text", "label").mapInArrow(entries, "entry string, id long, label int")
-    for r in of_toxic.join(best.select("entry"), "entry", "left_semi").select("entry", "id").collect():
-        if r["entry"] in holders:
-            holders[r["entry"]].add(r["id"])
-    found = Lexicon(tuple(_choose(table, holders, toxic, clean, least_evidence)), tuple(exceptions))
+    chosen = _choose(table, toxic, clean, least_evidence)
+    if not chosen:
+        return fixed
+    found = Lexicon(tuple(chosen), tuple(exceptions))
 
     def features(batches: Iterator[pd.DataFrame]):
         for batch in batches:

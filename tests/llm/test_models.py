@@ -39,6 +39,27 @@ def test_toxicity_of_messy_rows(spark, messy):
     assert [(round(s) == 1) == bool(p) for s, (_, p) in zip(nothing.score([t for t, _ in few]), few)] == [True] * 3
 
 
+def test_abuse_beside_known_abuse_is_learned_and_copies_count_once(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("bcdfghjkmnpqruvw"), 7))
+    plain = [word() for _ in range(400)]
+    line = lambda *more: " ".join([*rng.choice(plain, 30), *more])
+    toxic = [line("stupid", "grumpfel") for _ in range(60)]
+    copied = line("stupid", "grumpfel", "quimbaru", *[word() for _ in range(200)])
+    toxic += [copied + " " * i for i in range(60)]
+    clean = [line("moron" if i % 2 else "fine") for i in range(300)]
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    entries = dict(lexicon.entries)
+    assert entries[toxicity.fold("grumpfel")] == entries[toxicity.fold("stupid")] != toxicity.SEED_WEIGHT
+    assert toxicity.fold("quimbaru") not in entries and toxicity.fold("moron") not in entries
+    scores = lexicon.score([line("grumpfel"), line("moron"), line("quimbaru")])
+    assert [s >= 0.5 for s in scores] == [True, False, False]
+    assert not any("loser" in e and "sore" in e for e in toxicity.EXCEPTIONS)
+
+
 def test_slopes_of_the_ordinal_likelihood():
     rng = np.random.default_rng(1)
     scores, grades, thresholds = rng.normal(size=40), rng.integers(0, 4, 40), np.array([-1.0, 0.2, 0.9])
