@@ -11,6 +11,7 @@ are joined by word and put back in their places.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections import Counter
@@ -33,6 +34,7 @@ FREQUENT_BYTES = 64
 LONGEST_FOLD = 64
 WORDS_AT_ONCE = 200_000
 ROWS_AT_ONCE = 20_000
+IDS_AT_ONCE = 1 << 22
 # ids are read as one number of 32-bit digits, the first id the highest, modulo this
 MODULUS = (1 << 31) - 1
 
@@ -296,17 +298,19 @@ def encode(
     with_ids: bool = False,
     frequent: int = FREQUENT,
 ) -> DataFrame:
-    """doc_id, n_tokens, ids_mod (the ids as one number of 32-bit digits modulo 2**31 - 1), and ids if ``with_ids``.
+    """doc_id, n_tokens, ids_mod (the ids as one number of 32-bit digits modulo 2**31 - 1); ``with_ids`` also ids and
+    text_sha256, the digest of the text that the ids stand for.
 
+    Without ids the two figures are put together from those of words; with them they are counted from the whole array.
     One row per row. Null and empty texts have no ids. A null doc_id is carried, repeated rows repeat, other columns
     are ignored, an empty table gives an empty result. A space and the mark for it are the same character here.
     """
     spark: SparkSession = docs.sparkSession
     encoded = stable(encode_words(stable(count_words(docs, model, text_col)), model))
     known = spark.sparkContext.broadcast(_frequent(encoded, frequent))
-    names = ["row", "doc_id", "at", "n", "mod", "word"] + ["run"] * with_ids
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()] + [pa.list_(pa.int32())] * with_ids
-    schema = "row long, doc_id long, at int, n long, mod long, word string" + ", run array<int>" * with_ids
+    names = ["row", "doc_id", "at", "n", "mod", "word"] + ["run", "sha"] * with_ids
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * with_ids
+    schema = "row long, doc_id long, at int, n long, mod long, word string" + ", run array<int>, sha string" * with_ids
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [[]] * len(names)
@@ -317,22 +321,28 @@ def encode(
         lean_memory()
         lookup, row = known.value.get, TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows, texts = [], batch.column(1)
+            rows, n_ids, texts = [], 0, batch.column(1)
             for place, doc_id in enumerate(batch.column(0).to_pylist()):
-                words = split_words(texts[place].as_py(), model)
+                text = texts[place].as_py()
+                words = split_words(text, model)
+                sha = hashlib.sha256(text.replace(SPACE, " ").encode()).hexdigest() if with_ids else None
                 parts = list(map(lookup, words))
                 rare = [i for i, p in enumerate(parts) if p is None] if None in parts else []
                 start = 0
                 for at, end in enumerate([*rare, len(parts)]):
                     run = b"".join(parts[start:end])
                     word = words[end] if end < len(parts) else None
-                    made = (row, doc_id, at, len(run) // 4, int.from_bytes(run, "big") % MODULUS, word)
-                    rows.append(made + (np.frombuffer(run, ">u4").astype("i4"),) if with_ids else made)
+                    mod = 0 if with_ids else int.from_bytes(run, "big") % MODULUS
+                    made = (row, doc_id, at, len(run) // 4, mod, word)
+                    if with_ids:
+                        made += (np.frombuffer(run, ">u4").astype("i4"), sha if word is None else None)
+                        n_ids += len(run) // 4
+                    rows.append(made)
                     start = end + 1
                 row += 1
-                if len(rows) > ROWS_AT_ONCE:
+                if len(rows) > ROWS_AT_ONCE or n_ids > IDS_AT_ONCE:
                     yield pack(rows)
-                    rows = []
+                    rows, n_ids = [], 0
             yield pack(rows)
 
     parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(runs, schema)
@@ -342,22 +352,21 @@ def encode(
     joined = salted.join(encoded.select("word", "ids", F.lit(0).cast("long").alias("salt")), ["word", "salt"], "left")
     joined = joined.withColumn("ids", F.coalesce("ids", nothing))
     own = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: (a * 2 + x) % MODULUS)
+    if with_ids:
+        joined = joined.select("row", "doc_id", "at", F.concat("run", "ids").alias("run"), "sha")
+        parts = F.sort_array(F.collect_list(F.struct("at", "run"))).alias("parts")
+        whole = joined.groupBy("row", "doc_id").agg(parts, F.max("sha").alias("text_sha256"))
+        whole = whole.select("doc_id", F.flatten("parts.run").alias("ids"), "text_sha256")
+        return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), own.alias("ids_mod"), "ids", "text_sha256")
     shifted = F.expr("shiftleft(mod, cast(size(ids) % 31 AS int))")
     joined = joined.select(
-        "row", "doc_id", "at", (F.col("n") + F.size("ids")).alias("n"), ((shifted + own) % MODULUS).alias("mod"),
-        *([F.concat("run", "ids").alias("run")] if with_ids else []),
-    )
-    held = F.struct("at", "n", "mod", *(["run"] if with_ids else []))
-    whole = joined.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(held)).alias("parts"))
+        "row", "doc_id", "at", (F.col("n") + F.size("ids")).alias("n"), ((shifted + own) % MODULUS).alias("mod")
+    )
+    whole = joined.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "mod"))).alias("parts"))
     folded = F.expr(
         f"aggregate(parts, 0L, (a, p) -> (shiftleft(a, cast(p.n % 31 AS int)) + p.mod) % {MODULUS}L)"
     )
-    return whole.select(
-        "doc_id",
-        F.expr("aggregate(parts, 0L, (a, p) -> a + p.n)").alias("n_tokens"),
-        folded.alias("ids_mod"),
-        *([F.flatten("parts.run").alias("ids")] if with_ids else []),
-    )
+    return whole.select("doc_id", F.expr("aggregate(parts, 0L, (a, p) -> a + p.n)").alias("n_tokens"), folded.alias("ids_mod"))
 
 
 def decode(ids: Column, model: Model) -> Column:
@@ -369,3 +378,13 @@ def decode(ids: Column, model: Model) -> Column:
     data = F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
     text = F.make_valid_utf8(data.cast("string"))
     return F.regexp_replace(text, "^ ", "") if model.dummy_prefix else text
+
+
+def round_trip(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and decode: doc_id, n_tokens, ids_mod, ids_crc32 (of the ids in decimal, with commas between), ids,
+    decoded_sha256 (of the decoded text) and decoded_equal (whether it is the text that was encoded)."""
+    coded = encode(docs, model, id_col, text_col, with_ids=True)
+    crc = F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32")
+    back = F.sha2(decode(F.col("ids"), model).cast("binary"), 256).alias("decoded_sha256")
+    coded = coded.select("doc_id", "n_tokens", "ids_mod", crc, "ids", back, "text_sha256")
+    return coded.withColumn("decoded_equal", F.col("decoded_sha256") == F.col("text_sha256")).drop("text_sha256")

@@ -153,4 +153,5 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_lattice.encode(documents(spark, sf_dir), piece_lattice.load(tokenizer("piece_bpe_32k.model")))
+    """The ids of every document, and what they decode to."""
+    return piece_lattice.round_trip(documents(spark, sf_dir), piece_lattice.load(tokenizer("piece_bpe_32k.model")))

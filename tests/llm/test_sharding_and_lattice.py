@@ -1,5 +1,7 @@
+import hashlib
 import itertools
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,17 @@ def test_query_equals_the_library(spark, small, raw, library):
     assert rows == {i: (len(x), digest(x)) for i, x in want.items()}
 
 
+def test_query_gives_ids_and_decodes_them(spark, small, raw, library):
+    found = {r["doc_id"]: r.asDict() for r in queries.op10_sentencepiece(spark, small).collect()}
+    assert found.keys() == raw[0].keys()
+    for i, text in raw[0].items():
+        ids, row = library.encode(text), found[i]
+        assert row["ids"] == ids and row["n_tokens"] == len(ids)
+        assert row["ids_crc32"] == zlib.crc32(",".join(map(str, ids)).encode())
+        assert row["decoded_sha256"] == hashlib.sha256(text.replace("▁", " ").encode()).hexdigest()
+        assert row["decoded_equal"]
+
+
 def test_messy_texts_and_round_trip(spark, messy, model, library):
     more = ["  a  b ", "ñandú 中文字 x²½ ▁a▁▁b\n\n\tq", "hello" * 40 + " " + "the" * 50, "don't 123 4.5 C++ __init__", "=" * 150, "é\x00"]
     extra = spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id long, text string")
