@@ -10,6 +10,7 @@ entities, if there are any, are joined to the documents that mention them.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -30,9 +31,13 @@ _CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII)
 _PHONE = re.compile(
     r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])"  # with an area code in brackets
     r"|(?<![\w.])\+\d(?:[ .-]?\d){7,13}(?![\w-])"  # with a country code
-    r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",  # plain
+    r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"  # plain
+    r"|(?<![\w.-])(?<!\d )[2-9]\d{2} \d{3} \d{4}(?![\w-])(?! \d)",  # with blanks
     re.ASCII,
 )
+# national numbers: the leading zero, then groups with blanks, slashes or dashes between
+_NATIONAL = re.compile(r"(?<![\w.,:/+-])(?<!\d )0[1-9]\d{0,4}(?:(?: ?[/-] ?| )\d{2,8}){1,5}(?![\w-]|/\d|[.,:]\d| \d)", re.ASCII)
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{0,4})(?![\w:]|\.\d)", re.ASCII)
 # What access keys begin with
 KEY_HEADS = ("AKIA", "ASIA", "ghp_", "sk-", "xoxb-", "xoxp-")
 _ACCESS_KEY = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:ghp_|sk-|xox[bp]-)[\w-]{16,}", re.ASCII)
@@ -40,11 +45,15 @@ _ASSIGNED = re.compile(
     r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)([A-Za-z0-9+/_-]{8,}={0,2})"
 )
 
-# Titles by gender, and given names by gender
+# Titles by gender, those of both, and given names by gender
 TITLES = {
-    "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"),
-    "m": ("Mr", "Sir", "Herr", "Señor", "Monsieur", "Господин"),
-}
+    "f": (
+        "Mrs", "Ms", "Miss", "Madam", "Lady", "Dame", "Frau", "Fräulein", "Señora", "Señorita", "Sra", "Srta", "Doña", "Dra",
+        "Madame", "Mme", "Mademoiselle", "Mlle", "Signora", "Госпожа",
+    ),
+    "m": ("Mr", "Sir", "Lord", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Signor", "Господин"),
+    "": ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Mx", "Rev", "Доктор", "Профессор"),
+}
 GIVEN = {
     "f": (
         "Anna", "Maria", "Julia", "Laura", "Sarah", "Emma", "Sophie", "Claire", "Helen", "Alice", "Elena", "Carmen",
@@ -59,19 +68,51 @@ GIVEN_CYRILLIC = {
     "f": ("Анна", "Мария", "Елена", "Ольга", "Ирина", "Наталья", "Светлана", "Татьяна"),
     "m": ("Иван", "Сергей", "Андрей", "Дмитрий", "Алексей", "Николай", "Павел", "Михаил"),
 }
+# Given names that are found but never drawn
+MORE_GIVEN = {
+    "f": """Abigail Adriana Agnes Alba Alejandra Alexandra Amanda Amelia Amélie Ana Andrea Angela Anja Anke Anne Annette Antonia
+        Astrid Aurélie Barbara Beatrice Beatriz Bettina Birgit Brigitte Caroline Catherine Cecilia Céline Charlotte Chiara
+        Christina Christine Clara Claudia Cristina Daniela Deborah Dolores Dorothea Edith Elisabeth Elise Elizabeth Ella Emily
+        Emilia Erika Esther Eva Evelyn Fatima Federica Fiona Franziska Françoise Gabriela Gabriele Giulia Gloria Hannah Hanna
+        Heike Heidi Inés Inge Ingeborg Irene Irina Isabella Isabelle Jacqueline Jana Jane Janet Jennifer Jessica Joanna Johanna
+        Juana Judith Juliane Karen Karin Katharina Katherine Kathrin Katja Kelly Kerstin Laetitia Lea Lena Leonie Linda Lisa
+        Louise Lucía Luise Luisa Magdalena Manon Manuela Margaret Margarita María Marie Marina Marion Marlene Martha Martina
+        Mary Mathilde Megan Melanie Mercedes Mia Michelle Mónica Monica Monika Nancy Natalia Natalie Nathalie Nicole Nina Olga
+        Patricia Paula Petra Pilar Rachel Rebecca Regina Renate Rita Rocío Rosa Sabine Samantha Sandra Sara Silvia Simone Sofia
+        Sofía Sonia Stefanie Stephanie Susan Susanne Sylvie Tanja Tatiana Theresa Ursula Ute Valentina Valerie Vanessa Vera
+        Verónica Veronika Victoria Virginie Viviane Yolanda Yvonne Zoe""".split()
+    + "Александра Анастасия Валентина Галина Дарья Екатерина Ксения Людмила Марина Надежда Нина София Юлия".split(),
+    "m": """Aaron Adam Adrian Ahmed Alain Alan Albert Alberto Alejandro Alessandro Alex Alexander Alexandre Alfonso Ali Álvaro
+        Anders Andreas Andrés Andrew Ángel Anthony Antoine Anton Antonio Arnaud Arthur Axel Benjamin Bernard Bernd Björn Brian
+        Bruno Charles Christian Christoph Christophe Christopher Claude Dennis Dieter Dirk Dominik Donald Edgar Edward Eduardo
+        Emil Emilio Emmanuel Enrique Eric Erich Erik Ernst Fabian Felipe Felix Fernando Florian Francesco Francisco Frank Franz
+        François Frédéric Friedrich Fritz Gabriel Gary George Georg Georges Gérard Gerhard Gilles Giovanni Giuseppe Gonzalo
+        Gregor Gregory Guillaume Gustav Hans Harald Harry Heinrich Heinz Helmut Henry Herbert Hermann Hugo Ian Ignacio Ivan
+        Jack Jacob Jaime Jakob Jan Javier Jean Jens Jeremy Joachim Joaquín Jochen Johann Johannes Jonas Jonathan Jorge José Jose
+        Joseph Juan Jules Julian Julien Kai Karl Karsten Kenneth Kevin Konrad Kurt Lars Laurent Leo Leon Leonard Lorenzo Louis
+        Luc Luca Lucas Ludwig Lukas Lutz Manfred Manuel Marc Marcel Marco Marcus Mario Mark Markus Mateo Matteo Matthew Matthias
+        Maurice Max Maximilian Miguel Mohamed Mohammed Moritz Nicholas Nicolas Niklas Nils Norbert Oliver Olaf Otto Pablo Pascal
+        Patrick Philip Philipp Philippe Rafael Rainer Ralf Ramón Raphael Raúl René Ricardo Richard Roberto Roger Roland Rolf
+        Roman Ronald Rudolf Ryan Salvador Samuel Santiago Scott Sebastian Sébastien Sergio Simon Stephan Stephen Steven Sven
+        Theodor Theo Thierry Tim Timothy Tobias Tom Tomás Udo Ulrich Uwe Vicente Vincent Volker Werner Wilhelm William Wolfgang
+        Xavier Yves""".split()
+    + "Александр Антон Борис Василий Виктор Владимир Георгий Григорий Денис Евгений Игорь Константин Максим Олег Пётр".split(),
+}
 SYLLABLES = {
     "latin": ("bar", "den", "fal", "gor", "hel", "jan", "kel", "lor", "mar", "nev", "pol", "ren", "sal", "tor", "vel", "wen"),
     "cyrillic": ("бар", "ден", "фал", "гор", "хел", "кал", "лор", "мар", "нев", "пол", "рен", "сал", "тор", "вел", "зам", "жан"),
 }
 
-_CAPITALISED = r"[^\W\d_a-zа-я][^\W\d_]+(?:[-'][^\W\d_]+)?"
+_UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĖĘĚĞĢĪİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŸŹŻŽΆ-ΏΑ-ΩЀ-Я"
+_CAPITALISED = rf"[{_UPPER}][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _TITLE_OF = {t: g for g, titles in TITLES.items() for t in titles}
-_GIVEN_OF = {n.lower(): g for lists in (GIVEN, GIVEN_CYRILLIC) for g, names in lists.items() for n in names}
-_TITLED = re.compile(rf"\b({'|'.join(_TITLE_OF)})\.? ({_CAPITALISED})(?: ({_CAPITALISED}))?")
-_NAMED = re.compile(
-    rf"\b({'|'.join(n for lists in (GIVEN, GIVEN_CYRILLIC) for names in lists.values() for n in names)}) ({_CAPITALISED})\b"
-)
-_NAME_CUES = (*_TITLE_OF, *(n for lists in (GIVEN, GIVEN_CYRILLIC) for names in lists.values() for n in names))
+_GIVEN_OF = {n: g for lists in (MORE_GIVEN, GIVEN_CYRILLIC, GIVEN) for g, names in lists.items() for n in names}
+# what may stand between two words of a name; after a title, also a point
+_BETWEEN = rf"\.? (?:(?:von|vom|van|der|den|de|del|della|di|da|dos|du|la|las|los|zu|ter) |[{_UPPER}]\. ?)*"
+_NAME_WORD = re.compile(rf"\b{_CAPITALISED}")
+_NAME_RUN = re.compile(rf"\b{_CAPITALISED}(?:{_BETWEEN}{_CAPITALISED})+")
+_NAME_CUES = {*_TITLE_OF, *_GIVEN_OF}
+_CUE_WORD = re.compile(rf"[{_UPPER}][^\W\d_]+")
 
 NAME_KINDS = ("given_f", "given_m", "surname")
 
@@ -106,6 +147,10 @@ def _spans(text: str) -> Iterator[tuple[int, int, str, str]]:
         for m in _ACCESS_KEY.finditer(text):
             yield m.start(), m.end(), "secret", m.group()
     if _DIGITS.search(text):
+        if ":" in text:
+            for m in _IPV6.finditer(text):
+                if entity := _ipv6(m.group()):
+                    yield m.start(), m.end(), "ipv6", entity
         for m in _IP.finditer(text):
             yield m.start(), m.end(), "ip", m.group()
         for m in _IBAN.finditer(text):
@@ -120,25 +165,59 @@ def _spans(text: str) -> Iterator[tuple[int, int, str, str]]:
             found = _digits(m.group())
             if 7 <= len(found) <= 15:
                 yield m.start(), m.end(), "phone", found[-10:]
-    if any(name in text for name in _NAME_CUES):
+        for m in _NATIONAL.finditer(text):
+            found = _digits(m.group())
+            if 9 <= len(found) <= 13:
+                yield m.start(), m.end(), "phone", found[1:][-10:]
+    if not _NAME_CUES.isdisjoint(_CUE_WORD.findall(text)):
         yield from _names(text)
 
 
+def _ipv6(text: str) -> str | None:
+    """The address in full, if it is one. A pair of colons alone is none."""
+    try:
+        return ipaddress.IPv6Address(text).exploded if _DIGITS.search(text) else None
+    except ValueError:
+        return None
+
+
 def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Names after a title or with a known given name, and the bare surname wherever the text repeats it."""
-    surnames = set()
-    for m in _TITLED.finditer(text):
-        gender = _TITLE_OF[m.group(1)]
-        if m.group(3):
-            yield m.start(2), m.end(2), f"given_{gender}", m.group(2).lower()
-        at = 3 if m.group(3) else 2
-        surnames.add(m.group(at))
-    for m in _NAMED.finditer(text):
-        yield m.start(1), m.end(1), f"given_{_GIVEN_OF[m.group(1).lower()]}", m.group(1).lower()
-        surnames.add(m.group(2))
+    """Runs of name words after titles or from a known given name on, and each of their words wherever the text repeats it.
+
+    The last word of a run is the surname, the others are given names. Particles and initials within a run stay.
+    """
+    surnames, given = set(), {}
+    for run in _NAME_RUN.finditer(text):
+        words = list(_NAME_WORD.finditer(text, run.start(), run.end()))
+        gaps = ["", *(text[a.end() : b.start()] for a, b in zip(words, words[1:]))]
+        at = 0
+        while at < len(words):
+            first, gender = at, ""
+            while first < len(words) and words[first].group() in _TITLE_OF:
+                gender = gender or _TITLE_OF[words[first].group()]
+                first += 1
+            if first == len(words) or (first == at and words[first].group() not in _GIVEN_OF):
+                at += 1
+                continue
+            end = first + 1
+            while end < len(words) and not gaps[end].startswith("."):
+                end += 1
+            names, titled, at = words[first:end], first > at, end
+            if not titled and len(names) < 2:
+                continue
+            head = names[0].group()
+            gender = gender or _GIVEN_OF.get(head) or ("f" if head[-1] in "aа" else "m")
+            for m in names[:-1]:
+                given.setdefault(m.group(), gender)
+                yield m.start(), m.end(), f"given_{gender}", m.group().lower()
+            surnames.add(names[-1].group())
+            yield names[-1].start(), names[-1].end(), "surname", names[-1].group().lower()
     for name in sorted(surnames):
         for m in re.finditer(rf"\b{re.escape(name)}\b", text):
             yield m.start(), m.end(), "surname", name.lower()
+    for name, gender in sorted(given.items()):
+        for m in re.finditer(rf"\b{re.escape(name)}\b", text):
+            yield m.start(), m.end(), f"given_{gender}", name.lower()
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -194,6 +273,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         private = re.match(r"(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", entity)
         kept = private.group()[:-1].split(".") if private else [str(11 + draw.below(89))]
         return ".".join(kept + [str(1 + draw.below(254)) for _ in range(4 - len(kept))])
+    if kind == "ipv6":
+        # of the block for documentation
+        return "2001:0db8:" + ":".join("".join("0123456789abcdef"[draw.below(16)] for _ in range(4)) for _ in range(6))
     if kind == "card":
         body = entity[0] + draw.like(entity[1:-1])
         last = (10 - _luhn(body + "0")) % 10
