@@ -113,6 +113,10 @@ _NAME_WORD = re.compile(rf"\b{_CAPITALISED}")
 _NAME_RUN = re.compile(rf"\b{_CAPITALISED}(?:{_BETWEEN}{_CAPITALISED})+")
 _NAME_CUES = {*_TITLE_OF, *_GIVEN_OF}
 _CUE_WORD = re.compile(rf"[{_UPPER}][^\W\d_]+")
+_CARD_CUE = re.compile(
+    r"\b(?:card|visa|mastercard|amex|karte|kreditkarte|kartennummer|carte|tarjeta|карта|карты)\b[^\w\n]*(?:\w+[^\w\n]+){0,2}$",
+    re.IGNORECASE,
+)
 
 NAME_KINDS = ("given_f", "given_m", "surname")
 
@@ -153,14 +157,13 @@ def _spans(text: str) -> Iterator[tuple[int, int, str, str]]:
                     yield m.start(), m.end(), "ipv6", entity
         for m in _IP.finditer(text):
             yield m.start(), m.end(), "ip", m.group()
-        for m in _IBAN.finditer(text):
-            plain = m.group().replace(" ", "")
-            if 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]:
-                yield m.start(), m.end(), "iban", plain
+        yield from _ibans(text)
         for m in _SSN.finditer(text):
             yield m.start(), m.end(), "ssn", _digits(m.group())
         for m in _CARD.finditer(text):
-            yield m.start(), m.end(), "card", _digits(m.group())
+            number = _digits(m.group())
+            if _luhn(number) == 0 or _CARD_CUE.search(text, max(0, m.start() - 40), m.start()):
+                yield m.start(), m.end(), "card", number
         for m in _PHONE.finditer(text):
             found = _digits(m.group())
             if 7 <= len(found) <= 15:
@@ -181,6 +184,20 @@ def _ipv6(text: str) -> str | None:
         return None
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Account numbers, without a word behind that looks like another group."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.end()
+        ends = [m.start() + i for i, c in enumerate(m.group()) if c == " "] + [m.end()]
+        for end in reversed(ends):
+            plain = text[m.start() : end].replace(" ", "")
+            if 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]:
+                yield m.start(), end, "iban", plain
+                at = end
+                break
+
+
 def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Runs of name words after titles or from a known given name on, and each of their words wherever the text repeats it.
 

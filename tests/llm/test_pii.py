@@ -95,6 +95,12 @@ def test_no_part_of_an_entity_remains(text, parts):
 
 
 def test_other_numbers_and_words_stay():
-    texts = ["on 01/02/2024 at 12:30:45, std::max", "Claire était là. Était-ce elle ?"]
+    texts = ["on 01/02/2024 at 12:30:45, std::max", "rows 100 200 3000 4000 5000", "Claire était là. Était-ce elle ?", "order 4539148803436468"]
     assert [pii._rewrite(t, KEY, {}) for t in texts] == [(t, 0) for t in texts]
-    assert "given" not in str(pii.find("see Anna. Berlin is far"))
+    assert "given" not in str(pii.find("see Anna. Berlin is far")) and pii.find("card no. 4539148803436468")[0][2] == "card"
+
+
+def test_iban_before_a_capital_word():
+    text = "ES91 2100 0418 4502 0005 1332 BIC or PL61 1090 1014 0000 0712 1981 2874 2024 too"
+    found = [(text[a:b], k) for a, b, k, _ in pii.find(text)]
+    assert found == [("ES91 2100 0418 4502 0005 1332", "iban"), ("PL61 1090 1014 0000 0712 1981 2874", "iban")]
