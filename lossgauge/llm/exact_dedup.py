@@ -19,6 +19,7 @@ from lossgauge.llm.common import BLANKS, null_safe_join, whole_text
 from lossgauge.session import stable
 
 BLOCK_BYTES = 2048
+COPIES_AT_ONCE = 1 << 16
 KEY = ["doc_id", "variant"]
 
 
@@ -114,7 +115,8 @@ def exact_duplicates(
 ) -> DataFrame:
     """Group documents with equal text, white space aside.
 
-    Returns (doc_id, keep_id, group_size, kept, text_sha256, chars, rows) with one row per document. Of equal texts the
+    Returns (doc_id, keep_id, group_size, kept, text_sha256, chars, rows) with one row per document; group_size counts
+    rows. Of equal texts the
     one with the most characters before normalisation stays, then the smallest doc_id.
 
     Null text counts as empty; all empty texts are equal. A null doc_id is an id of its own that loses every tie.
@@ -128,7 +130,7 @@ def exact_duplicates(
     named = stable(null_safe_join(heads, identities(texts, block_bytes, block_hash), KEY))
     best = F.max(F.struct(F.col("chars"), (-F.col("doc_id")).alias("back")))
     # stored, so that nothing but the join needs the rows of a large group together, and it can be split
-    groups = stable(named.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size")))
+    groups = stable(named.groupBy("level", "name").agg(best.alias("best"), F.sum("rows").alias("group_size")))
     return named.join(groups, ["level", "name"]).select(
         "doc_id",
         (-F.col("best.back")).alias("keep_id"),
@@ -140,6 +142,16 @@ def exact_duplicates(
     )
 
 
+def one_per_row(verdict: DataFrame) -> DataFrame:
+    """The result of ``exact_duplicates`` with a row for each input row. Of the rows of a document that stays, one stays."""
+    # in two steps, so that no array grows with the number of copies
+    blocks = verdict.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / COPIES_AT_ONCE))))
+    left = F.least(F.lit(COPIES_AT_ONCE).cast("long"), F.col("rows") - F.col("__block") * COPIES_AT_ONCE)
+    copies = blocks.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    first = (F.col("__block") == 0) & (F.col("__copy") == 1)
+    return copies.withColumn("kept", F.col("kept") & first).drop("rows", "__block", "__copy")
+
+
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Rows that repeat one document leave one row."""
     verdict = exact_duplicates(docs, id_col, text_col).where("kept")

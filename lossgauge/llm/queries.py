@@ -58,7 +58,7 @@ def query(sql: str | None = None):
     FROM n
 """)
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(documents(spark, sf_dir)).drop("chars", "rows")
+    return exact_dedup.one_per_row(exact_dedup.exact_duplicates(documents(spark, sf_dir))).drop("chars")
 
 
 @query()

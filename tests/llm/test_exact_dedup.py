@@ -53,3 +53,17 @@ def test_one_row_of_each_group_stays_with_its_columns(messy):
     texts = [re.sub(r"\s", "", r["text"] or "") for r in kept.collect()]
     all_texts = {re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in messy.collect()}
     assert len(texts) == len(set(texts)) == len(all_texts)
+
+
+def test_query_equals_its_sql_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    from lossgauge.llm import queries
+
+    rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (2, "ab"), (None, "a b"), (None, "a b"), (3, "c"), (3, "c"), (None, "d"), (None, "d")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = database.sql(queries.ORACLES["op1_exact_dedup"])
+    found = queries.op1_exact_dedup(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(want.fetchall(), key=repr)
