@@ -172,10 +172,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS, hot
 def _star_links(keyed: DataFrame, masks: list[int], agree: int, max_bits: int) -> DataFrame:
     """Links to the least of those that meet at a value within max_bits / 2 bits, in the free segments of a key.
 
-    With an odd bound one side of a pair may go half a bit further: such pairs meet one bit further out and are
-    verified before they count.
+    With an odd bound one side of a pair may go half a bit further. Any two of which one at least stands within the
+    smaller radius are within the bound, so all that meet at a value are linked to the least within that radius.
     """
-    radius = (max_bits + 1) // 2
+    inner, radius = max_bits // 2, (max_bits + 1) // 2
     steps = []
     for chosen in itertools.combinations(range(len(masks)), agree):
         free = [b for i, m in enumerate(masks) if i not in chosen for b in range(64) if (m >> b) & 1]
@@ -183,9 +183,10 @@ def _star_links(keyed: DataFrame, masks: list[int], agree: int, max_bits: int) -
         steps.append([m - (1 << 64) if m >= 1 << 63 else m for m in moves])
     moved = F.transform(F.element_at(F.lit(steps), F.col("choice") + 1), lambda m: m.bitwiseXOR(F.col("fp")))
     met = keyed.select("choice", "fp", F.explode(moved).alias("value"))
-    least = met.groupBy("choice", "value").agg(F.min("fp").alias("a"))
-    pairs = met.join(least, ["choice", "value"]).where("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.where(_differing(F.col("a"), F.col("b")) <= max_bits).distinct()
+    within = met if inner == radius else met.where(_differing(F.col("fp"), F.col("value")) <= inner)
+    least = within.groupBy("choice", "value").agg(F.min("fp").alias("least"))
+    pairs = met.join(least, ["choice", "value"]).where("least != fp")
+    return pairs.select(F.least("least", "fp").alias("a"), F.greatest("least", "fp").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -109,3 +109,19 @@ def test_one_id_on_unrelated_texts(spark):
     # one id on every row
     docs = spark.createDataFrame([(5, t, p) for _, t, p in texts], "doc_id long, text string, part string")
     assert sorted(r["part"] for r in simhash.keep_one_of_each(docs).collect()) == ["A", "B", "C"]
+
+
+def test_crowded_keys_with_an_odd_bound(spark):
+    # connected over pairs that meet 1 bit from the one and 2 bits from the other
+    low = [
+        [2, 44, 65, 106, 112, 192, 221, 268, 300, 342, 399, 421, 430, 446, 470],
+        [1, 11, 16, 117, 151, 232, 233, 245, 258, 391, 433, 455, 488],
+        [107, 110, 127, 152, 195, 294, 344, 374, 383, 412, 414, 422, 469, 486],
+    ]
+    prints = [(0x0F3A5C + 0x1B2D47 * i) * (1 << 40) + x for i, xs in enumerate(low) for x in xs]
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 3, hot=8)
+    assert all(r["a"] < r["b"] and (r["a"] ^ r["b"]).bit_count() <= 3 for r in edges.collect())
+    root = {r["node"]: r["component"] for r in simhash.components(edges).collect()}
+    got, want = [root.get(x, x) for x in signed], groups(prints, 3)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
