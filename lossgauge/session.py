@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -66,6 +66,35 @@ def stable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sorted_buckets(df: DataFrame, keys: Sequence[str]) -> str:
+    """Write ``df`` to the checkpoint folder as a table hashed into buckets by ``keys`` and sorted by them in each.
+
+    Such tables meet each other on these keys without a shuffle. There are as many buckets as shuffle partitions, so
+    that other data joins them with a shuffle of its own side only. Returns the name, for ``spark.table`` and
+    ``drop_buckets``; like other intermediate tables it goes at the end of ``intermediate_tables``.
+    """
+    spark = df.sparkSession
+    name = f"table_{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", folder).saveAsTable(name, format="parquet")
+    if (written := _scope.get()) is not None:
+        written.append(folder)
+    return name
+
+
+def drop_buckets(spark: SparkSession, names: Sequence[str]) -> None:
+    """Delete tables of ``sorted_buckets`` that nothing reads any more."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, f"{checkpoint_dir(spark)}/{name}")
+
+
 @contextmanager
 def intermediate_tables(spark: SparkSession) -> Iterator[list[str]]:
     """Delete on leaving the tables that ``stable`` wrote inside, by this caller only.
@@ -79,5 +108,4 @@ def intermediate_tables(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         _scope.reset(token)
         for table in written:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, table)
