@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from lossgauge.llm import (
     exact_dedup,
+    fill_in_middle,
+    line_dedup,
     ordinal,
     packing,
+    periodic_runs,
     pii,
     piece_lattice,
     quality_rules,
@@ -155,3 +159,86 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, and what they decode to."""
     return piece_lattice.round_trip(documents(spark, sf_dir), piece_lattice.load(tokenizer("piece_bpe_32k.model")))
+
+
+def _cycled(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that the contract of op11 gives a document: in every tenth by checksum, a stretch goes on to the end."""
+    n, h = len(words), zlib.crc32(str("" if doc_id is None else doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + period] * ((n - a) // period + 1))[: n - a]
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(documents(spark, sf_dir), prepare=_cycled)
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    ended = F.array_join(F.transform(listed, lambda line: F.concat(line, F.lit("\n"))), "")
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(best["length"] * 1000 / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(ended.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query(r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s,
+               regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens
+        FROM documents
+    ), h AS (
+        SELECT doc_id, text, tokens, CAST(len(tokens) AS BIGINT) AS n,
+               CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(tokens) + 1) AS x,
+               CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(tokens) + 1) AS y,
+               CAST('0x' || substr(s, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4
+        FROM d
+    ), c AS (
+        SELECT doc_id, text, n,
+               CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+                    THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+               coalesce(array_to_string(tokens[1:least(x, y)], ''), '') AS prefix,
+               coalesce(array_to_string(tokens[least(x, y) + 1:greatest(x, y)], ''), '') AS middle,
+               coalesce(array_to_string(tokens[greatest(x, y) + 1:], ''), '') AS suffix
+        FROM h
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM c
+""")
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        *["doc_id", "n", "form", "prefix_chars", "middle_chars"],
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+@query(r"""
+    WITH l AS (
+        SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+    ), k AS (
+        SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM l
+    ), f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
+    FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
+""")
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = line_dedup.drop_common_lines(docs, batches=line_dedup.batches_of_files(docs))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

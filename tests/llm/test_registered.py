@@ -7,7 +7,7 @@ from lossgauge.llm import queries
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(contract.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert set(queries.ORACLES) <= set(contract.oracle_sql()) and "pipeline" not in contract.oracle_sql()
 
