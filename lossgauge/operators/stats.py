@@ -147,12 +147,13 @@ def nearest_group(
 
     # the stored table's row count bounds the number of points
     if cells.count() * 2 ** (len(features) + 1) <= group_limit:
-        # one sort: the last group point up to an entity and the first one after it
-        line = Window.partitionBy(*masks).orderBy("value", "side", "name")
-        up_to, after = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(0, Window.unboundedFollowing)
-        both = points.withColumns(
-            {"below": F.last("found", ignorenulls=True).over(up_to), "above": F.first("found", ignorenulls=True).over(after)}
-        )
+        # the last group point up to an entity, on the way up and on the way down: frames that only grow, so each row
+        # is gone over once per direction
+        so_far = (Window.unboundedPreceding, Window.currentRow)
+        upward = Window.partitionBy(*masks).orderBy("value", "side", "name").rowsBetween(*so_far)
+        downward = Window.partitionBy(*masks).orderBy(F.desc("value"), "side", "name").rowsBetween(*so_far)
+        last = F.last("found", ignorenulls=True)
+        both = points.withColumns({"below": last.over(upward), "above": last.over(downward)})
         nearest = both.filter("side = 1").select("name", F.least(candidate("below"), candidate("above")).alias("best"))
     else:
 

@@ -238,3 +238,10 @@ def test_bartlett_and_adequacy(spark):
     assert measures["overall"] == pytest.approx(overall)
     first = (r[0, 1:] ** 2).sum() / ((r[0, 1:] ** 2).sum() + (partial[0, 1:] ** 2).sum())
     assert measures["w"] == pytest.approx(first)
+
+
+def test_nearest_group_has_no_frame_that_shrinks(spark):
+    rows = [(f"e{i}", f"g{i % 3}", float(i), None if i % 4 else 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "e string, g string, x double, y double")
+    plan = stats.nearest_group(df, entity="e", group="g", features=["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "last(found" in plan and "unboundedfollowing" not in plan.lower()
