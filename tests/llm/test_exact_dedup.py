@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,16 +9,17 @@ from lossgauge.llm import exact_dedup
 
 
 def expected(rows):
-    """Brute force: one entry per distinct (doc_id, normalised text)."""
-    docs = {}
+    """Brute force: one entry per distinct (doc_id, normalised text); the size of a group counts rows."""
+    docs, sizes = {}, Counter()
     for i, text in rows:
         norm = re.sub(r"[\x20\x09-\x0D]", "", text or "")
+        sizes[norm] += 1
         docs[i, norm] = max(docs.get((i, norm), 0), len(text or ""))
     out = []
     for (i, norm), chars in docs.items():
         group = [(-c, j is None, j or 0, j) for (j, m), c in docs.items() if m == norm]
         best = min(group)
-        out.append((i, best[3], len(group), (-chars, i is None, i or 0, i) == best, hashlib.sha256(norm.encode()).hexdigest()))
+        out.append((i, best[3], sizes[norm], (-chars, i is None, i or 0, i) == best, hashlib.sha256(norm.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
