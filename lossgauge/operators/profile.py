@@ -26,7 +26,7 @@ def _pairs(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
 LONG_TEXT = 64
 
 
-def _short(name: str) -> Column:
+def short_value(name: str) -> Column:
     """A stand-in for counting a value: long text by its length and SHA-256 digest, so that the text is not shuffled.
 
     A mark sets digests apart from short values that look like one.
@@ -43,7 +43,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """
     columns = list(columns) if columns else df.columns
     types = dict(df.dtypes)
-    items = F.array(*[F.struct(F.lit(c).alias("column"), _short(c).alias("value")) for c in columns])
+    items = F.array(*[F.struct(F.lit(c).alias("column"), short_value(c).alias("value")) for c in columns])
     counts = df.select(F.inline(items)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
     known = F.col("value").isNotNull()
     summary = counts.groupBy("column").agg(
@@ -157,7 +157,7 @@ def profile_duplicates(df: DataFrame) -> DataFrame:
     """(n, duplicates, share): rows, rows that repeat an earlier one, and their share."""
     stand_ins = df.select(
         *[
-            _short(f.name).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name)
+            short_value(f.name).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name)
             for f in df.schema
         ]
     )
