@@ -7,7 +7,8 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from lossgauge.catalog.registry import q, query, tidied
-from lossgauge.operators import association, missing, texts
+from lossgauge.operators import association, missing, sketches, texts
+from lossgauge.session import stable
 from lossgauge.sources.delimited import read_table
 
 # lines whose discount or tax of zero stands for "none given"
@@ -193,3 +194,34 @@ def profile_scripts(spark, sf):
 """)
 def profile_text_lengths(spark, sf):
     return texts.length_histogram(read_table(spark, sf, "documents"), ["text", "lang"])
+
+
+STATE_COLUMNS = ["o_totalprice", "o_custkey", "o_orderpriority", "note"]
+
+
+@query(
+    "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS "rows", count({c}) AS n, count(*) - count({c}) AS missing,
+        {"CAST(min(%s) AS DOUBLE)" % c if number else "NULL"} AS lowest, {"CAST(max(%s) AS DOUBLE)" % c if number else "NULL"} AS highest,
+        {q(f"avg({c})", 3) if number else "NULL"} AS mean, {q(f"stddev_samp({c})", 3) if number else "NULL"} AS deviation,
+        true AS distinct_within, true AS quantiles_within, true AS frequent_within
+        FROM (SELECT *, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE repeat(o_orderstatus, 70) END AS note FROM orders)"""
+        for c, number in zip(STATE_COLUMNS, (True, True, False, False))
+    )
+)
+def profile_from_states(spark, sf):
+    """The profile of the orders from stored states of their years, and whether its sketches keep their promises."""
+    orders = read_table(spark, sf, "orders")
+    note = F.when(F.col("o_orderstatus") != "P", F.repeat("o_orderstatus", F.lit(70)))
+    orders = orders.withColumns({"note": note, "year": F.year("o_orderdate")})
+    states = stable(sketches.profile_states(orders, STATE_COLUMNS, by=["year"]))
+    found = stable(sketches.profile_of_states(sketches.merge_states(states)))
+    errors = sketches.measured_errors(orders, found)
+    promised = {
+        "distinct": sketches.DISTINCT_ERROR,
+        "quantile": sketches.QUANTILE_ERROR,
+        "frequent": sketches.FREQUENT_ERROR,
+    }
+    within = [(F.col(f"{name}_error") <= limit).alias(f"{name.replace('tile', 'tiles')}_within") for name, limit in promised.items()]
+    exact = ["column", "rows", "n", "missing", "lowest", "highest", "mean", "deviation"]
+    return tidied(found.join(errors, "column").select(*exact, *within), ["mean", "deviation"], 3)
