@@ -83,6 +83,29 @@ def coef_matrix(spark, sf):
     return tidied(table, list("ANR"))
 
 
+# price per thousand, and a near copy of it that quantity tells apart by a millionth
+NEAR = ["price", "copy", "tax"]
+
+
+@query(
+    f"""WITH lines AS ({LINES}), fits AS ({ols_sql('lines', 'l_returnflag', 'discount', ['price', 'quantity', 'tax'])})
+    SELECT l_returnflag, n, 'copy' AS feature, {q("coef * 1e3")} AS coef FROM fits WHERE feature = 'quantity'
+    UNION ALL SELECT l_returnflag, n, 'both', {q("coef * 1e3")} FROM fits WHERE feature = 'price'
+    UNION ALL SELECT l_returnflag, n, 'tax', {q("coef * 1e3")} FROM fits WHERE feature = 'tax'"""
+)
+def ols_nearly_dependent(spark, sf):
+    """Discount on price, a near copy of the price, and tax; the SQL fits on price and what the copy adds to it.
+
+    Given are the copy's coefficient in the units of quantity, and that of price and copy moving together.
+    """
+    lines = _lines(spark, sf).withColumn("copy", F.col("price") + F.col("quantity") / 1e6)
+    fits = stats.fit_nearly_dependent(lines, by=["l_returnflag"], target="discount", features=NEAR)
+    price, copy, tax = (F.col("coefficients")[i] for i in range(3))
+    parts = [("copy", copy / 1e6), ("both", price + copy), ("tax", tax)]
+    rows = F.array(*[F.struct(F.lit(name).alias("feature"), (value * 1e3).alias("coef")) for name, value in parts])
+    return tidied(fits.select("l_returnflag", "n", F.inline(rows)), ["coef"])
+
+
 # order-level rows: means of the order's lines, price, customer, segment, nation, region
 BASKETS = """
     SELECT o_orderkey, o_custkey, c_mktsegment, n_name, r_name, o_orderpriority, o_totalprice AS price,
@@ -160,7 +183,7 @@ def nearest_group(spark, sf):
     return tidied(found, ["distance"], 6)
 
 
-def welch_sql(table: str, pairs: str, entity: str, group: str, features=FEATURES) -> str:
+def welch_sql(table: str, pairs: str, entity: str, group: str, features=FEATURES, exclude_self=False) -> str:
     """CTE body; the p-value integrates the density of Student's t by Simpson's rule."""
     own, other = (
         "\nUNION ALL ".join(
@@ -169,12 +192,19 @@ def welch_sql(table: str, pairs: str, entity: str, group: str, features=FEATURES
         )
         for by in (entity, group)
     )
+    if exclude_self:
+        other = "\nUNION ALL ".join(
+            f"SELECT x.{entity}, x.{group}, '{f}' AS feature, count({f}) AS n, avg({f}) AS m, var_samp({f}) AS v FROM ({pairs}) x "
+            f"JOIN {table} y ON y.{group} = x.{group} AND y.{entity} <> x.{entity} GROUP BY 1, 2"
+            for f in features
+        )
+    same = f"AND other.{entity} = p.{entity}" if exclude_self else ""
     return f"""
     WITH own AS ({own}), other AS ({other}),
     measured AS (
       SELECT p.{entity}, p.{group}, own.feature, own.n > 1 AND other.n > 1 AS enough,
              own.v / own.n AS a, other.v / other.n AS b, own.m - other.m AS gap, own.n AS n1, other.n AS n2
-      FROM ({pairs}) p JOIN own ON own.{entity} = p.{entity} JOIN other ON other.{group} = p.{group} AND other.feature = own.feature),
+      FROM ({pairs}) p JOIN own ON own.{entity} = p.{entity} JOIN other ON other.{group} = p.{group} {same} AND other.feature = own.feature),
     tested AS (
       SELECT *, CASE WHEN enough AND a + b > 0 THEN gap / sqrt(a + b) END AS t,
              CASE WHEN enough AND a + b > 0 THEN (a + b) ** 2 / (a * a / (n1 - 1) + b * b / (n2 - 1)) END AS dof
@@ -211,6 +241,29 @@ def welch_by_group(spark, sf):
     return tidied(tidied(tests, ["statistic", "pval"], 6), ["dof"], 4)
 
 
+@query(
+    f"""
+    WITH baskets AS ({BASKETS}),
+    tests AS ({welch_sql('baskets', 'SELECT DISTINCT n_name, r_name FROM baskets', 'n_name', 'r_name', exclude_self=True)})
+    SELECT n_name, r_name, feature, {q('statistic', 6)} AS statistic, {q('dof', 4)} AS dof, {q('pval', 6)} AS pval,
+           significant, reason FROM tests
+    """
+)
+def welch_excluding_self(spark, sf):
+    """Each nation against the other nations of its region."""
+    rows = baskets(spark, sf)
+    pairs = rows.select("n_name", "r_name").distinct()
+    tests = stats.welch_tests(
+        stats.sample_moments(rows, "n_name", FEATURES),
+        stats.moments_without(rows, pairs, entity="n_name", group="r_name", features=FEATURES),
+        pairs,
+        entity="n_name",
+        group="r_name",
+        exclude_self=True,
+    )
+    return tidied(tidied(tests, ["statistic", "pval"], 6), ["dof"], 4)
+
+
 # Fixed values of the checks, kept apart from the library's own: Wichura (1988), algorithm AS 241; lowest power first.
 CHECK_CENTRE_TOP = (3.3871328727963665, 133.14166789178438, 1971.5909503065513, 13731.69376550946, 45921.95393154987, 67265.7709270087, 33430.57558358813, 2509.0809287301227)
 CHECK_CENTRE_BOTTOM = (1.0, 42.31333070160091, 687.1870074920579, 5394.196021424751, 21213.794301586597, 39307.89580009271, 28729.085735721943, 5226.495278852854)

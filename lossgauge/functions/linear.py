@@ -72,3 +72,51 @@ def partial_correlations(correlations: pd.Series) -> pd.Series:
     partial[:, np.arange(partial.shape[1]), np.arange(partial.shape[1])] = 1.0
     partial[~complete] = np.nan
     return pd.Series(list(partial.reshape(len(partial), -1)))
+
+
+# ---- orthogonal factors --------------------------------------------------------------------------
+
+# below this share of its length a column is rounding: constant, or dependent on others
+NO_LENGTH = 1e-13
+
+
+def factor(rows: np.ndarray) -> np.ndarray:
+    """The triangular factor of a tall matrix, which stands for its rows in every least-squares fit; few rows stay."""
+    return rows if len(rows) <= rows.shape[1] else np.linalg.qr(rows, mode="r")
+
+
+def merge_factors(lists: pd.Series, width: int) -> pd.Series:
+    """One flattened factor for each list of flattened factors of ``width`` columns."""
+    stacked = (np.concatenate([np.asarray(r, dtype=float) for r in rows]).reshape(-1, width) for rows in lists)
+    return pd.Series([factor(rows).ravel() for rows in stacked], dtype=object)
+
+
+def solve_factors(flat: pd.Series, width: int) -> pd.Series:
+    """Coefficients from flattened factors of the columns (1, features, target).
+
+    What is left of a factor without its first row and column is the factor of the columns about their means. Columns
+    are scaled to one length before the rank is judged. Where they are dependent, the answer is the one with the
+    smallest norm in the original units; a constant column has zero.
+    """
+    return pd.Series([_solve(np.asarray(r, dtype=float).reshape(-1, width)) for r in flat], dtype=object)
+
+
+def _solve(rows: np.ndarray) -> np.ndarray:
+    whole = np.linalg.qr(rows, mode="r")
+    features, target = whole[1:, 1:-1], whole[1:, -1]
+    length = np.linalg.norm(features, axis=0)
+    varies = length > NO_LENGTH * np.linalg.norm(whole[:, 1:-1], axis=0)
+    scale = np.where(varies, length, 1.0)
+    if not len(features):
+        return np.zeros(features.shape[1])
+    left, values, right = np.linalg.svd(np.where(varies, features / scale, 0.0), full_matrices=False)
+    kept = values > NO_LENGTH * max(values[0], 1e-300)
+    weights = np.where(kept, left.T @ target, 0.0) / np.where(kept, values, 1.0)
+    coefficients = right.T @ weights / scale
+    dependent = varies.sum() - kept.sum()
+    if dependent:
+        # the directions no row tells anything about
+        free = np.linalg.svd(np.where(varies, features / scale, 0.0))[2][kept.sum() :] / scale
+        basis, _ = np.linalg.qr(np.where(varies, free, 0.0).T)
+        coefficients = coefficients - basis @ (basis.T @ coefficients)
+    return np.where(varies, coefficients, 0.0)

@@ -10,6 +10,9 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +54,57 @@ def fit_least_squares(df: DataFrame, *, by: Sequence[str], target: str, features
     )
 
 
+FACTORS_HELD = 10_000
+
+
+def fit_nearly_dependent(
+    df: DataFrame, *, by: Sequence[str], target: str, features: Sequence[str], fan: int = 64
+) -> DataFrame:
+    """``fit_least_squares`` for features that nearly depend on each other: (by, n, coefficients).
+
+    Second moments square the condition number; here the rows themselves are factored. Each task reduces the rows of a
+    group, batch by batch, to one triangular factor of a few rows; the factors of at most ``fan`` tasks are stacked and
+    factored again, level by level, until a group has one. No task sees all rows of a hot group.
+    """
+    features, keys = list(features), list(by) or ["_all"]
+    columns, width = [*features, target], len(features) + 2
+    known = df.dropna("any", subset=[*by, *columns]).withColumn("_all", F.lit(0))
+    known = known.select(*keys, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    kinds = [known.schema[k] for k in keys]
+    result = T.StructType([*kinds, *T.StructType.fromDDL("_node long, n long, _r array<double>")])
+    names, held_most = [f.name for f in result], FACTORS_HELD
+    reduce_rows, merge_lists, solve_lists = linear.factor, linear.merge_factors, linear.solve_factors
+
+    def factors(frames):
+        node, held = TaskContext.get().partitionId(), {}
+
+        def listed():
+            return pd.DataFrame([(*key, node, n, r.ravel()) for key, (n, r) in held.items()], columns=names)
+
+        for frame in frames:
+            for key, part in frame.groupby(keys, sort=False):
+                rows = np.column_stack([np.ones(len(part)), part.iloc[:, len(keys) :].to_numpy(dtype=float)])
+                n, r = held.get(key, (0, rows[:0]))
+                held[key] = n + len(part), reduce_rows(np.vstack([r, rows]))
+            if len(held) > held_most:
+                yield listed()
+                held.clear()
+        yield listed()
+
+    merge = F.pandas_udf(lambda lists: merge_lists(lists, width), NUMBERS)
+    solve = F.pandas_udf(lambda flat: solve_lists(flat, width), NUMBERS)
+    level = stable(known.mapInPandas(factors, result))
+    nodes = (level.agg(F.max("_node")).first()[0] or 0) + 1
+    while True:
+        above = F.floor(F.col("_node") / fan).alias("_node")
+        # sorted, so that the result is the same in every run
+        gathered = level.groupBy(*keys, above).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("_r")).alias("_r"))
+        level = gathered.withColumn("_r", merge("_r"))
+        nodes = -(-nodes // fan)
+        if nodes == 1:
+            return level.select(*by, "n", solve("_r").alias("coefficients"))
+
+
 def coefficient_rows(fits: DataFrame, features: Sequence[str]) -> DataFrame:
     """(…, feature, coef) instead of one array per fit."""
     rest = [c for c in fits.columns if c != "coefficients"]
@@ -203,23 +257,100 @@ def sample_moments(df: DataFrame, by: str, features: Sequence[str]) -> DataFrame
     return wide.select(by, F.inline(F.array(*[F.col(f"_{i}") for i in range(len(features))])))
 
 
+# parts of a group by a hash of the entity: a bound for the rows of the windows over parts
+PARTS = 1024
+
+
+def _others(rows: DataFrame, by: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """Adds ``_o_…``: the sum of each column over the other rows of the group, by adding what comes before and after."""
+    up = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    return rows.withColumns(
+        {f"_o_{c}": F.coalesce(F.sum(c).over(up), zero) + F.coalesce(F.sum(c).over(down), zero) for c in columns}
+    )
+
+
+def moments_without(
+    df: DataFrame, pairs: DataFrame, *, entity: str, group: str, features: Sequence[str], parts: int = PARTS
+) -> DataFrame:
+    """(entity, group, feature, n, mean, variance) of the group's values in rows of other entities, per pair.
+
+    Nothing is subtracted from the group's sums, which would lose the others' digits where an entity holds nearly all
+    rows: the sums of all other parts of the group, and of the other entities in the own part, are added up. They are
+    taken about the mean of the entities' means, which no large entity can draw away. A group without other rows gives
+    n = 0.
+    """
+    pairs = pairs.select(entity, group).distinct()
+    known = df.filter(F.col(entity).isNotNull() & F.col(group).isNotNull())
+    wide = known.groupBy(group, entity).agg(
+        *[
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.count(f).cast("double").alias("n"),
+                F.avg(f).alias("m"),
+                (F.var_pop(f) * F.count(f)).alias("q"),
+            ).alias(f"_{i}")
+            for i, f in enumerate(features)
+        ]
+    )
+    cells = wide.select(group, entity, F.inline(F.array(*[F.col(f"_{i}") for i in range(len(features))]))).filter("n > 0")
+    cells = stable(cells.withColumn("_part", F.pmod(F.xxhash64(entity), F.lit(parts))))
+    key = [group, "feature"]
+    centre = stable(cells.groupBy(*key).agg(F.avg("m").alias("_c")))
+    away = F.col("m") - F.col("_c")
+    sums = cells.join(centre, key).select(
+        *key, entity, "_part", "n", (F.col("n") * away).alias("s"), (F.col("q") + F.col("n") * away * away).alias("t")
+    )
+    columns = ["n", "s", "t"]
+    of_parts = sums.groupBy(*key, "_part").agg(*[F.sum(c).alias(c) for c in columns])
+    outside = _others(of_parts, key, "_part", columns).select(*key, "_part", *[F.col(f"_o_{c}").alias(f"_p_{c}") for c in columns])
+    inside = _others(sums, [*key, "_part"], entity, columns).select(
+        *key, entity, "_part", *[F.col(f"_o_{c}").alias(f"_e_{c}") for c in columns]
+    )
+    # every (pair, feature) of a group with values: an entity without rows there is compared with the whole group
+    whole = sums.groupBy(*key).agg(*[F.sum(c).alias(f"_w_{c}") for c in columns]).join(centre, key)
+    wanted = pairs.join(whole, group).withColumn("_part", F.pmod(F.xxhash64(entity), F.lit(parts)))
+    found = wanted.join(inside, [*key, entity, "_part"], "left").join(outside, [*key, "_part"], "left")
+    rest = {
+        c: F.when(F.col("_e_n").isNull(), F.col(f"_w_{c}")).otherwise(F.col(f"_e_{c}") + F.col(f"_p_{c}")) for c in columns
+    }
+    n, s, t = rest["n"], rest["s"], rest["t"]
+    return found.select(
+        entity,
+        group,
+        "feature",
+        n.cast("long").alias("n"),
+        (F.col("_c") + F.try_divide(s, n)).alias("mean"),
+        F.when(n > 1, F.greatest(t - s * s / n, F.lit(0.0)) / (n - 1)).alias("variance"),
+    )
+
+
 def welch_tests(
-    own: DataFrame, other: DataFrame, pairs: DataFrame, *, entity: str, group: str, level: float = 0.05
+    own: DataFrame,
+    other: DataFrame,
+    pairs: DataFrame,
+    *,
+    entity: str,
+    group: str,
+    level: float = 0.05,
+    exclude_self: bool = False,
 ) -> DataFrame:
     """Unequal-variance t test of each entity against a group, per feature.
 
     ``own`` and ``other`` are the sample moments by entity and by group, ``pairs`` says which (entity, group) to
-    compare; its further columns stay. The entity's own rows are part of the group's sample. Result:
-    (pair columns, feature, statistic, dof, pval, significant, reason); too few or constant values give
-    NULL and a reason.
+    compare; its further columns stay. The entity's own rows are part of the group's sample, unless ``exclude_self``
+    says that ``other`` comes from ``moments_without``. Result: (pair columns, feature, statistic, dof, pval,
+    significant, reason); too few or constant values give NULL and a reason.
     """
+    sample = [entity, group] if exclude_self else [group]
     own = own.select(
         entity, "feature", F.col("n").alias("n1"), F.col("mean").alias("m1"), F.col("variance").alias("v1")
     )
     other = other.select(
-        group, "feature", F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("variance").alias("v2")
+        *sample, "feature", F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("variance").alias("v2")
     )
-    joined = pairs.join(own, entity).join(other, [group, "feature"])
+    joined = pairs.join(own, entity).join(other, [*sample, "feature"])
     a, b = F.try_divide(F.col("v1"), F.col("n1")), F.try_divide(F.col("v2"), F.col("n2"))
     error = a + b
     spread = F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n2") - 1)

@@ -126,10 +126,16 @@ def normality(panel: DataFrame, columns: Columns = Columns()) -> DataFrame:
 
 
 def rank_categories(
-    panel: DataFrame, columns: Columns = Columns(), few: int = 5, with_normality: bool = False
+    panel: DataFrame,
+    columns: Columns = Columns(),
+    few: int = 5,
+    with_normality: bool = False,
+    exclude_self: bool = False,
 ) -> Ranking:
     """Fits, comparison, tests, selection and priorities of all entities, and normality tests if asked for.
 
+    ``exclude_self`` leaves an entity's own rows out of the groups it is tested against.
+
     The panel feeds several aggregations: pass a stored or cached one.
     """
     entity, group, features = columns.entity, columns.group, list(columns.features)
@@ -142,12 +148,14 @@ def rank_categories(
             for role, name in ((decide.ACTUAL, "actual_group"), (decide.NEAREST, "nearest_group"))
         ]
     )
+    pairs = comparison.select(entity, F.inline(roles))
+    if exclude_self:
+        samples = stats.moments_without(panel, pairs, entity=entity, group=group, features=features)
+    else:
+        samples = stats.sample_moments(panel, group, features)
+    own_samples = stats.sample_moments(panel, entity, features)
     tests = stats.welch_tests(
-        stats.sample_moments(panel, entity, features),
-        stats.sample_moments(panel, group, features),
-        comparison.select(entity, F.inline(roles)),
-        entity=entity,
-        group=group,
+        own_samples, samples, pairs, entity=entity, group=group, exclude_self=exclude_self
     )
     counts = decide.significant_counts(tests, entity)
     selection = decide.select_model(own, comparison, counts, entity=entity, few=few)

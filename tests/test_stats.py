@@ -245,3 +245,79 @@ def test_nearest_group_has_no_frame_that_shrinks(spark):
     df = spark.createDataFrame(rows, "e string, g string, x double, y double")
     plan = stats.nearest_group(df, entity="e", group="g", features=["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
     assert "last(found" in plan and "unboundedfollowing" not in plan.lower()
+
+
+def nearly_dependent(n, seed, condition=1e10):
+    """Three features of the given condition number about their means, and a target nearly on their plane."""
+    random = np.random.default_rng(seed)
+    left = np.linalg.qr(random.normal(size=(n, 3)) - 0.0)[0]
+    left = np.linalg.qr(left - left.mean(axis=0))[0]
+    right = np.linalg.qr(random.normal(size=(3, 3)))[0]
+    x = left * [1.0, condition**-0.5, 1 / condition] @ right * n**0.5
+    return pd.DataFrame(x, columns=FEATURES).assign(y=x @ [1.0, -2.0, 3.0] + random.normal(size=n) * 1e-13)
+
+
+@pytest.mark.parametrize("fan", [2, 64])
+def test_nearly_dependent_features_are_fitted_where_covariances_fail(spark, fan):
+    parts = [nearly_dependent(n, n).assign(g=f"g{n}") for n in (200, 3000, 9000)]
+    frame = pd.concat(parts, ignore_index=True)
+    df = spark.createDataFrame(frame).repartition(13)
+    arguments = dict(by=["g"], target="y", features=FEATURES)
+    found = stats.fit_nearly_dependent(df, **arguments, fan=fan).toPandas().set_index("g")
+    squared = stats.fit_least_squares(df, **arguments).toPandas().set_index("g")
+    for name, part in frame.groupby("g"):
+        x, y = part[FEATURES].to_numpy(), part["y"].to_numpy()
+        want = np.linalg.lstsq(x - x.mean(axis=0), y - y.mean(), rcond=None)[0]
+        np.testing.assert_allclose(found.loc[name, "coefficients"], want, rtol=1e-3)
+        assert found.loc[name, "n"] == len(part)
+        assert np.abs(np.array(squared.loc[name, "coefficients"]) - want).max() > 0.1
+
+
+def test_orthogonal_fits_equal_the_others_on_every_kind_of_group(spark, monkeypatch):
+    monkeypatch.setattr(stats, "FACTORS_HELD", 2)
+    random = np.random.default_rng(12)
+    parts = [
+        pd.DataFrame(random.normal(size=(n, 3)) * [1.0, 1e6, 1e-6], columns=FEATURES).assign(g=g, y=random.normal(size=n))
+        for g, n in {"full": 90, "short": 3, "pair": 2, "single": 1}.items()
+    ]
+    double = pd.DataFrame(random.normal(size=(50, 3)) + 100, columns=FEATURES).assign(g="dependent", y=random.normal(size=50))
+    double["c"] = 2 * double["a"] + 5
+    flat = pd.DataFrame(random.normal(size=(50, 3)), columns=FEATURES).assign(b=7.3, g="constant", y=random.normal(size=50))
+    frame = pd.concat([*parts, double, flat], ignore_index=True)
+    df = spark.createDataFrame(frame).repartition(5)
+    gaps = spark.createDataFrame([(None, 1.0, 1.0, "full", 9.0), (1.0, 1.0, 1.0, None, 9.0)], "a double, b double, c double, g string, y double")
+    found = stats.fit_nearly_dependent(df.unionByName(gaps), by=["g"], target="y", features=FEATURES).toPandas().set_index("g")
+    assert set(found.index) == set(frame["g"])
+    for name, part in frame.groupby("g"):
+        x, y = part[FEATURES].to_numpy(), part["y"].to_numpy()
+        want = np.linalg.lstsq(x - x.mean(axis=0), y - y.mean(), rcond=1e-15 if name == "full" else 1e-12)[0]
+        if name in ("short", "pair"):
+            # the smallest norm in the original units, whatever their scale
+            fitted = (x - x.mean(axis=0)) @ np.array(found.loc[name, "coefficients"])
+            np.testing.assert_allclose(fitted, y - y.mean(), atol=1e-8)
+        np.testing.assert_allclose(found.loc[name, "coefficients"], want, rtol=1e-6, atol=1e-9)
+    whole = stats.fit_nearly_dependent(df, by=[], target="y", features=["a"]).first()
+    assert whole["n"] == len(frame) and whole["coefficients"][0] == pytest.approx(np.polyfit(frame["a"], frame["y"], 1)[0])
+    assert stats.fit_nearly_dependent(df.limit(0), by=["g"], target="y", features=FEATURES).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 1024])
+def test_moments_of_the_others_where_one_entity_holds_nearly_all_rows(spark, parts):
+    random = np.random.default_rng(3)
+    sizes = {"giant": 99_900, **{f"e{i}": 5 for i in range(20)}}
+    frame = pd.concat(
+        [pd.DataFrame({"e": e, "a": random.normal(size=n) + (50 if e == "giant" else i)}) for i, (e, n) in enumerate(sizes.items())]
+    ).assign(g="all")
+    alone = pd.DataFrame({"e": "alone", "a": [1.0, 2.0], "g": "own"})
+    frame = pd.concat([frame, alone], ignore_index=True).assign(b=lambda f: f["a"].where(f["e"] != "e3"))
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "e string, a double, g string, b double")
+    pairs = spark.createDataFrame([(e, "all") for e in (*sizes, "alone")] + [("alone", "own"), ("giant", "none")], "e string, g string")
+    found = stats.moments_without(df, pairs, entity="e", group="g", features=["a", "b"], parts=parts).collect()
+    assert len(found) == 2 * (len(sizes) + 2)
+    for r in found:
+        rest = frame[(frame["g"] == r["g"]) & (frame["e"] != r["e"])][r["feature"]].dropna()
+        assert r["n"] == len(rest)
+        if len(rest):
+            assert r["mean"] == pytest.approx(rest.mean(), rel=1e-10) and r["variance"] == pytest.approx(rest.var(), rel=1e-10)
+        else:
+            assert r["mean"] is None and r["variance"] is None
