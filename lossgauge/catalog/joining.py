@@ -90,6 +90,21 @@ def unmatched_names(spark, sf):
     return enrich.unmatched(orders, known, "buyer", "c_custkey")
 
 
+@query(
+    """
+    WITH lost AS (
+        SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS buyer FROM orders
+        WHERE o_orderkey % 50 > 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
+    SELECT buyer, CAST(c_custkey AS VARCHAR) AS candidate, CAST(levenshtein(buyer, CAST(c_custkey AS VARCHAR)) AS INTEGER) AS distance
+    FROM lost, customer WHERE c_acctbal > 0 AND levenshtein(buyer, CAST(c_custkey AS VARCHAR)) <= 1
+    """
+)
+def name_suggestions(spark, sf):
+    """Known customers whose key is one edit away from a buyer that the join would lose."""
+    known = read_table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string"))
+    return enrich.suggest_names(unmatched_names(spark, sf), known, "buyer", "c_custkey", most=1)
+
+
 @query(
     """
     SELECT o_orderkey, o_totalprice, c_mktsegment, n_name, r_name

@@ -277,3 +277,64 @@ def minmax_scale(spark, sf):
     )
     scaled = summarize.scale_min_max(lines, ["l_quantity", "l_extendedprice"])
     return tidied(scaled, ["l_quantity", "l_extendedprice"], 8)
+
+
+PANEL_ROWS = """SELECT n_name, year, c_mktsegment, o_custkey, nullif(o_orderpriority, '5-LOW') AS o_orderpriority,
+                       CASE WHEN o_orderstatus <> 'P' THEN o_totalprice - 30000 END AS price FROM ({})""".format(ORDERS_OF_CUSTOMERS)
+PICKED = ["BUILDING", "MACHINERY"]
+
+
+@query(
+    f"""
+    WITH r AS ({PANEL_ROWS}), picked AS (SELECT * FROM r WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+    m AS (SELECT c_mktsegment, year, avg(price) AS p, avg(o_custkey) AS c FROM picked GROUP BY 1, 2),
+    k AS (SELECT c_mktsegment, count(*) AS n FROM r WHERE price > 0 GROUP BY 1),
+    t AS (SELECT *, row_number() OVER (ORDER BY n DESC, c_mktsegment) <= 3 AS shown FROM k)
+    SELECT 'map' AS panel, n_name AS "key", NULL::INTEGER AS year, 'price' AS "column", {q('avg(price)')} AS "value" FROM r GROUP BY 2
+    UNION ALL SELECT 'year', NULL, year, 'price', {q('avg(price)')} FROM r GROUP BY 3
+    UNION ALL SELECT 'year', NULL, year, 'o_custkey', {q('avg(o_custkey)')} FROM r GROUP BY 3
+    UNION ALL SELECT 'top', CASE WHEN shown THEN c_mktsegment ELSE 'Others' END, NULL, 'n', {q('sum(n)')} FROM t GROUP BY 2
+    UNION ALL SELECT 'lines', c_mktsegment, year, 'price', {q('p')} FROM m
+    UNION ALL SELECT 'correlation', NULL, NULL, 'price', {q('1.0')}
+    UNION ALL SELECT 'correlation', NULL, NULL, 'o_custkey', {q('corr(p, c)')} FROM m
+    UNION ALL SELECT 'correlation', NULL, NULL, 'c_mktsegment_' || v, {q('corr(p, (c_mktsegment = v)::INTEGER)')}
+        FROM m, (VALUES ('BUILDING'), ('MACHINERY')) AS s(v) GROUP BY v
+    UNION ALL SELECT 'bars', c_mktsegment, year, 'price', {q('count(price)')} FROM picked GROUP BY 2, 3
+    """
+)
+def explorer_panels(spark, sf):
+    """The six panels of the explorer for one option, from a single pass."""
+    rows = orders_of_customers(spark, sf).select(
+        "n_name",
+        "year",
+        "c_mktsegment",
+        "o_custkey",
+        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("o_orderpriority"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") - 30000).alias("price"),
+    )
+    panels = LossExplorer(rows, entity="n_name", measure="price").panels("c_mktsegment")
+
+    def long(panel, df, column, value, key=None, year=None):
+        return df.select(
+            F.lit(panel).alias("panel"),
+            (F.col(key) if key else F.lit(None).cast("string")).alias("key"),
+            (F.col(year) if year else F.lit(None)).cast("int").alias("year"),
+            column.alias("column"),
+            value.cast("double").alias("value"),
+        )
+
+    segment, price = "c_mktsegment", F.lit("price")
+    years, bars = panels.year_means(), panels.histogram(PICKED)
+    found = [
+        long("map", panels.map_means(), price, F.col("price"), "n_name"),
+        long("year", years, price, F.col("price"), year="year"),
+        long("year", years, F.lit("o_custkey"), F.col("o_custkey"), year="year"),
+        long("top", panels.frequencies(3), F.lit("n"), F.col("n"), segment),
+        long("lines", panels.category_year_means(PICKED), price, F.col("price"), segment, "year"),
+        long("correlation", panels.correlation(PICKED), F.col("column"), F.col("corr")),
+        long("bars", bars, price, F.col("total"), segment, "bin_start"),
+    ]
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return tidied(whole, ["value"])

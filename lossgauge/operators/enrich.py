@@ -45,3 +45,39 @@ def lookup_rename(df: DataFrame, column: str, renames: DataFrame, old: str, new:
     table = renames.groupBy(F.col(old).alias("_old")).agg(F.max(new).alias("_new"))
     joined = df.join(table, df[column] == table["_old"], "left")
     return joined.select(*[F.col("_new").alias(c) if c == column else df[c] for c in df.columns])
+
+
+def _shortened(names: DataFrame, name: str, most: int) -> DataFrame:
+    """(name, _form): each name with every form of it that lacks up to ``most`` characters."""
+    forms = F.array(F.lower(name))
+    for _ in range(most):
+        fewer = F.flatten(
+            F.transform(
+                "_forms",
+                lambda s: F.when(
+                    F.length(s) > 0,
+                    F.transform(
+                        F.sequence(F.lit(1), F.length(s)),
+                        lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))),
+                    ),
+                ).otherwise(F.array(F.lit("").cast("string"))),
+            )
+        )
+        names = names.withColumn("_forms", forms)
+        forms = F.array_distinct(F.concat("_forms", fewer))
+    return names.select(name, F.explode(forms).alias("_form"))
+
+
+def suggest_names(lost: DataFrame, known: DataFrame, name: str, known_name: str, most: int = 2) -> DataFrame:
+    """(name, candidate, distance): known names within ``most`` edits of a lost one, upper and lower case being equal.
+
+    Two names that few edits part have a common form that lacks as many characters at most on either side. So the names
+    meet by an equi-join on such forms, and the distance of those that meet is verified: no candidate is missed, and no
+    name is compared with all others. A NULL name has none.
+    """
+    left = _shortened(lost.filter(F.col(name).isNotNull()).select(F.col(name).alias("_lost")).distinct(), "_lost", most)
+    right = _shortened(known.filter(F.col(known_name).isNotNull()).select(F.col(known_name).alias("_known")).distinct(), "_known", most)
+    met = left.join(right, "_form").select("_lost", "_known").distinct()
+    distance = F.levenshtein(F.lower("_lost"), F.lower("_known"), most)
+    checked = met.withColumn("distance", distance).filter(F.col("distance") >= 0)
+    return checked.select(F.col("_lost").alias(name), F.col("_known").alias("candidate"), "distance")

@@ -44,7 +44,12 @@ def top_with_others(df: DataFrame, column: str, top: int = 7, others: str = "Oth
     Ties go by value. The row for the rest is left out if it would be zero. Only the ``top`` rows and
     two totals meet in one task.
     """
-    counts = frequency(df, column).withColumn(column, F.col(column).cast("string"))
+    return top_of_counts(frequency(df, column), column, top, others)
+
+
+def top_of_counts(counts: DataFrame, column: str, top: int = 7, others: str = "Others") -> DataFrame:
+    """``top_with_others`` from (value, n)."""
+    counts = counts.withColumn(column, F.col(column).cast("string"))
     leading = counts.orderBy(F.desc("n"), F.asc(column)).limit(top)
     everything = counts.agg(F.sum("n").alias("n"))
     head = leading.agg(F.sum("n").alias("n"))

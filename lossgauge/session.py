@@ -52,6 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _scope: ContextVar[list[str] | None] = ContextVar("intermediate tables", default=None)
 
 
+def intermediate_folder(spark: SparkSession) -> str:
+    """A fresh path in the checkpoint folder, deleted at the end of ``intermediate_tables``."""
+    folder = f"{checkpoint_dir(spark)}/table_{uuid.uuid4().hex}"
+    if (written := _scope.get()) is not None:
+        written.append(folder)
+    return folder
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it from there.
 
@@ -59,10 +67,8 @@ def stable(df: DataFrame) -> DataFrame:
     re-run after an executor is lost, see the same values. As a columnar table it is read by column,
     and its size is known to the planner.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = intermediate_folder(df.sparkSession)
     df.write.parquet(path)
-    if (written := _scope.get()) is not None:
-        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,12 +85,10 @@ def sorted_buckets(df: DataFrame, keys: Sequence[str]) -> str:
     ``drop_buckets``; like other intermediate tables it goes at the end of ``intermediate_tables``.
     """
     spark = df.sparkSession
-    name = f"table_{uuid.uuid4().hex}"
-    folder = f"{checkpoint_dir(spark)}/{name}"
+    folder = intermediate_folder(spark)
+    name = folder.rsplit("/", 1)[1]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", folder).saveAsTable(name, format="parquet")
-    if (written := _scope.get()) is not None:
-        written.append(folder)
     return name
 
 

@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -65,3 +68,33 @@ def test_pivot_after_unpivot_is_identity(spark, rows, table):
     wide = spark.createDataFrame([(k, x, y) for k, (x, y) in table.items()], "k long, x double, y double")
     long = reshape.wide_to_long(wide, ["k"], ["x", "y"], "name", "value")
     assert rows(reshape.long_to_wide(long, ["k"], "name", "value", ["x", "y"])) == rows(wide)
+
+
+def edits(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, line = line, [i]
+        for j, y in enumerate(b, 1):
+            line.append(min(above[j] + 1, line[-1] + 1, above[j - 1] + (x != y)))
+    return line[-1]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_suggestions_equal_all_comparisons(spark, most):
+    random = np.random.default_rng(most)
+    known = ["Peru", "Perú", "Chile", "China", "Iran", "Iraq", "Niger", "Nigeria", "", "a", "Ab"]
+    lost = ["peru", "Pery", "Irax", "Nigerr", "Nigera", "Chiel", "b", "ba", "Zzzzzz", None, "Peru"]
+    lost += ["".join(random.choice(list("abc"), random.integers(0, 6))) for _ in range(40)]
+    known += ["".join(random.choice(list("abc"), random.integers(0, 6))) for _ in range(40)]
+    left = spark.createDataFrame([(x, 1) for x in lost], "name string, n int")
+    right = spark.createDataFrame([(x,) for x in known + [None, "Peru"]], "official string")
+    found = enrich.suggest_names(left, right, "name", "official", most=most).collect()
+    want = {(x, y, edits(x.lower(), y.lower())) for x in lost if x is not None for y in known}
+    assert sorted(map(tuple, found)) == sorted(w for w in want if w[2] <= most)
+
+
+def test_suggestions_form_no_pairs_of_all_names(spark):
+    left = spark.createDataFrame([("a",)], "name string")
+    right = spark.createDataFrame([("b",)], "official string")
+    plan = enrich.suggest_names(left, right, "name", "official")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*\(_form#\d+ = _form#\d+\)", plan) and "Cross" not in plan

@@ -152,3 +152,53 @@ def test_indicator_explorer(tables, rows):
     assert {r["Series Name"] for r in explorer.boxes("Series Name").collect()} == set(labels.SHORT_SERIES.values()) - {"LPI Overall score"}
     ranks = IndicatorExplorer(prepared).choose(series="rank", series_name=labels.OVERALL_RANK)
     assert ranks.map_means(labels.OVERALL_RANK).count() == len(COUNTRIES)
+
+
+@pytest.mark.parametrize("option", ["commodity", "country"])
+def test_panels_of_one_pass_equal_the_explorer(spark, option):
+    random = np.random.default_rng(5)
+    n = 400
+    frame = pd.DataFrame(
+        {
+            "country": random.choice(["Peru", "Iran", "Nan", None], n),
+            "year": random.integers(2000, 2006, n),
+            "commodity": random.choice(["maize", "rice", "wheat", "Nan"], n),
+            "loss_percentage": random.normal(size=n).round(3) + 0.5,
+            "m49_code": random.integers(1, 9, n),
+            "weight": random.random(n).round(3),
+        }
+    ).astype(object)
+    frame.loc[random.random(n) < 0.1, "loss_percentage"] = None
+    frame.loc[random.random(n) < 0.1, "year"] = None
+    kinds = "country string, year int, commodity string, loss_percentage double, m49_code int, weight double"
+    explorer = LossExplorer(spark.createDataFrame(frame.where(frame.notna(), None), kinds))
+    panels, picked = explorer.panels(option), ["Peru", "maize", "rice", "Iran"]
+
+    def same(found, want):
+        assert sorted(found.columns) == sorted(want.columns)
+        columns = sorted(want.columns)
+        lists = [sorted(map(tuple, df.select(*columns).collect()), key=lambda r: str([x if not isinstance(x, float) else round(x, 6) for x in r])) for df in (found, want)]
+        assert len(lists[0]) == len(lists[1]) > 0
+        for a, b in zip(*lists):
+            assert [x if not isinstance(x, float) else pytest.approx(x, rel=1e-9, abs=1e-9) for x in a] == list(b)
+
+    same(panels.map_means(), explorer.map_means())
+    same(panels.year_means(), explorer.year_means())
+    same(panels.frequencies(2), explorer.frequencies(option, 2))
+    same(panels.bars(), explorer.bars(option))
+    same(panels.category_year_means(picked), explorer.category_year_means(option, picked))
+    same(panels.correlation(picked), explorer.correlation(option, picked))
+    same(panels.category_year_counts(picked), explorer.category_year_counts(option, picked))
+    same(panels.histogram(picked), explorer.histogram(option, picked))
+
+
+def test_panels_read_the_rows_once(spark, monkeypatch):
+    from lossgauge.plans import loss_explorer
+
+    stored = []
+    monkeypatch.setattr(loss_explorer, "stable", lambda df: stored.append(df) or stable(df))
+    rows = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").withColumn("year", F.year("o_orderdate"))
+    panels = LossExplorer(rows, entity="o_custkey", measure="o_totalprice").panels("o_orderpriority")
+    assert stored[0]._jdf.queryExecution().executedPlan().toString().count("orders.parquet") == 1
+    for df in (panels.map_means(), panels.year_means(), panels.frequencies(), panels.histogram(["1-URGENT"])):
+        assert "orders.parquet" not in df._jdf.queryExecution().executedPlan().toString()

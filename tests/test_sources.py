@@ -1,7 +1,7 @@
 import codecs
 
 from lossgauge.sources import files
-from lossgauge.sources.delimited import read_delimited, read_table, write_rows
+from lossgauge.sources.delimited import read_delimited, read_delimited_checked, read_table, write_rows
 
 
 def put(folder, name, text, encoding="utf-8", bom=False):
@@ -60,3 +60,33 @@ def test_parquet_rows(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, k string")
     write_rows(df, str(tmp_path / "kept.parquet"), partition_by=["k"])
     assert rows(read_table(spark, str(tmp_path), "kept"), "n", "k") == rows(df)
+
+
+def test_good_and_rejected_records_are_all_records(spark, tmp_path, rows):
+    path = put(
+        tmp_path,
+        "damaged.csv",
+        "name;year;price;note\n"
+        'a;2001;1.5;"two\nlines; one ""field"""\nb;20x1;n/a;fine\nc;2002\nd;2003;2.5;x;more\n;;;\ne;x;y;z\n"f\ng";2004;3;\n',
+        bom=True,
+    )
+    types = {"year": "int", "price": "double"}
+    good, rejected = read_delimited_checked(spark, path, types=types, sep=";", multiline=True)
+    assert good.columns == ["name", "year", "price", "note"] and dict(good.dtypes)["year"] == "int"
+    assert [(r[0], r[1], r[2]) for r in rows(good)] == [("a", 2001, 1.5), ("f\ng", 2004, 3.0), (None, None, None)]
+    found = {r["fields"]["name"]: r for r in rejected.collect()}
+    assert {k: r["reason"] for k, r in found.items()} == {
+        "b": "unreadable: year",
+        "c": "wrong number of fields",
+        "d": "wrong number of fields",
+        "e": "unreadable: year, price",
+    }
+    assert found["c"]["line"] == "c;2002" and found["b"]["line"] is None and found["b"]["fields"]["year"] == "20x1"
+    assert good.count() + rejected.count() == 7
+
+
+def test_checked_reading_without_a_header_and_in_any_query(spark, tmp_path):
+    path = put(tmp_path, "plain.csv", "1,x\n2\n3,y,z\n,w\n")
+    good, rejected = read_delimited_checked(spark, path, types={"n": "int"}, names=["n", "t"])
+    assert [r["t"] for r in good.select("t").collect()] == ["x", "w"]
+    assert good.count() == 2 and rejected.count() == 2 and rejected.select("reason").distinct().count() == 1
