@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lossgauge.llm.common import lean_memory, whole_text
-from lossgauge.llm.tokens import ids_crc32, shared_encoder
+from lossgauge.llm.tokens import encoder_store, ids_crc32, shared_encoder
 from lossgauge.session import stable
 
 LENGTH = 2048
@@ -133,14 +133,14 @@ def pack(
     Other columns are ignored. An empty table gives an empty result.
     """
     schema = _arrow_schema()
-    encoders = docs.sparkSession.sparkContext.broadcast({})
+    encoders = encoder_store(docs.sparkSession, tokenizer)
 
     def place(batches):
         import numpy as np
 
         lean_memory()
         partition = TaskContext.get().partitionId()
-        encoder = shared_encoder(encoders, tokenizer)
+        encoder = shared_encoder(encoders)
         end = np.array([end_id], dtype="<u4")
         windows = Windows(length, open_windows, least_piece, partition << 32)
         for batch in batches:

@@ -5,8 +5,9 @@ payload (u32), line feed. A payload is: doc_id (i64), flags (u8: 1 null id, 2 id
 flag 2). All numbers are little-endian. The mask rotates a checksum by 15 bits and adds a constant, so that a checksum
 of data that holds checksums stays sound.
 
-Files are written by Spark's own text writer, whose commit protocol leaves one complete file per task when executors
-are lost, and read as whole binary files, so any store that Spark reaches will do.
+Files are written by Spark's own text writer, whose commit protocol leaves complete files only when executors are lost,
+and read as whole binary files, so any store that Spark reaches will do. A task begins a new file when one is full, so
+that no file is larger than a stated size, or one record if that is larger.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lossgauge.llm.common import lean_memory, whole_text
-from lossgauge.llm.tokens import ids_crc32, shared_encoder
+from lossgauge.llm.tokens import encoder_store, ids_crc32, shared_encoder
 from lossgauge.session import checkpoint_dir
 
 # The constant that is added to a rotated checksum
@@ -31,6 +33,9 @@ MASK_DELTA = 0xA282EAD8
 HEAD, HEAD_SIZE = "<QI", 12
 PAYLOAD, PAYLOAD_SIZE = "<qB", 9
 FRAME_EXTRA = HEAD_SIZE + 4 + 1
+# a reading task holds one file at a time
+FILE_BYTES = 64 << 20
+BATCH_BYTES = 8 << 20
 
 
 def masked(data: bytes) -> int:
@@ -65,46 +70,65 @@ def unframe(content, offset: int) -> tuple[int | None, np.ndarray]:
 
 
 def write_records(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end_id: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Tokenize documents, ``end_id`` after each, and write them to ``folder`` in ascending doc_id order.
 
-    The files' names sort as their contents do. Null ids come first, rows of equal id in the order of a hash of
-    their text. Null and empty texts are the end id alone. Other columns are ignored; an empty table writes a
-    file without records.
+    A file holds at most ``file_bytes``, or one record. Files lie in folders of their own, whose names sort as the
+    contents do. Null ids come first, rows of equal id in the order of a hash of their text. Null and empty texts are
+    the end id alone. Other columns are ignored; an empty table writes no file.
     """
-    encoders = docs.sparkSession.sparkContext.broadcast({})
+    encoders = encoder_store(docs.sparkSession, tokenizer)
 
     def frames(batches):
         lean_memory()
-        encoder, end = shared_encoder(encoders, tokenizer), np.array([end_id], dtype="<u4")
+        encoder, task = shared_encoder(encoders), TaskContext.get().partitionId()
+        run, at, filled, made, held = 0, 0, 0, [], 0
+
+        def batch_of(rows):
+            names, places, data = zip(*rows) if rows else ((), (), ())
+            arrays = [pa.array(names, pa.string()), pa.array(places, pa.int64()), pa.array(data, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["run", "at", "frame"])
+
         for batch in batches:
             texts = batch.column(1)
-            made, size = [], 0
-            for at, doc_id in enumerate(batch.column(0).to_pylist()):
-                made.append(frame(doc_id, np.concatenate([encoder.encode(texts[at].as_py()), end]))[:-1])
-                size += len(made[-1])
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["frame"])
-                    made, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["frame"])
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                # the writer adds the line feed
+                data = frame(doc_id, np.append(encoder.encode(texts[i].as_py()), end_id))[:-1]
+                if filled and filled + len(data) + 1 > file_bytes:
+                    run, filled = run + 1, 0
+                made.append((f"{task:08d}-{run:08d}", at, data))
+                at, filled, held = at + 1, filled + len(data) + 1, held + len(data)
+                if held > BATCH_BYTES:
+                    yield batch_of(made)
+                    made, held = [], 0
+        yield batch_of(made)
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .mapInArrow(frames, "frame binary")
-        # the writer copies the bytes of a string as they are and adds the line feed
-        .select(F.col("frame").cast("string").alias("value"))
-        .write.text(folder)
+        .mapInArrow(frames, "run string, at long, frame binary")
+        # the order is stated, as the writer sorts by folder where none is known
+        .sortWithinPartitions("run", "at")
+        # the writer copies the bytes of a string as they are
+        .select("run", F.col("frame").cast("string").alias("value"))
+        .write.partitionBy("run")
+        .text(folder)
     )
     encoders.destroy()
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
+    return files.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("file"), "content")
 
 
 def write_index(spark: SparkSession, folder: str, index: str) -> DataFrame:
@@ -142,9 +166,10 @@ def read_records(spark: SparkSession, folder: str, with_ids: bool = False) -> Da
 
 
 def read_at(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """Read the records at (file, offset) of ``wanted``, rows of the index, and no others.
+    """The records at (file, offset) of ``wanted``, rows of the index, and no others.
 
-    Per file the offsets come as one array, so a shuffled order costs one read of each file that it touches.
+    Per file the offsets come as one array, so a shuffled order costs one read of each file that it touches. Spark reads
+    such a file whole, which is why files are bounded.
     """
     offsets = wanted.groupBy("file").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
     return (

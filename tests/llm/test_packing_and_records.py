@@ -1,6 +1,8 @@
+import json
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -25,10 +27,29 @@ def test_ids_equal_the_tokenizer(encoder):
             assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
-def test_a_full_cache_changes_nothing(tokenizer_file, encoder):
-    tight = tokens.Encoder(tokenizer_file, cached_words=3)
-    text = "one two, three four. five six one two three"
-    assert tight.encode(text).tolist() == encoder.encode(text).tolist()
+def test_the_fast_engine_is_used_only_where_it_is_proved(tokenizer_file, encoder):
+    source = json.loads(Path(tokenizer_file).read_text())
+    assert encoder.engine is not None
+    text = "One two, three four's 55 - five\n\n  six"
+    changed = [
+        # an entry that the library cannot reach, as its parts merge otherwise
+        {"model": source["model"] | {"merges": source["model"]["merges"][1:]}},
+        {"model": source["model"] | {"merges": source["model"]["merges"][::-1]}},
+        {"model": source["model"] | {"unk_token": "<|endoftext|>"}},
+        {"normalizer": {"type": "Lowercase"}},
+        {"pre_tokenizer": source["pre_tokenizer"] | {"add_prefix_space": True}},
+        {"pre_tokenizer": None},
+    ]
+    for change in changed:
+        other = tokens.Encoder(source=json.dumps(source | change))
+        assert other.engine is None
+        assert other.encode(text).tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("piece", ["x", "ab", " ", "\n", "!?", "éà", "1"])
+def test_ids_of_very_long_pieces(encoder, piece):
+    text = piece * 30_000
+    assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def check_packing(pieces, docs, encoder, length=2048):
@@ -107,6 +128,17 @@ def test_records_of_messy_rows_and_shuffled_reads(spark, messy, tokenizer_file,
     assert checkpoint_dir(spark)
 
 
+def test_files_are_bounded_and_keep_the_order(spark, tokenizer_file, encoder, tmp_path):
+    rows = [(i, f"text number {i} " * (1 + i % 7)) for i in range(300)] + [(300, "one very long text " * 400)]
+    df = spark.createDataFrame(rows[::-1], "doc_id long, text string")
+    records.write_records(df, str(tmp_path / "data"), tokenizer_file, 2, file_bytes=1500)
+    sizes = [f.stat().st_size for f in (tmp_path / "data").glob("run=*/part-*")]
+    assert len(sizes) > 10 and sorted(sizes)[-2] <= 1500 < sorted(sizes)[-1]
+    assert sum(sizes) == sum(len(records.frame(i, np.append(encoder.encode(t), 2))) for i, t in rows)
+    listed = records.write_index(spark, str(tmp_path / "data"), str(tmp_path / "index")).orderBy("file", "offset").collect()
+    assert [r["doc_id"] for r in listed] == list(range(301))
+
+
 def test_frames_carry_wide_ids_and_show_damage():
     ids = np.array([1, 70_000, 10], "<u4")
     data = records.frame(9, ids) + records.frame(None, ids[:1])
