@@ -12,7 +12,7 @@ from lossgauge.operators import clean, profile, summarize
 from lossgauge.operators.enrich import attach_dimension, lookup_rename
 from lossgauge.operators.ordered import GROUP_LIMIT, blocks_needed, forward_fill
 from lossgauge.operators.reshape import wide_to_long
-from lossgauge.plans import labels
+from lossgauge.plans import labels, profile_report
 
 
 def prepare_indicators(indicators: DataFrame, renames: DataFrame, entities: DataFrame) -> DataFrame:
@@ -118,3 +118,7 @@ class IndicatorExplorer:
             "correlation": profile.profile_correlation(self.rows),
             "duplicates": profile.profile_duplicates(self.rows),
         }
+
+    def associations(self) -> dict[str, DataFrame]:
+        """The rest of the profile: how columns hang together, what is missing, what texts are made of."""
+        return profile_report.associations(self.rows)

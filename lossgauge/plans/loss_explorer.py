@@ -11,7 +11,7 @@ from lossgauge.functions.scalar import clean_text, map_values
 from lossgauge.operators import clean, profile, stats, summarize
 from lossgauge.operators.enrich import attach_dimension
 from lossgauge.operators.ordered import GROUP_LIMIT, blocks_needed, forward_fill
-from lossgauge.plans import labels
+from lossgauge.plans import labels, profile_report
 from lossgauge.session import stable
 
 FILL_ORDER = ("year", "commodity", "food_supply_stage")
@@ -115,6 +115,10 @@ class LossExplorer:
             "duplicates": profile.profile_duplicates(self.rows),
         }
 
+    def associations(self) -> dict[str, DataFrame]:
+        """The rest of the profile: how columns hang together, what is missing, what texts are made of."""
+        return profile_report.associations(self.rows)
+
 
 class Panels:
     """The panels of a ``LossExplorer`` from one stored table of sums and counts.

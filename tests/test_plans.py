@@ -202,3 +202,12 @@ def test_panels_read_the_rows_once(spark, monkeypatch):
     assert stored[0]._jdf.queryExecution().executedPlan().toString().count("orders.parquet") == 1
     for df in (panels.map_means(), panels.year_means(), panels.frequencies(), panels.histogram(["1-URGENT"])):
         assert "orders.parquet" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_whole_profile_of_an_explorer(spark):
+    rows = [("a", "x", 2001, 1.0), ("b", None, 2002, 2.0), ("a", "x", None, 4.0), ("b", "y", 2004, 3.0)]
+    df = spark.createDataFrame(rows, "country string, commodity string, year int, loss_percentage double")
+    found = {name: part.collect() for name, part in LossExplorer(df).associations().items()}
+    assert len(found) == 9 and all(found.values())
+    assert {r["corr"] for r in found["rank correlation"] if r["a"] != r["b"]} == {1.0}
+    assert len(LossExplorer(df.select("year")).associations()) == 1
