@@ -43,11 +43,41 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def labelled_sample(texts: DataFrame, marks: DataFrame, size: int) -> DataFrame:
+    """(id, text, label) of at most ``size`` documents outside the held-out fold, those with the least hashes of their ids.
+
+    ``texts`` has id and text, ``marks`` id and label. One row per id: of several labels the largest, of several texts the
+    one with the least hash, so that ids on many rows don't enlarge the sample. Null ids and labels are left out.
+    """
+    labels = (
+        marks.where("id IS NOT NULL AND label IS NOT NULL")
+        .where(~held_out(F.col("id")))
+        .groupBy("id")
+        .agg(F.max("label").alias("label"))
+    )
+    present = labels.join(texts.select("id").distinct(), "id", "left_semi")
+    chosen = present.orderBy(F.xxhash64("id"), "id").limit(size)
+    order = F.struct(F.xxhash64("text"), F.col("text"))
+    return texts.join(chosen, "id").groupBy("id").agg(F.min_by("text", order).alias("text"), F.max("label").alias("label"))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names for inner use: ``wanted``, made longer where ``df`` has such a column of its own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys where null equals null. The key columns of the right side are dropped."""
-    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    inner = free_names(left, *[f"__right_{k}" for k in keys])
+    renamed = right.withColumnsRenamed(dict(zip(keys, inner)))
     condition = None
-    for k in keys:
-        same = left[k].eqNullSafe(renamed[f"__right_{k}"])
+    for k, other in zip(keys, inner):
+        same = left[k].eqNullSafe(renamed[other])
         condition = same if condition is None else condition & same
-    return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*inner)

@@ -2,15 +2,24 @@
 
 Detected entities get keyed replacements of the same kind: the digits, letter cases, separators, check digits, script
 and gender of the original. One entity has one surrogate in the whole corpus, however it is written, and two entities
-never share one: surrogates are drawn for the distinct entities of the corpus, and those that meet another's surrogate
-or a real entity are drawn again until none is left. Documents are then rewritten where they lie; only redrawn
-entities, if there are any, are joined to the documents that mention them.
+never share one.
+
+Kinds that are written by a fixed form (numbers, addresses, account numbers, secrets) have as many values as the form
+allows, and few of some. Their surrogates come from a keyed permutation of all values of the form: distinct by
+construction, never the entity itself, without a look at other entities. In a crowded form such a surrogate may be a
+value that occurs elsewhere in the corpus, where it is replaced in turn; in a full one it must be.
+
+Names and mail addresses have no such bound. Their surrogates are drawn for the distinct entities of the corpus, and
+those that meet another's surrogate or a real entity are drawn again, from sets that grow with each attempt, until none
+is left. Documents are then rewritten where they lie; only redrawn entities, if there are any, are joined to the
+documents that mention them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import ipaddress
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossgauge.llm.common import lean_memory, whole_text
+from lossgauge.llm.common import free_names, lean_memory, whole_text
 from lossgauge.session import stable
 
 _EMAIL = re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,}", re.UNICODE)
 _DIGITS = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.ASCII)
-_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII)
+_IBAN = re.compile(
+    r"\b(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)\b", re.ASCII
+)
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 _CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII)
 _PHONE = re.compile(
@@ -37,6 +48,8 @@ _PHONE = re.compile(
 )
 # national numbers: the leading zero, then groups with blanks, slashes or dashes between
 _NATIONAL = re.compile(r"(?<![\w.,:/+-])(?<!\d )0[1-9]\d{0,4}(?:(?: ?[/-] ?| )\d{2,8}){1,5}(?![\w-]|/\d|[.,:]\d| \d)", re.ASCII)
+# the same in one piece
+_NATIONAL_PLAIN = re.compile(r"(?<![\w.,:/+-])0[1-9]\d{8,9}(?![\w-]|/\d|[.,:]\d)", re.ASCII)
 _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{0,4})(?![\w:]|\.\d)", re.ASCII)
 # What access keys begin with
 KEY_HEADS = ("AKIA", "ASIA", "ghp_", "sk-", "xoxb-", "xoxp-")
@@ -98,6 +111,13 @@ MORE_GIVEN = {
         Xavier Yves""".split()
     + "Александр Антон Борис Василий Виктор Владимир Георгий Григорий Денис Евгений Игорь Константин Максим Олег Пётр".split(),
 }
+# A run of name words that holds one of these names a place, an institution or a work
+NOT_PERSONS = set(
+    """Academy Airport Avenue Bank Bay Beach Bridge Building Castle Cathedral Center Centre Church City Club College Company
+    Corporation County Court Creek District Drive Falls Festival Foundation Gallery Garden Gardens Hall Harbour Hill Hospital
+    Hotel Institute Island Islands Lake Lane Library Memorial Museum Palace Park Place Platz Plaza Prize River Road School
+    Square Stadium Station Straße Street Theatre Tower Trust University Universität Valley Museumsplatz Bahnhof Flughafen""".split()
+)
 SYLLABLES = {
     "latin": ("bar", "den", "fal", "gor", "hel", "jan", "kel", "lor", "mar", "nev", "pol", "ren", "sal", "tor", "vel", "wen"),
     "cyrillic": ("бар", "ден", "фал", "гор", "хел", "кал", "лор", "мар", "нев", "пол", "рен", "сал", "тор", "вел", "зам", "жан"),
@@ -168,10 +188,11 @@ def _spans(text: str) -> Iterator[tuple[int, int, str, str]]:
             found = _digits(m.group())
             if 7 <= len(found) <= 15:
                 yield m.start(), m.end(), "phone", found[-10:]
-        for m in _NATIONAL.finditer(text):
-            found = _digits(m.group())
-            if 9 <= len(found) <= 13:
-                yield m.start(), m.end(), "phone", found[1:][-10:]
+        for pattern in (_NATIONAL, _NATIONAL_PLAIN):
+            for m in pattern.finditer(text):
+                found = _digits(m.group())
+                if 9 <= len(found) <= 13:
+                    yield m.start(), m.end(), "phone", found[1:][-10:]
     if not _NAME_CUES.isdisjoint(_CUE_WORD.findall(text)):
         yield from _names(text)
 
@@ -191,7 +212,7 @@ def _ibans(text: str) -> Iterator[tuple[int, int, str, str]]:
         at = m.end()
         ends = [m.start() + i for i, c in enumerate(m.group()) if c == " "] + [m.end()]
         for end in reversed(ends):
-            plain = text[m.start() : end].replace(" ", "")
+            plain = text[m.start() : end].replace(" ", "").upper()
             if 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]:
                 yield m.start(), end, "iban", plain
                 at = end
@@ -206,6 +227,8 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
     surnames, given = set(), {}
     for run in _NAME_RUN.finditer(text):
         words = list(_NAME_WORD.finditer(text, run.start(), run.end()))
+        if not NOT_PERSONS.isdisjoint(m.group() for m in words):
+            continue
         gaps = ["", *(text[a.end() : b.start()] for a, b in zip(words, words[1:]))]
         at = 0
         while at < len(words):
@@ -278,40 +301,158 @@ class _Stream:
         return "".join(out)
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """The replacement of an entity, in the one way entities are written."""
+# kinds whose surrogates are drawn and checked; those of all others are permuted
+DRAWN_KINDS = ("email", "ipv6", *NAME_KINDS)
+FEISTEL_ROUNDS = 8
+
+
+class Permutation:
+    """A keyed permutation of the numbers below ``size`` that leaves none in its place, one cycle through all of them.
+
+    Numbers are split in two parts that scramble each other in rounds, over a rectangle that just covers them; what falls
+    outside is scrambled again. The permutation scrambles, takes the next number, and undoes the scrambling.
+    """
+
+    def __init__(self, key: bytes, label: str, size: int):
+        self.key, self.label, self.size = key, label.encode("utf-8", "surrogatepass"), size
+        self.high = math.isqrt(max(size - 1, 0)) + 1
+        self.low = -(-size // self.high)
+
+    def _round(self, i: int, part: int) -> int:
+        data = b"%d\0%d\0%s" % (i, part, self.label)
+        return int.from_bytes(hashlib.blake2b(data, key=self.key).digest(), "little")
+
+    def _scramble(self, x: int) -> int:
+        while True:
+            a, b = divmod(x, self.low)
+            for i in range(FEISTEL_ROUNDS):
+                a = (a + self._round(2 * i, b)) % self.high
+                b = (b + self._round(2 * i + 1, a)) % self.low
+            x = a * self.low + b
+            if x < self.size:
+                return x
+
+    def _unscramble(self, x: int) -> int:
+        while True:
+            a, b = divmod(x, self.low)
+            for i in reversed(range(FEISTEL_ROUNDS)):
+                b = (b - self._round(2 * i + 1, a)) % self.low
+                a = (a - self._round(2 * i, b)) % self.high
+            x = a * self.low + b
+            if x < self.size:
+                return x
+
+    def image(self, x: int, fits=None) -> int:
+        """The number that stands for ``x``. With ``fits``, which holds for ``x`` too, the permutation is followed up to
+        a number for which it holds; this is a permutation of those numbers."""
+        at = self._scramble(x)
+        while True:
+            at = (at + 1) % self.size
+            y = self._unscramble(at)
+            if fits is None or fits(y):
+                return y
+
+
+def _alphabet(c: str) -> str | None:
+    if c.isdecimal() and c.isascii():
+        return "0123456789"
+    for first, n in (("a", 26), ("A", 26), ("а", 32), ("А", 32), ("α", 17), ("Α", 17)):
+        if ord(first) <= ord(c) < ord(first) + n:
+            return "".join(chr(ord(first) + i) for i in range(n))
+    return None
+
+
+def _permuted(key: bytes, kind: str, text: str, alphabets: list[str | None] | None = None, fits=None) -> str:
+    """The image of ``text`` among the texts of its form: digits for digits, letters for letters of one case and script,
+    other characters stay. ``alphabets`` may give the characters of each place; ``fits`` narrows the texts, this one
+    among them."""
+    alphabets = alphabets or [_alphabet(c) for c in text]
+    places = [(i, a) for i, a in enumerate(alphabets) if a]
+
+    def number(value: str) -> int:
+        n = 0
+        for i, a in places:
+            n = n * len(a) + a.index(value[i])
+        return n
+
+    def written(n: int) -> str:
+        out = list(text)
+        for i, a in reversed(places):
+            n, at = divmod(n, len(a))
+            out[i] = a[at]
+        return "".join(out)
+
+    form = "".join(c if not a else a[0] for c, a in zip(text, alphabets))
+    size = math.prod(len(a) for _, a in places)
+    if size < 2:
+        return text
+    check = None if fits is None else lambda n: fits(written(n))
+    return written(Permutation(key, f"{kind}\0{form}\0{len(places)}", size).image(number(text), check))
+
+
+_PRIVATE = re.compile(r"(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.")
+_HEX_FORMS = (re.compile("[0-9a-f]+"), re.compile("[0-9A-F]+"))
+
+
+def _hex_digits(body: str) -> str | None:
+    """The digits of a body that is all hexadecimal, in one case."""
+    return next((d for r, d in zip(_HEX_FORMS, ("0123456789abcdef", "0123456789ABCDEF")) if r.fullmatch(body)), None)
+
+
+def _permuted_kind(key: bytes, kind: str, entity: str) -> str:
+    if kind == "ip":
+        kept = m.group() if (m := _PRIVATE.match(entity)) else ""
+        octets = [int(x) for x in entity[len(kept) :].split(".")]
+
+        def address(n: int) -> str:
+            return kept + ".".join(str(n >> 8 * i & 255) for i in reversed(range(len(octets))))
+
+        number = sum(x << 8 * i for i, x in enumerate(reversed(octets)))
+        # a public address stays public
+        public = None if kept else lambda n: not _PRIVATE.match(address(n))
+        return address(Permutation(key, f"ip\0{kept}", 256 ** len(octets)).image(number, public))
+    if kind == "card":
+        # the first digit stays, the last checks as well or as badly as the original
+        body = entity[0] + _permuted(key, "card", entity[1:-1])
+        off = (int(entity[-1]) + _luhn(entity[:-1] + "0")) % 10
+        if off:
+            off = 1 + Permutation(key, "card\0check", 9).image(off - 1)
+        return body + str((off - _luhn(body + "0")) % 10)
+    if kind == "phone":
+        digits = "0123456789"
+        return _permuted(key, "phone", entity, ["23456789" if entity[0] in "23456789" else "01"] + [digits] * (len(entity) - 1))
+    if kind == "ssn":
+
+        def issued(number: str) -> bool:
+            return "100" <= number[:3] < "666" and number[3:5] > "00" and number[5:] > "0000"
+
+        like = issued(entity)
+        return _permuted(key, "ssn", entity, fits=lambda number: issued(number) == like)
+    if kind == "iban":
+        rest = _permuted(key, f"iban{entity[:2]}", entity[4:])
+        return entity[:2] + _iban_check(entity[:2], rest) + rest
+    head = m.group() if (m := re.match(r"AKIA|ASIA|ghp_|sk-|xox[bp]-", entity)) else ""
+    body = entity[len(head) :]
+    if digits := _hex_digits(body):
+        # digits alone are hexadecimal in either case: such a body stays with the lower one
+        return head + _permuted(key, "secret", body, [digits] * len(body), lambda x: _hex_digits(x) == digits)
+    return head + _permuted(key, "secret", body, fits=lambda x: _hex_digits(x) is None)
+
+
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
+    """The replacement of an entity, in the one way entities are written. Attempts differ for drawn kinds only."""
+    if kind not in DRAWN_KINDS:
+        return _permuted_kind(key, kind, entity)
     draw = _Stream(key, kind, entity, attempt)
     if kind == "email":
         local, _, domain = entity.partition("@")
         labels = domain.split(".")
         inner = [draw.like(x) for x in labels[: max(1, len(labels) - 2)]]
-        return f"{draw.like(local)}@{'.'.join(inner)}.example.{('com', 'net', 'org')[draw.below(3)]}"
-    if kind == "ip":
-        private = re.match(r"(?:10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", entity)
-        kept = private.group()[:-1].split(".") if private else [str(11 + draw.below(89))]
-        return ".".join(kept + [str(1 + draw.below(254)) for _ in range(4 - len(kept))])
+        more = "".join(str(draw.below(10)) for _ in range(attempt))
+        return f"{draw.like(local)}{more}@{'.'.join(inner)}.example.{('com', 'net', 'org')[draw.below(3)]}"
     if kind == "ipv6":
         # of the block for documentation
         return "2001:0db8:" + ":".join("".join("0123456789abcdef"[draw.below(16)] for _ in range(4)) for _ in range(6))
-    if kind == "card":
-        body = entity[0] + draw.like(entity[1:-1])
-        last = (10 - _luhn(body + "0")) % 10
-        return body + (str(last) if _luhn(entity) == 0 else draw.like(entity[-1]))
-    if kind == "phone":
-        return str(2 + draw.below(8)) + draw.like(entity[1:])
-    if kind == "ssn":
-        return f"{100 + draw.below(565):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
-    if kind == "iban":
-        rest = draw.like(entity[4:])
-        return entity[:2] + _iban_check(entity[:2], rest) + rest
-    if kind == "secret":
-        head = re.match(r"AKIA|ASIA|ghp_|sk-|xox[bp]-", entity)
-        head = head.group() if head else ""
-        body = entity[len(head) :]
-        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
-            digits = "0123456789abcdef" if body == body.lower() else "0123456789ABCDEF"
-            return head + "".join(digits[draw.below(16)] for _ in body)
-        return head + draw.like(body)
     script = "cyrillic" if re.search("[Ѐ-ӿ]", entity) else "latin"
     if kind == "surname":
         return "".join(SYLLABLES[script][draw.below(16)] for _ in range(3 + attempt // 2))
@@ -331,7 +472,7 @@ def render(kind: str, original: str, entity: str, replacement: str) -> str:
             out.append(c)
         return "".join(out)
     if kind == "iban":
-        fresh = iter(replacement)
+        fresh = iter(replacement.lower() if original[0].islower() else replacement)
         return "".join(c if c == " " else next(fresh) for c in original)
     if kind in NAME_KINDS:
         return replacement.upper() if original.isupper() else replacement.title()
@@ -341,7 +482,7 @@ def render(kind: str, original: str, entity: str, replacement: str) -> str:
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text_hash, kind, entity) of all texts, each once."""
+    """(text_hash, kind, entity) of all texts, each once, of the kinds whose surrogates are drawn."""
 
     def look(batches):
         lean_memory()
@@ -350,6 +491,7 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 (h, kind, entity)
                 for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                 for _, _, kind, entity in find(text)
+                if kind in DRAWN_KINDS
             }
             columns = list(zip(*found)) if found else [[], [], []]
             kinds = (pa.int64(), pa.string(), pa.string())
@@ -365,8 +507,9 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt, surrogate) of distinct (kind, entity), with distinct surrogates that are no entity.
 
-    In each round those that meet a surrogate drawn in an earlier attempt, or by a smaller entity, or an entity of the
-    corpus, are drawn again. Later attempts draw from larger sets where sets are small, so the rounds end.
+    For the drawn kinds. In each round those that meet a surrogate drawn in an earlier attempt, or by a smaller entity,
+    or an entity of the corpus, are drawn again. The sets they are drawn from grow with the attempts without end, so the
+    rounds do end.
     """
 
     @F.pandas_udf("string")
@@ -408,7 +551,8 @@ def _rewrite(text: str | None, key: bytes, attempts: dict) -> tuple[str | None,
 
 
 def mask(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``docs`` with personal data of ``text_col`` replaced; all columns stay, and ``count_col`` gets the number replaced.
+    """``docs`` with personal data of ``text_col`` replaced; all columns stay, and ``count_col``, a new column or one to replace, gets
+    the number of replaced entities.
 
     Null texts stay null, texts without entities stay as they are. Rows are kept one by one, whatever their ids;
     an empty table gives an empty result.
@@ -427,16 +571,20 @@ def mask(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | N
             yield pd.DataFrame({"text": [r[0] for r in rows], "n": [r[1] for r in rows]}, dtype=object).astype({"n": "int32"})
 
     kind = "array<struct<kind:string,entity:string,attempt:int>>"
+    redraws, there_hash, own_hash, made = free_names(docs, "__redrawn", "__hash", "__text_hash", "__made")
     if redrawn.isEmpty():
-        marked = docs.withColumn("__redrawn", F.lit(None).cast(kind))
+        marked = docs.withColumn(redraws, F.lit(None).cast(kind))
     else:
         there = named.join(redrawn.select("kind", "entity", "attempt"), ["kind", "entity"])
-        there = there.groupBy(F.col("text_hash").alias("__hash")).agg(
-            F.collect_list(F.struct("kind", "entity", "attempt")).alias("__redrawn")
+        # stored, so that the join can be split where one text has very many copies
+        there = stable(
+            there.groupBy(F.col("text_hash").alias(there_hash)).agg(
+                F.collect_list(F.struct("kind", "entity", "attempt")).alias(redraws)
+            )
         )
-        hashed = docs.withColumn("__text_hash", F.xxhash64(whole_text(text_col)))
-        marked = hashed.join(there, F.col("__text_hash") == F.col("__hash"), "left")
-    made: Column = rewrite(F.col(text_col), F.col("__redrawn"))
-    columns = [F.col("__made.text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    count = [F.col("__made.n").alias(count_col)] if count_col else []
-    return marked.withColumn("__made", made).select(*columns, *count)
+        hashed = docs.withColumn(own_hash, F.xxhash64(whole_text(text_col)))
+        marked = hashed.join(there, F.col(own_hash) == F.col(there_hash), "left")
+    kept = [c for c in docs.columns if count_col is None or c.lower() != count_col.lower()]
+    columns = [F.col(made)["text"].alias(c) if c == text_col else F.col(c) for c in kept]
+    count = [F.col(made)["n"].alias(count_col)] if count_col else []
+    return marked.withColumn(made, rewrite(F.col(text_col), F.col(redraws))).select(*columns, *count)

@@ -1,6 +1,9 @@
 import pytest
 
 CLASHES = ("n", "h", "pos", "name", "level", "fp", "component", "row", "ids", "score", "kind", "shard", "slot", "text_hash")
+CLASHES += ("__made", "__redrawn", "__hash", "__text_hash", "__doc", "__id", "__sha", "__text_sha", "__chars", "__length", "__fp")
+CLASHES += ("__component", "__several", "__place", "__print", "__slot", "__table_slot", "__shard", "__turn", "__right_doc_id")
+CLASHES += ("batch", "run", "at", "key", "dropped", "form", "cut", "h1", "t1", "documents", "runs", "strongest", "__block", "__copy")
 
 
 @pytest.fixture(scope="session")
