@@ -22,9 +22,9 @@ def places(df: DataFrame, column: str, bits: int = BITS, group_limit: int = GROU
 
     Rows collapse to values with counts before the shuffle. Equal values have one place, so it never parts them.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    counts = stable(df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0)))
     upto = running_total(
-        stable(counts), partition_by=["_all"], order_by=[column], name="_upto", weight="_n", group_limit=group_limit
+        counts, partition_by=["_all"], order_by=[column], name="_upto", weight="_n", group_limit=group_limit
     )
     rows = counts.agg(F.sum("_n")).scalar()
     place = F.floor((F.col("_upto") - F.col("_n")).cast("double") / rows * 2**bits).cast("long")

@@ -28,3 +28,26 @@ def test_stored_table_keeps_schema_and_can_be_dropped(spark, rows):
     with pytest.raises(Exception):
         spark.read.parquet(written[0]).count()
     assert rows(other) == rows(df)
+
+
+def test_sorted_buckets_meet_without_a_shuffle_and_go_with_the_scope(spark):
+    some = spark.createDataFrame([(i % 50, i) for i in range(500)], "k int, v int")
+    with session.intermediate_tables(spark) as written:
+        names = [session.sorted_buckets(some, ["k"]), session.sorted_buckets(some.filter("v < 100"), ["k"])]
+        left, right = (spark.table(n) for n in names)
+        joined = left.hint("merge").join(right.withColumnRenamed("v", "w"), "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert joined.count() == 50 * 10 * 2
+        session.drop_buckets(spark, names[:1])
+        assert not spark.catalog.tableExists(names[0]) and right.count() == 100
+        assert len(written) == 2
+        session.drop_buckets(spark, names[1:])
+
+
+def test_folders_of_a_scope_are_deleted(spark):
+    with session.intermediate_tables(spark):
+        folder = session.intermediate_folder(spark)
+        spark.range(5).write.parquet(folder)
+    with pytest.raises(Exception):
+        spark.read.parquet(folder).count()
