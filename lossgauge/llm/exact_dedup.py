@@ -2,11 +2,13 @@
 
 The normalised text is cut into fixed-size blocks. Equal blocks get the same integer name, different blocks different
 names; then adjacent names are paired and each distinct pair is named, round after round, until every document has one
-name. Documents are equal exactly if they end in the same round with the same name: no hash decides.
+name. Documents are equal exactly if they end in the same round with the same name: no hash decides. (Rows that share a
+doc_id, or have none, are told apart by a 64-bit hash of their text before that.)
 
 Only DataFrame functions are used. The text is shuffled once, distinct blocks only, after a partial distinct on the map
 side; later rounds move three integers per block and halve each time. A hot block or pair is one row after the
-partial distinct; the join that hands names back has no grouping above it, so adaptive execution can split a hot name.
+partial distinct. The tables of names are stored before they are joined: with a grouping on the join's own key below it
+a join can't be split, so a block or pair that very many documents share would go to one task.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lossgauge.llm.common import BLANKS, null_safe_join, whole_text
+from lossgauge.llm.common import BLANKS, free_names, null_safe_join, whole_text
 from lossgauge.session import stable
 
 BLOCK_BYTES = 2048
@@ -58,7 +60,7 @@ def _name_blocks(blocks: DataFrame) -> DataFrame:
     numbered = stable(
         distinct.sortWithinPartitions("block").select("h", F.monotonically_increasing_id().alias("name"))
     )
-    by_hash = numbered.groupBy("h").agg(F.min("name").alias("name"), F.count("*").alias("k"))
+    by_hash = stable(numbered.groupBy("h").agg(F.min("name").alias("name"), F.count("*").alias("k")))
     rows = blocks.select(*KEY, "n", "pos", "h")
     shared = by_hash.where("k > 1").select("h")
     if shared.isEmpty():
@@ -68,7 +70,7 @@ def _name_blocks(blocks: DataFrame) -> DataFrame:
     texts = texts.withColumn("r", rank.over(Window.partitionBy("h").orderBy("block")))
     names = numbered.join(shared, "h", "left_semi")
     names = names.withColumn("r", rank.over(Window.partitionBy("h").orderBy("name")))
-    by_text = texts.join(names, ["h", "r"]).select("h", "block", "name")
+    by_text = stable(texts.join(names, ["h", "r"]).select("h", "block", "name"))
     alone = rows.join(by_hash.where("k = 1"), "h").select(*KEY, "n", "pos", "name")
     return alone.unionByName(blocks.join(by_text, ["h", "block"]).select(*KEY, "n", "pos", "name"))
 
@@ -80,7 +82,8 @@ def _name_pairs(rows: DataFrame) -> DataFrame:
         F.max(F.when(even, F.col("name"))).alias("left"),
         F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"),
     )
-    named = (
+    pairs = stable(pairs)
+    named = stable(
         pairs.select("left", "right")
         .distinct()
         .sortWithinPartitions("left", "right")
@@ -154,28 +157,27 @@ def one_per_row(verdict: DataFrame) -> DataFrame:
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Rows that repeat one document leave one row."""
+    doc, text_sha, length, verdict_id, sha, chars = free_names(docs, "__doc", "__text_sha", "__length", "__id", "__sha", "__chars")
     verdict = exact_duplicates(docs, id_col, text_col).where("kept")
     verdict = stable(
         verdict.select(
-            F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("chars").alias("__chars"), "rows"
+            F.col("doc_id").alias(verdict_id), F.col("text_sha256").alias(sha), F.col("chars").alias(chars), "rows"
         )
     )
     marked = docs.withColumns(
         {
-            "__doc": F.col(id_col).cast("long"),
-            "__text_sha": F.sha2(normalised(whole_text(text_col)), 256),
-            "__length": F.length(whole_text(text_col)).cast("long"),
+            doc: F.col(id_col).cast("long"),
+            text_sha: F.sha2(normalised(whole_text(text_col)), 256),
+            length: F.length(whole_text(text_col)).cast("long"),
         }
     )
     same = (
-        F.col("__doc").eqNullSafe(F.col("__id"))
-        & (F.col("__text_sha") == F.col("__sha"))
-        & (F.col("__length") == F.col("__chars"))
+        F.col(doc).eqNullSafe(F.col(verdict_id)) & (F.col(text_sha) == F.col(sha)) & (F.col(length) == F.col(chars))
     )
     once = marked.join(verdict.where("rows = 1").drop("rows"), same, "left_semi").select(*docs.columns)
     repeated = verdict.where("rows > 1").drop("rows")
     if repeated.isEmpty():
         return once
     # whole rows are shuffled once more for documents that came several times only
-    first = marked.join(repeated, same, "left_semi").dropDuplicates(["__doc", "__text_sha"])
+    first = marked.join(repeated, same, "left_semi").dropDuplicates([doc, text_sha])
     return once.unionByName(first.select(*docs.columns))
