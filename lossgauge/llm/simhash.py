@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lossgauge.llm.common import whole_text
+from lossgauge.llm.common import free_names, whole_text
 from lossgauge.session import stable
 
 SHINGLE = 4
@@ -184,7 +184,7 @@ def _star_links(keyed: DataFrame, masks: list[int], agree: int, max_bits: int) -
     moved = F.transform(F.element_at(F.lit(steps), F.col("choice") + 1), lambda m: m.bitwiseXOR(F.col("fp")))
     met = keyed.select("choice", "fp", F.explode(moved).alias("value"))
     within = met if inner == radius else met.where(_differing(F.col("fp"), F.col("value")) <= inner)
-    least = within.groupBy("choice", "value").agg(F.min("fp").alias("least"))
+    least = stable(within.groupBy("choice", "value").agg(F.min("fp").alias("least")))
     pairs = met.join(least, ["choice", "value"]).where("least != fp")
     return pairs.select(F.least("least", "fp").alias("a"), F.greatest("least", "fp").alias("b")).distinct()
 
@@ -193,14 +193,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each linked node can reach. Nodes without a link are absent.
 
     Alternates large-star and small-star until the links no longer change; every round is stored. The least
-    neighbour of a node comes from a plain minimum, so a node with very many links is never gathered in one task.
+    neighbour of a node comes from a plain minimum, which is stored before the links are joined to it: so the join can be
+    split, and a node with very many links is never gathered in one task.
     """
 
     def star(links: DataFrame, large: bool) -> DataFrame:
         both = links if not large else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # small star: each node with its smaller neighbours only; links are kept as (a < b)
         sided = both if large else links.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        least = sided.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stable(sided.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         joined = sided.join(least, "a")
         if large:
             moved = joined.where("b > a").select(F.col("m").alias("a"), "b")
@@ -217,7 +218,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := state(current)) != before:
         before = now
-        current = stable(star(star(current, True), False))
+        current = stable(star(stable(star(current, True)), False))
     ends = current.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return ends.unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
@@ -226,10 +227,13 @@ def _named(prints: DataFrame, max_bits: int, pivots: int, hot: int, chance: int)
     """(fp, component, component_id) of distinct fingerprints."""
     distinct = stable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = stable(components(links(distinct.select("fp"), max_bits, pivots, hot, chance)))
-    member = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
+    member = stable(
+        distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+            "component", F.coalesce("component", "fp")
+        )
     )
-    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    # stored, so that the join to the members of a large component can be split
+    least = stable(member.groupBy("component").agg(F.min("least").alias("component_id")))
     return member.join(least, "component").select("fp", "component", "component_id")
 
 
@@ -276,36 +280,38 @@ def keep_one_of_each(
     that share its least id, the one with the least hash of its text stays. Of a component without ids, the one with
     the least fingerprint and hash stays.
     """
+    own_id, own_print, place = free_names(docs, "__doc", "__print", "__place")
+    lead_id, lead_fp, lead_component, many = free_names(docs, "__id", "__fp", "__component", "__several")
     prints = stable(_prints(docs, shingle, id_col, text_col))
     named = stable(_named(prints, max_bits, pivots, hot, chance))
     leading = stable(
         prints.join(named, "fp")
         .where("doc_id <=> component_id")
-        .select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("component").alias("__component"))
+        .select(F.col("doc_id").alias(lead_id), F.col("fp").alias(lead_fp), F.col("component").alias(lead_component))
         .distinct()
     )
     order = F.xxhash64(whole_text(text_col))
 
     def first(rows: DataFrame, key: str, *by: Column) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(key).orderBy(*by))
-        return rows.withColumn("__place", place).where("__place = 1").select(*docs.columns)
+        ranked = F.row_number().over(Window.partitionBy(key).orderBy(*by))
+        return rows.withColumn(place, ranked).where(F.col(place) == 1).select(*docs.columns)
 
     # ids with several fingerprints: which component a row is of shows in its text only
     several = stable(
         prints.where("doc_id IS NOT NULL")
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg((F.min("fp") != F.max("fp")).alias("__several"))
-        .where("__several")
-        .join(leading, "__id", "left_semi")
-        .select("__id")
+        .groupBy(F.col("doc_id").alias(lead_id))
+        .agg((F.min("fp") != F.max("fp")).alias(many))
+        .where(F.col(many))
+        .join(leading, lead_id, "left_semi")
+        .select(lead_id)
     )
-    own = docs.withColumn("__doc", F.col(id_col).cast("long"))
-    plain, unclear = leading.where("__id IS NOT NULL"), own.where("__doc IS NULL")
+    own = docs.withColumn(own_id, F.col(id_col).cast("long"))
+    plain, unclear = leading.where(F.col(lead_id).isNotNull()), own.where(F.col(own_id).isNull())
     if not several.isEmpty():
-        plain = plain.join(several, "__id", "left_anti")
-        unclear = unclear.unionByName(own.join(several, F.col("__doc") == F.col("__id"), "left_semi"))
-    stays = first(own.join(plain, F.col("__doc") == F.col("__id"), "left_semi"), "__doc", order)
-    unclear = unclear.withColumn("__print", fingerprint(whole_text(text_col), shingle))
-    matched = unclear.join(leading, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__print") == F.col("__fp")))
-    by = F.when(F.col("__id").isNull(), F.col("__fp"))
-    return stays.unionByName(first(matched, "__component", by, order))
+        plain = plain.join(several, lead_id, "left_anti")
+        unclear = unclear.unionByName(own.join(several, F.col(own_id) == F.col(lead_id), "left_semi"))
+    stays = first(own.join(plain, F.col(own_id) == F.col(lead_id), "left_semi"), own_id, order)
+    unclear = unclear.withColumn(own_print, fingerprint(whole_text(text_col), shingle))
+    matched = unclear.join(leading, F.col(own_id).eqNullSafe(F.col(lead_id)) & (F.col(own_print) == F.col(lead_fp)))
+    by = F.when(F.col(lead_id).isNull(), F.col(lead_fp))
+    return stays.unionByName(first(matched, lead_component, by, order))
