@@ -24,6 +24,7 @@ from lossgauge.llm import (
     toxicity,
 )
 from lossgauge.llm.common import documents
+from lossgauge.session import intermediate_folder
 from lossgauge.sources.delimited import read_table
 
 # the key of the test tables; a production job takes its own from its secret store
@@ -73,9 +74,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document on one of 64 shards."""
+    """Every document whole in a file of one of 64 shards, and read back from there."""
     placed = sharding.place(documents(spark, sf_dir), [f"shard-{i:03d}" for i in range(64)])
-    return placed.select(F.col("doc_id").cast("long").alias("doc_id"), "slot", "shard")
+    folder = intermediate_folder(spark)
+    sharding.write_shards(placed, folder)
+    stored = sharding.read_shards(spark, folder, placed.schema)
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    return stored.select(F.col("doc_id").cast("long").alias("doc_id"), "slot", "shard", digest)
 
 
 @query()

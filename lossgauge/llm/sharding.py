@@ -13,10 +13,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from lossgauge.llm.common import free_names
 
 SLOTS = 65_537
 # a table of this size is a few megabytes, whatever the data
 MOST_SLOTS = 1 << 20
+ROWS_PER_FILE = 1_000_000
 
 
 def _permutation(shard: str, slots: int) -> tuple[int, int]:
@@ -59,14 +63,27 @@ def place(docs: DataFrame, shards: Sequence[str], keys: Sequence[str] = ("doc_id
     a slot like any other. Repeated rows go to one shard; no rows give no rows.
     """
     table = table_frame(docs.sparkSession, lookup_table(shards, slots))
-    own = docs.withColumn("__slot", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(slots)).cast("int"))
-    table = table.select(F.col("slot").alias("__table_slot"), F.col("shard").alias("__shard"))
-    placed = own.join(F.broadcast(table), F.col("__slot") == F.col("__table_slot"))
+    own_slot, table_slot, table_shard = free_names(docs, "__slot", "__table_slot", "__shard")
+    own = docs.withColumn(own_slot, F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(slots)).cast("int"))
+    table = table.select(F.col("slot").alias(table_slot), F.col("shard").alias(table_shard))
+    placed = own.join(F.broadcast(table), F.col(own_slot) == F.col(table_slot))
     kept = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
-    return placed.select(*kept, F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    return placed.select(*kept, F.col(own_slot).alias("slot"), F.col(table_shard).alias("shard"))
+
+
+def write_shards(placed: DataFrame, folder: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """One folder per shard, of files of about ``rows_per_file`` rows.
+
+    The rows of a shard are dealt by turns to as many tasks as it has files, so no task holds a whole shard, and equal
+    rows don't meet in one. No rows write no file.
+    """
+    shards = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    files = max(1, -(-shards // rows_per_file))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(files))
+    (dealt,) = free_names(placed, "__turn")
+    placed.withColumn(dealt, turn).repartition("shard", dealt).drop(dealt).write.partitionBy("shard").parquet(folder)
 
 
-def write_shards(placed: DataFrame, folder: str, files_per_shard: int = 8) -> None:
-    """One folder per shard. The rows of a shard go to several tasks, so no task holds a whole shard."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in placed.columns]), F.lit(files_per_shard))
-    placed.repartition("shard", salt).write.partitionBy("shard").parquet(folder)
+def read_shards(spark: SparkSession, folder: str, columns: StructType) -> DataFrame:
+    """The rows of all shards, with the shard from the folder a row lies in; ``columns`` are those that were written."""
+    return spark.read.schema(columns).parquet(folder)

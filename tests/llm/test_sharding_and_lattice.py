@@ -47,12 +47,13 @@ def test_bad_tables_are_refused(shards, slots):
         sharding.lookup_table(shards, slots)
 
 
-def test_placement(spark, small, messy, tmp_path):
+def test_placement(spark, small, raw, messy, tmp_path):
     names = [f"shard-{i:03d}" for i in range(64)]
     table = sharding.lookup_table(names)
     rows = queries.op3_sharding(spark, small).collect()
     slots = {r["doc_id"]: r["s"] for r in spark.range(200).selectExpr("id AS doc_id", "pmod(xxhash64(id), 65537) AS s").collect()}
     assert sorted((r["doc_id"], r["slot"], r["shard"]) for r in rows) == [(i, s, table[s]) for i, s in sorted(slots.items())]
+    assert {r["doc_id"]: r["text_sha256"] for r in rows} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in raw[0].items()}
     plan = sharding.place(messy, names)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     placed = sharding.place(messy, names)
@@ -60,7 +61,22 @@ def test_placement(spark, small, messy, tmp_path):
     assert sorted(placed.columns) == sorted(messy.columns)
     assert sharding.place(messy.limit(0), names).count() == 0
     sharding.write_shards(placed, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == messy.count()
+    stored = sharding.read_shards(spark, str(tmp_path / "out"), placed.schema)
+    assert sorted(map(str, stored.select(*placed.columns).collect())) == sorted(map(str, placed.collect()))
+    sharding.write_shards(placed.limit(0), str(tmp_path / "none"))
+    assert sharding.read_shards(spark, str(tmp_path / "none"), placed.schema).count() == 0
+
+
+def test_equal_rows_of_a_shard_are_dealt_to_several_files(spark, tmp_path):
+    docs = spark.range(1000).selectExpr("7L AS doc_id", "'same' AS text")
+    placed = sharding.place(docs, ["a", "b", "c"])
+    # small partitions would be put together again
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sharding.write_shards(placed, str(tmp_path / "out"), rows_per_file=100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stored = sharding.read_shards(spark, str(tmp_path / "out"), placed.schema)
+    sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) >= 4 and max(sizes) < 500
 
 
 @pytest.fixture(scope="module")
