@@ -20,7 +20,7 @@ from lossgauge.llm.common import free_names
 SLOTS = 65_537
 # a table of this size is a few megabytes, whatever the data
 MOST_SLOTS = 1 << 20
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 100_000
 
 
 def _permutation(shard: str, slots: int) -> tuple[int, int]:
