@@ -17,11 +17,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lossgauge.llm.common import held_out, whole_text
+from lossgauge.llm.common import held_out, labelled_sample, whole_text
+from lossgauge.session import stable
 
 BUCKETS = 1 << 17
 SAMPLE = 8_000
+# buckets of all sampled documents together: some 12 bytes each on the driver
+SAMPLE_BUCKETS = 40_000_000
 STEPS = 150
 RATE = 0.05
 STRENGTH = 2e-4
@@ -38,7 +42,7 @@ def _features_of(word: str) -> tuple[int, int]:
         if kind != last:
             shape.append(kind)
             last = kind
-    made = f"w {letters}", "s " + "".join(shape[:12])
+    made = f"w {letters}", "s " + "".join(shape)
     return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in made)
 
 
@@ -135,39 +139,47 @@ def _slopes(scores: np.ndarray, thresholds: np.ndarray, grades: np.ndarray) -> t
 
 
 def learn(
-    docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    ratings: DataFrame,
+    n_grades: int,
+    sample: int = SAMPLE,
+    sample_buckets: int = SAMPLE_BUCKETS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> Ordinal:
-    """Fit on at most ``sample`` rated documents outside the held-out fold: those with the least hashes of their ids.
+    """Fit on at most ``sample`` rated documents outside the held-out fold, least id hashes first, as long as they have at
+    most ``sample_buckets`` features together.
 
-    ``ratings`` has doc_id and grade, from 0 to ``n_grades`` - 1; a document with several has the greatest. Null ids,
-    null grades and grades out of range are left out. What reaches the driver is the hashed features of the sample.
+    ``ratings`` has doc_id and grade, from 0 to ``n_grades`` - 1; a document with several has the greatest, an id with
+    several texts is one document. Null ids, null grades and grades out of range are left out. What reaches the driver is
+    the hashed features of the sample.
     """
-    marks = (
-        ratings.select(F.col("doc_id").cast("long").alias("id"), F.col("grade").cast("int").alias("grade"))
-        .where(f"id IS NOT NULL AND grade BETWEEN 0 AND {n_grades - 1}")
-        .where(~held_out(F.col("id")))
-        .groupBy("id")
-        .agg(F.max("grade").alias("grade"))
-    )
+    marks = ratings.select(F.col("doc_id").cast("long").alias("id"), F.col("grade").cast("int").alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    present = marks.join(texts.select("id").distinct(), "id", "left_semi")
-    chosen = present.orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = labelled_sample(texts, marks.where(f"label BETWEEN 0 AND {n_grades - 1}"), sample)
 
     def features(batches):
         for batch in batches:
-            made = list(vectorise(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array([b.astype("<i4").tobytes() for b, _ in made], pa.binary()),
-                    pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary()),
-                ],
-                ["id", "grade", "buckets", "values"],
-            )
-
-    found = texts.join(chosen, "id").mapInArrow(features, "id long, grade int, buckets binary, values binary").collect()
-    found.sort(key=lambda r: (r["id"], bytes(r["buckets"]), bytes(r["values"])))
+            for doc_id, text, grade in zip(*(batch.column(i) for i in range(3))):
+                found, values = next(vectorise([text.as_py()]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([doc_id.as_py()], pa.int64()),
+                        pa.array([grade.as_py()], pa.int32()),
+                        pa.array([len(found)], pa.int64()),
+                        pa.array([found.astype("<i4").tobytes()], pa.binary()),
+                        pa.array([values.astype("<f4").tobytes()], pa.binary()),
+                    ],
+                    ["id", "grade", "n", "buckets", "values"],
+                )
+
+    schema = "id long, grade int, n long, buckets binary, values binary"
+    made = stable(chosen.select("id", "text", "label").mapInArrow(features, schema))
+    # at most ``sample`` narrow rows
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fitting = made.select("id", so_far.alias("so_far")).where(F.col("so_far") <= sample_buckets).select("id")
+    found = made.join(fitting, "id", "left_semi").collect()
+    found.sort(key=lambda r: r["id"])
     rows = [(np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float)) for r in found]
     return fit(rows, np.array([r["grade"] for r in found], np.int64), n_grades)
 

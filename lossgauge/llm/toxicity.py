@@ -5,9 +5,10 @@ by Aho-Corasick on the folded text; entries are whole words or beginnings of wor
 phrase does not count. The summed weights, and their sum per length of text, give a score between 0 and 1.
 
 The lexicon is learned from a bounded sample of labelled documents: an entry needs evidence on all toxic documents of
-the sample, and its weight is how far its counts lean to them. Near copies count once, so that the private words of a
-document with many copies don't enter. A fixed list serves only where labels teach no entry. Nothing of a document but
-its text is ever an input of its score.
+the sample, and its weight is how far its counts lean to them. Exception phrases are learned too: two words, one of them
+matched by an entry, that stand in clean documents of the sample and in hardly any toxic one. Near copies count once, so
+that the private words of a document with many copies don't enter. A fixed list serves only where labels teach no entry.
+Nothing of a document but its text is ever an input of its score.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossgauge.llm import simhash
-from lossgauge.llm.common import held_out, whole_text
+from lossgauge.llm.common import held_out, labelled_sample, whole_text
 
 SAMPLE = 8_000
-CANDIDATES = 4_000
 LEAST_EVIDENCE = 25.0
+# an exception phrase stands in so many clean documents, and in so many times fewer toxic ones
+LEAST_CLEAN, CLEAN_LEAN = 3, 10
 PREFIXES = range(4, 9)
 STRENGTH = 0.3
 # of the score where labels teach no entry: a single seed in any text reaches 0.5
@@ -65,13 +67,6 @@ SEEDS = (
 )
 SEED_WEIGHT = 4.0
 
-# Harmless phrases that hold a lexicon word
-EXCEPTIONS = (
-    "trash can", "trash bin", "trash bag", "trash collection", "idiot proof", "idiot light", "clown fish",
-    "soap scum", "scum line", "pathetic fallacy", "loser pays", "stupid simple", "weight loser",
-)
-
-
 def _folding() -> dict[int, str | None]:
     table: dict[int, str | None] = {ord(a): b for a, b in LOOKALIKES}
     folded = dict(LOOKALIKES)
@@ -137,8 +132,8 @@ class Lexicon:
 
         return weigh
 
-    def features(self, texts) -> np.ndarray:
-        weigh = self.matcher()
+    def features(self, texts, weigh=None) -> np.ndarray:
+        weigh = weigh or self.matcher()
         rows = []
         for text in texts:
             folded = fold(text or "")
@@ -146,59 +141,63 @@ class Lexicon:
             rows.append((np.log1p(weight), np.log1p(1000 * weight / max(100, len(folded)))))
         return np.array(rows, float).reshape(-1, 2)
 
-    def score(self, texts) -> np.ndarray:
+    def score(self, texts, weigh=None) -> np.ndarray:
+        """The score of each text; ``weigh`` is a matcher made before."""
         constant, total, density = self.model
-        x = self.features(texts)
+        x = self.features(texts, weigh)
         return 1 / (1 + np.exp(-(constant + total * x[:, 0] + density * x[:, 1])))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, id_col: str, text_col: str) -> DataFrame:
     """(id, text, label) of at most ``size`` labelled documents outside the held-out fold, least id hashes first.
 
-    A document with several labels has the largest; null labels and ids are left out.
+    A document with several labels has the largest; null labels and ids are left out. An id with several texts is one
+    document, with the text of the least hash.
     """
-    marks = (
-        labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
-        .where("id IS NOT NULL AND label IS NOT NULL")
-        .where(~held_out(F.col("id")))
-        .groupBy("id")
-        .agg(F.max("label").alias("label"))
-    )
+    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    present = texts.select("id").distinct()
-    chosen = marks.join(present, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(size)
-    return texts.join(chosen, "id")
+    return labelled_sample(texts, marks, size)
 
 
 def _entries_of(text: str) -> set[str]:
     found = set()
     for word in set(_FOLDED_WORD.findall(fold(text))):
-        if 3 <= len(word) <= 40:
-            found.add(word)
-            found.update(word[:n] + "*" for n in PREFIXES if n <= len(word))
+        found.add(word)
+        found.update(word[:n] + "*" for n in PREFIXES if n <= len(word))
     return found
 
 
-def _evidence(t, c, toxic: int, clean: int):
+def _evidence(t: Column, c: Column, toxic: int, clean: int) -> Column:
     """Twice the log-likelihood ratio of an entry's counts; negative where it speaks for clean documents."""
-    t, c = np.asarray(t, float), np.asarray(c, float)
-    n = toxic + clean
+    n = float(toxic + clean)
 
-    def part(seen, expected):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
 
-    with_it, without = t + c, n - t - c
+    with_it, without = t + c, F.lit(n) - t - c
     total = part(t, with_it * toxic / n) + part(c, with_it * clean / n)
     total += part(toxic - t, without * toxic / n) + part(clean - c, without * clean / n)
-    return np.where(t * clean >= c * toxic, 2 * total, -2 * total)
+    return F.when(t * clean >= c * toxic, 2 * total).otherwise(-2 * total)
 
 
-def _choose(candidates: pd.DataFrame, toxic: int, clean: int, least: float) -> list[tuple[str, float]]:
-    """Entries with evidence on all toxic documents, weighed by the logarithm of their odds."""
-    chosen = candidates[_evidence(candidates.t, candidates.c, toxic, clean) >= least]
-    t, c = chosen.t.to_numpy(float), chosen.c.to_numpy(float)
-    odds = np.log((t + 0.5) / (toxic - t + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5))
-    return [(e, float(max(0.1, w))) for e, w in zip(chosen.entry, odds)]
+def _choose(counts: DataFrame, toxic: int, clean: int, least: float) -> list[tuple[str, float]]:
+    """All entries with evidence on the documents, weighed by the logarithm of their odds."""
+    t, c = F.col("t").cast("double"), F.col("c").cast("double")
+    odds = F.log((t + 0.5) / (toxic - t + 0.5)) - F.log((c + 0.5) / (clean - c + 0.5))
+    strong = counts.where("t >= 3").where(_evidence(t, c, toxic, clean) >= least)
+    chosen = strong.select("entry", F.greatest(odds, F.lit(0.1)).alias("weight")).collect()
+    return sorted((r["entry"], r["weight"]) for r in chosen)
+
+
+def _phrases_of(text: str, whole: set[str], heads: set[str]) -> set[str]:
+    """Pairs of neighbouring words one of which an entry matches."""
+    words = list(_FOLDED_WORD.finditer(text := fold(text)))
+    hit = [w.group() in whole or any(w.group()[:n] in heads for n in PREFIXES) for w in words]
+    return {
+        text[a.start() : b.end()]
+        for a, b, x, y in zip(words, words[1:], hit, hit[1:])
+        if (x or y) and b.start() - a.end() == 1
+    }
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -223,21 +222,41 @@ def _logistic(x: np.ndarray, y: np.ndarray, strength: float) -> tuple[float, ...
     return tuple(float(v) for v in w)
 
 
+def _seen(rows: DataFrame, found_in, name: str) -> DataFrame:
+    """(name, t, c): how many toxic and clean groups of near copies hold each of the texts that ``found_in`` finds."""
+
+    def look(batches):
+        for batch in batches:
+            for group, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = list(found_in(text))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.string()), pa.array([group] * len(found), pa.int64()),
+                     pa.array([mark] * len(found), pa.int32())],
+                    [name, "group", "label"],
+                )
+
+    seen = rows.select("group", "text", "label").mapInArrow(look, f"{name} string, group long, label int")
+    seen = seen.select(name, "group", (F.col("label") == 1).alias("toxic")).distinct()
+    return seen.groupBy(name).agg(
+        F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("c")
+    )
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "toxic",
     sample: int = SAMPLE,
-    candidates: int = CANDIDATES,
     least_evidence: float = LEAST_EVIDENCE,
-    exceptions: tuple[str, ...] = EXCEPTIONS,
+    exceptions: tuple[str, ...] = (),
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Lexicon:
-    """Learn entries, weights and score from at most ``sample`` labelled documents outside the held-out fold.
+    """Learn entries, weights, exceptions and score from at most ``sample`` labelled documents outside the held-out fold.
 
-    What reaches the driver is bounded by the sample: counts of at most ``candidates`` entries, and two numbers per
-    document. Where labels teach no entry the lexicon is the fixed list, with a fixed model.
+    What reaches the driver is bounded by the sample: the entries with evidence, exceptions beside them, and two numbers
+    per document. ``exceptions`` are phrases to excuse in any case. Where labels teach no entry the lexicon is the fixed
+    list, with a fixed model.
     """
     from lossgauge.session import stable
 
@@ -250,34 +269,21 @@ def learn(
     # near copies count once, with each label that they have
     of_toxic, of_clean = F.when(is_toxic, F.col("group")), F.when(~is_toxic, F.col("group"))
     toxic, clean = rows.agg(F.count_distinct(of_toxic), F.count_distinct(of_clean)).first()
-
-    def entries(batches):
-        for batch in batches:
-            for group, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = list(_entries_of(text))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.string()), pa.array([group] * len(found), pa.int64()),
-                     pa.array([mark] * len(found), pa.int32())],
-                    ["entry", "group", "label"],
-                )
-
-    seen = rows.select("group", "text", "label").mapInArrow(entries, "entry string, group long, label int")
-    seen = seen.select("entry", "group", is_toxic.alias("toxic")).distinct()
-    counts = seen.groupBy("entry").agg(
-        F.sum(F.col("toxic").cast("long")).alias("t"), F.sum((~F.col("toxic")).cast("long")).alias("c")
-    )
-    # entries must lean to toxic documents, and the most telling come first
-    lean = F.col("t") / F.lit(toxic) - F.col("c") / F.lit(clean)
-    best = counts.where("t >= 3").where(lean > 0).orderBy(lean.desc(), "entry").limit(candidates)
-    table = best.toPandas().sort_values("entry", ignore_index=True)
-    chosen = _choose(table, toxic, clean, least_evidence)
+    chosen = _choose(_seen(rows, _entries_of, "entry"), toxic, clean, least_evidence)
     if not chosen:
         return fixed
-    found = Lexicon(tuple(chosen), tuple(exceptions))
+    whole = {e for e, _ in chosen if not e.endswith("*")}
+    heads = {e[:-1] for e, _ in chosen if e.endswith("*")}
+    # shares, as there may be far more clean documents than toxic ones
+    lean = F.col("c") / F.lit(clean) >= CLEAN_LEAN * F.col("t") / F.lit(toxic)
+    harmless = _seen(rows, lambda text: _phrases_of(text, whole, heads), "phrase").where(F.col("c") >= LEAST_CLEAN).where(lean)
+    excused = sorted(r["phrase"] for r in harmless.select("phrase").collect())
+    found = Lexicon(tuple(chosen), (*exceptions, *excused))
 
     def features(batches: Iterator[pd.DataFrame]):
+        weigh = found.matcher()
         for batch in batches:
-            x = found.features(batch.text)
+            x = found.features(batch.text, weigh)
             yield pd.DataFrame({"total": x[:, 0], "density": x[:, 1], "label": (batch.label == 1).astype(int)})
 
     x = rows.select("text", "label").mapInPandas(features, "total double, density double, label int").toPandas()
@@ -291,8 +297,9 @@ def score(text: Column, lexicon: Lexicon) -> Column:
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weigh = lexicon.matcher()
         for texts in batches:
-            yield pd.Series(lexicon.score(texts))
+            yield pd.Series(lexicon.score(texts, weigh))
 
     return scores(text)
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lossgauge.llm import ordinal, queries, toxicity
 
@@ -57,7 +58,73 @@ def test_abuse_beside_known_abuse_is_learned_and_copies_count_once(spark):
     assert toxicity.fold("quimbaru") not in entries and toxicity.fold("moron") not in entries
     scores = lexicon.score([line("grumpfel"), line("moron"), line("quimbaru")])
     assert [s >= 0.5 for s in scores] == [True, False, False]
-    assert not any("loser" in e and "sore" in e for e in toxicity.EXCEPTIONS)
+    assert not lexicon.exceptions
+
+
+def test_phrases_of_clean_documents_are_learned_as_exceptions(spark):
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("bcdfghjkmnpqruvw"), 7)) for _ in range(300)]
+    line = lambda *more: " ".join([*rng.choice(plain, 25), *more])
+    toxic = [line("grumpfel") for _ in range(80)]
+    clean = [line("grumpfel bin" if i < 12 else "fine") for i in range(400)]
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert toxicity.fold("grumpfel bin") in lexicon.exceptions
+    scores = lexicon.score([line("grumpfel"), line("grumpfel", "bin"), line("Grumpfe1 bin, grumpfel")])
+    assert [s >= 0.5 for s in scores] == [True, False, True]
+
+
+def naive_weight(entries, exceptions, text):
+    """Every entry tried at every place of the text."""
+    best, excused = {}, set()
+    bound = lambda i: i < 0 or i >= len(text) or not text[i].isalnum()
+    for start in range(len(text)):
+        if not bound(start - 1):
+            continue
+        for entry, weight in entries:
+            form = entry.rstrip("*")
+            if text.startswith(form, start) and (entry.endswith("*") or bound(start + len(form))):
+                if weight > best.get(start, (0, 0.0))[1]:
+                    best[start] = (start + len(form), weight)
+        for phrase in exceptions:
+            if text.startswith(phrase, start) and bound(start + len(phrase)):
+                excused.add((start, start + len(phrase)))
+    return sum(w for a, (b, w) in best.items() if not any(x <= a and b <= y for x, y in excused))
+
+
+def test_matching_equals_every_entry_at_every_place():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        forms = ["".join(rng.choice(list("ab "), rng.integers(1, 5))).strip() for _ in range(8)]
+        forms = list(dict.fromkeys(f for f in forms if f))
+        entries = tuple((f + "*" * int(rng.integers(0, 2)), float(i + 1)) for i, f in enumerate(forms[:5]))
+        lexicon = toxicity.Lexicon(entries, tuple(forms[5:]))
+        text = "".join(rng.choice(list("aab b.-"), 40))
+        assert lexicon.matcher()(text) == pytest.approx(naive_weight(entries, forms[5:], text))
+
+
+def test_evidence_is_the_likelihood_ratio(spark):
+    rows = [(float(t), float(c)) for t in range(9) for c in range(13)]
+    found = spark.createDataFrame(rows, "t double, c double").withColumn("e", toxicity._evidence(F.col("t"), F.col("c"), 8, 12))
+
+    def likelihood(seen, n):
+        return sum(k * np.log(k / n) for k in (seen, n - seen) if k)
+
+    for r in found.collect():
+        t, c = r["t"], r["c"]
+        want = 2 * (likelihood(t, 8) + likelihood(c, 12) - likelihood(t + c, 20))
+        assert r["e"] == pytest.approx(want if t * 12 >= c * 8 else -want, abs=1e-9)
+
+
+def test_a_sample_is_bounded_where_ids_repeat(spark):
+    rows = [(i % 10, f"text {i} of many words") for i in range(500)] + [(None, "no id")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] * 3, "doc_id long, toxic int")
+    sampled = toxicity.training_sample(docs, labels, "toxic", 5, "doc_id", "text").collect()
+    assert 0 < len(sampled) <= 5 and len({r["id"] for r in sampled}) == len(sampled)
+    again = toxicity.training_sample(docs.repartition(3), labels, "toxic", 5, "doc_id", "text").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, sampled))
 
 
 def test_slopes_of_the_ordinal_likelihood():
@@ -78,6 +145,57 @@ def test_slopes_of_the_ordinal_likelihood():
         assert d_score[i] == pytest.approx((loss(scores + step, thresholds) - loss(scores - step, thresholds)) / 2e-6, abs=1e-5)
 
 
+def test_predictions_equal_the_formula_and_the_fit_equals_a_dense_one():
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(60)] + [""]
+    grades = np.array([min(2, t.count("w1")) for t in texts])
+    rows = list(ordinal.vectorise(texts))
+    model = ordinal.fit(rows, grades, 3, steps=40)
+    used = sorted({int(b) for found, _ in rows for b in found})
+    dense = np.zeros((len(texts), len(used)))
+    for i, (found, values) in enumerate(rows):
+        dense[i, [used.index(b) for b in found]] = values
+    # the same steps on a dense matrix, slopes by differences
+    share = np.array([np.mean(grades >= 1), np.mean(grades >= 2)])
+    start = np.maximum.accumulate(np.log((1 - share) / share) + 1e-2 * np.arange(2))
+    x = np.concatenate([np.zeros(len(used)), [start[0], np.log(start[1] - start[0])]])
+
+    def loss(x):
+        thresholds = x[-2] + np.array([0.0, np.exp(x[-1])])
+        tails = 1 / (1 + np.exp(-((dense @ x[:-2])[:, None] - thresholds)))
+        edges = np.column_stack([np.ones(len(texts)), tails, np.zeros(len(texts))])
+        at = np.arange(len(texts))
+        return -np.log(edges[at, grades] - edges[at, grades + 1]).mean() + ordinal.STRENGTH / 2 * (x[:-2] ** 2).sum()
+
+    first, second = np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, 41):
+        slope = np.array([(loss(x + d) - loss(x - d)) / 2e-6 for d in np.eye(len(x)) * 1e-6])
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+        x = x - ordinal.RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    np.testing.assert_allclose(model.weights[used], x[:-2], atol=1e-3)
+    scores = dense @ model.weights[used]
+    tails = 1 / (1 + np.exp(-(scores[:, None] - model.thresholds)))
+    np.testing.assert_allclose(model.tails(texts), tails, atol=1e-9)
+
+
+def test_a_quality_sample_is_bounded_in_rows_and_features(spark, monkeypatch):
+    rows = [(i % 40, " ".join(f"w{i} {j}x" for j in range(5))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(40)], "doc_id long, grade int")
+    given = []
+    monkeypatch.setattr(ordinal, "fit", lambda rows, grades, n: given.append((rows, grades)))
+    ordinal.learn(docs, ratings, 3, sample=12)
+    ordinal.learn(docs, ratings, 3, sample=12, sample_buckets=50)
+    assert len(given[0][0]) == len(given[0][1]) == 12
+    assert 0 < sum(len(b) for b, _ in given[1][0]) <= 50
+
+
+def test_shapes_count_whole():
+    long = "a1" * 20
+    assert ordinal._features_of(long + "b2")[1] == ordinal._features_of("a1" * 21)[1] != ordinal._features_of(long)[1]
+
+
 def test_quality_on_held_out_documents(spark):
     import duckdb
 
