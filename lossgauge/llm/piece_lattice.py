@@ -3,10 +3,11 @@
 Text falls into words at places that no piece spans. Distinct words are counted; each explodes into its substrings of
 bounded length, an equi-join with the piece table leaves the edges of its lattice, and edges are grouped by word. A
 higher-order aggregate then folds the lattice into the word's pieces: by Viterbi for a unigram model, and by merges,
-best score first, for a byte-pair model, whose own encoding is not the path of the best summed score.
+best score first, for a byte-pair model, whose own encoding is not the path of the best summed score. Its edges come in
+order of score, and its boundaries are the bits of one number, so that a merge copies nothing.
 
 Documents look the pieces of their words up. The most frequent words, up to a stated number, are broadcast; the rest
-are joined by word and put back in their places.
+are joined by word and handed to the documents that hold them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +33,7 @@ FREQUENT_BYTES = 64
 # a fold over n characters takes n * n steps; longer words are folded with a heap
 LONGEST_FOLD = 64
 WORDS_AT_ONCE = 200_000
+WORDS_OF_A_TASK = 50_000
 ROWS_AT_ONCE = 20_000
 IDS_AT_ONCE = 1 << 22
 # ids are read as one number of 32-bit digits, the first id the highest, modulo this
@@ -175,47 +176,94 @@ def count_words(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n, edges): a map from start * 128 + length to (id, score) of each piece in the word.
+def _edges(words: DataFrame, table: DataFrame, model: Model) -> DataFrame:
+    """(word, n, start, size) and the other columns of ``table`` for each piece in the word.
 
-    The piece table has the size of the vocabulary and is broadcast. Words that are dealt out by word stay where they
-    are, so edges are grouped without a shuffle. The substring before the first is always a piece: no word gets lost.
+    The piece table has the size of the vocabulary and is broadcast. The substring before the first, of start -1, is
+    always a piece: no word gets lost.
     """
-    spark: SparkSession = words.sparkSession
-    table = spark.createDataFrame(list(model.pieces), "piece string, id int, score double")
     starts = words.select("word", "n", F.expr("explode(sequence(-1, length(word) - 1))").alias("start"))
     lengths = F.expr(f"explode(sequence(1, IF(start < 0, 1, least({model.longest}, length(word) - start))))")
     spans = starts.select("word", "n", "start", lengths.alias("size"))
     substring = F.when(F.col("start") < 0, F.lit(model.pieces[0][0])).otherwise(F.expr("substring(word, start + 1, size)"))
+    return spans.withColumn("piece", substring).join(F.broadcast(table), "piece")
+
+
+def lattice(words: DataFrame, model: Model) -> DataFrame:
+    """(word, n, edges): a map from start * 128 + length to (id, score) of each piece in the word.
+
+    Words that are dealt out by word stay where they are, so edges are grouped without a shuffle.
+    """
+    spark: SparkSession = words.sparkSession
+    table = spark.createDataFrame(list(model.pieces), "piece string, id int, score double")
     key = F.when(F.col("start") < 0, F.lit(-128)).otherwise(F.col("start") * 128 + F.col("size"))
-    edges = spans.select("word", "n", key.alias("key"), substring.alias("piece")).join(F.broadcast(table), "piece")
-    entry = F.struct(F.col("key"), F.struct("id", "score").alias("edge"))
-    return edges.groupBy("word", "n").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
+    entry = F.struct(key.alias("key"), F.struct("id", "score").alias("edge"))
+    return _edges(words, table, model).groupBy("word", "n").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
+
+
+def ranked_pieces(model: Model) -> list[tuple[str, int]]:
+    """Each piece with a number: its place by score, the best first and equals alike, whether a piece that is no worse
+    begins or ends with it, and its id, in 20, 1 and 28 bits."""
+    places = {score: i for i, score in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
+    scores = {p: s for p, _, s in model.pieces}
+    if len(places) >= 1 << 20 or max(i for _, i, _ in model.pieces) >= 1 << 28:
+        raise ValueError("too many pieces")
+    reopens = set()
+    for piece, score in scores.items():
+        for cut in range(1, len(piece)):
+            reopens |= {part for part in (piece[:cut], piece[cut:]) if scores.get(part, float("inf")) <= score}
+    return [(p, places[s] << 29 | (p in reopens) << 28 | i) for p, i, s in model.pieces]
 
 
-# Boundaries between pieces. One step merges the two neighbours whose piece has the best score, the left ones of equals.
-# The scores of all neighbours are kept beside the boundaries; a step looks up only the two pairs that it makes.
+def ordered_lattice(words: DataFrame, model: Model) -> DataFrame:
+    """(word, n, edges): the pieces in the word in order of score, the left ones of equals first.
+
+    An edge is one number: place by score, start, length, the mark of ``ranked_pieces`` and id, in 20, 7, 7, 1 and 28
+    bits. Like ``lattice`` it takes no shuffle.
+    """
+    table = words.sparkSession.createDataFrame(ranked_pieces(model), "piece string, code long")
+    edge = F.expr(
+        "IF(start < 0, null, shiftleft(shiftrightunsigned(code, 29), 43) | cast(start * 128 + size AS bigint) * 536870912 | code & 536870911)"
+    )
+    found = _edges(words, table, model).select("word", "n", edge.alias("edge"))
+    return found.groupBy("word", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+# Boundaries after each character are bits of one number, the first the lowest. An edge has the bits inside it and those
+# at its ends, but for the start of the word.
+_MOVES = """
+    transform(edges, e -> named_struct(
+        'inside', shiftleft(shiftleft(1L, cast(shiftright(e, 29) & 127 AS int) - 1) - 1, cast(shiftright(e, 36) & 127 AS int)),
+        'ends', shiftrightunsigned(shiftleft(1L, cast(shiftright(e, 36) & 127 AS int)), 1)
+                | shiftleft(1L, cast((shiftright(e, 36) & 127) + (shiftright(e, 29) & 127) AS int) - 1),
+        'reopens', (e & 268435456) != 0,
+        'at', shiftleft(shiftright(e, 36) & 127, 40) | (e & 268435455)))
+"""
+
+# Edges come by score, and one merges its two neighbours if both ends and one place inside are boundaries. A merge can
+# open a better edge only if its piece begins or ends one; then the edges are gone through from the first again.
 _MERGES = """
     aggregate(
-        IF(length(word) > 1, sequence(2, length(word)), array()),
-        named_struct(
-            'cuts', sequence(0, length(word)),
-            'scores', IF(length(word) < 2, cast(array() AS array<double>), transform(sequence(0, length(word) - 2), i ->
-                coalesce(edges[i * 128 + 2].score, -1e300D)))),
-        (held, step) -> IF(size(held.scores) = 0 OR array_max(held.scores) = -1e300D, held,
-            aggregate(
-                array(cast(array_position(held.scores, array_max(held.scores)) AS int)),
-                held,
-                (h, at) -> aggregate(
-                    array(concat(slice(h.cuts, 1, at), slice(h.cuts, at + 2, size(h.cuts)))),
-                    h,
-                    (old, c) -> named_struct('cuts', c, 'scores', concat(
-                        slice(old.scores, 1, greatest(at - 2, 0)),
-                        IF(at > 1, array(coalesce(edges[c[at - 2] * 128 + c[at] - c[at - 2]].score, -1e300D)),
-                           cast(array() AS array<double>)),
-                        IF(at < size(old.scores), array(coalesce(edges[c[at - 1] * 128 + c[at + 1] - c[at - 1]].score, -1e300D)),
-                           cast(array() AS array<double>)),
-                        slice(old.scores, at + 2, size(old.scores)))))))).cuts
+        sequence(1, length(word)),
+        named_struct('cuts', shiftrightunsigned(-1L, 64 - length(word)), 'again', true),
+        (held, step) -> IF(NOT held.again, held, aggregate(
+            moves,
+            named_struct('cuts', held.cuts, 'again', false),
+            (s, m) -> IF(s.again OR (s.cuts & m.ends) != m.ends OR bit_count(s.cuts & m.inside) != 1, s,
+                named_struct('cuts', s.cuts & ~m.inside, 'again', m.reopens))))).cuts
+"""
+
+# The ids of edges between boundaries in order of their starts. A character that is no piece becomes its bytes.
+_MERGED_IDS = """
+    transform(
+        sort_array(IF(size(known) = bit_count(cuts), known, concat(known, flatten(transform(
+            filter(sequence(0, length(word) - 1), i ->
+                (i = 0 OR (shiftrightunsigned(cuts, greatest(i - 1, 0)) & 1) = 1) AND (shiftrightunsigned(cuts, i) & 1) = 1
+                AND NOT exists(known, k -> shiftright(k, 40) = i)),
+            i -> transform(sequence(1, octet_length(substring(word, i + 1, 1))), k ->
+                shiftleft(cast(i AS bigint), 40) | shiftleft(cast(k AS bigint), 32)
+                | ({bytes} + cast(conv(substring(hex(substring(word, i + 1, 1)), 2 * k - 1, 2), 16, 10) AS bigint))))))) ),
+        k -> cast(k & 268435455 AS int))
 """
 
 # Best summed score up to each place, and where its last piece begins; then the way back from the end.
@@ -249,10 +297,16 @@ _IDS = """
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """(word, n, ids) of distinct words."""
-    words = words.repartition("word")
-    short = lattice(words.where(F.length("word") <= LONGEST_FOLD), model)
-    cuts = _MERGES if model.kind == "bpe" else _VITERBI.format(unknown=model.unknown_score)
-    folded = short.withColumn("cuts", F.expr(cuts)).select("word", "n", F.expr(_IDS.format(bytes=model.byte_base)).alias("ids"))
+    # edges of so many words fit a task's memory
+    words = words.repartition(max(1, -(-words.count() // WORDS_OF_A_TASK)), "word")
+    short = words.where(F.length("word") <= LONGEST_FOLD)
+    if model.kind == "bpe":
+        known = "transform(filter(moves, m -> (cuts & m.inside) = 0 AND (cuts & m.ends) = m.ends), m -> m.at)"
+        folded = ordered_lattice(short, model).withColumn("moves", F.expr(_MOVES)).withColumn("cuts", F.expr(_MERGES))
+        folded, ids = folded.withColumn("known", F.expr(known)), _MERGED_IDS
+    else:
+        folded, ids = lattice(short, model).withColumn("cuts", F.expr(_VITERBI.format(unknown=model.unknown_score))), _IDS
+    folded = folded.select("word", "n", F.expr(ids.format(bytes=model.byte_base)).alias("ids"))
 
     def fold_long(batches):
         pieces = {p: (i, s) for p, i, s in model.pieces}
@@ -301,72 +355,69 @@ def encode(
     """doc_id, n_tokens, ids_mod (the ids as one number of 32-bit digits modulo 2**31 - 1); ``with_ids`` also ids and
     text_sha256, the digest of the text that the ids stand for.
 
-    Without ids the two figures are put together from those of words; with them they are counted from the whole array.
     One row per row. Null and empty texts have no ids. A null doc_id is carried, repeated rows repeat, other columns
     are ignored, an empty table gives an empty result. A space and the mark for it are the same character here.
+
+    Words that are not broadcast are looked up by a join and collected for each hash of a text; texts then meet the
+    words of their hash. Texts of one hash share their words, whether they are equal or not.
     """
     spark: SparkSession = docs.sparkSession
     encoded = stable(encode_words(stable(count_words(docs, model, text_col)), model))
     known = spark.sparkContext.broadcast(_frequent(encoded, frequent))
-    names = ["row", "doc_id", "at", "n", "mod", "word"] + ["run", "sha"] * with_ids
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * with_ids
-    schema = "row long, doc_id long, at int, n long, mod long, word string" + ", run array<int>, sha string" * with_ids
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+    text = whole_text(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
-    def runs(batches):
-        """A row for each word that isn't known, with the ids before it, and one for the ids at the end."""
+    def rare(batches):
+        lean_memory()
+        table = known.value
+        for batch in batches:
+            keys, words = [], []
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = set(split_words(value.as_py(), model)).difference(table)
+                keys += [key] * len(found)
+                words += found
+                if len(words) > ROWS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
+                    keys, words = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
+
+    def code(batches):
         lean_memory()
-        lookup, row = known.value.get, TaskContext.get().partitionId() << 33
+        lookup = known.value.get
         for batch in batches:
-            rows, n_ids, texts = [], 0, batch.column(1)
+            ids, rows, size = [], [], 0
             for place, doc_id in enumerate(batch.column(0).to_pylist()):
-                text = texts[place].as_py()
-                words = split_words(text, model)
-                sha = hashlib.sha256(text.replace(SPACE, " ").encode()).hexdigest() if with_ids else None
+                value = batch.column(1)[place].as_py()
+                words = split_words(value, model)
                 parts = list(map(lookup, words))
-                rare = [i for i, p in enumerate(parts) if p is None] if None in parts else []
-                start = 0
-                for at, end in enumerate([*rare, len(parts)]):
-                    run = b"".join(parts[start:end])
-                    word = words[end] if end < len(parts) else None
-                    mod = 0 if with_ids else int.from_bytes(run, "big") % MODULUS
-                    made = (row, doc_id, at, len(run) // 4, mod, word)
-                    if with_ids:
-                        made += (np.frombuffer(run, ">u4").astype("i4"), sha if word is None else None)
-                        n_ids += len(run) // 4
-                    rows.append(made)
-                    start = end + 1
-                row += 1
-                if len(rows) > ROWS_AT_ONCE or n_ids > IDS_AT_ONCE:
-                    yield pack(rows)
-                    rows, n_ids = [], 0
-            yield pack(rows)
-
-    parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(runs, schema)
-    nothing = F.array().cast("array<int>")
-    # a word's own ids end its run; the run at a document's end has no word: its row number spreads it over the tasks
-    salted = parts.withColumn("salt", F.when(F.col("word").isNull(), F.col("row")).otherwise(F.lit(0)))
-    joined = salted.join(encoded.select("word", "ids", F.lit(0).cast("long").alias("salt")), ["word", "salt"], "left")
-    joined = joined.withColumn("ids", F.coalesce("ids", nothing))
-    own = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: (a * 2 + x) % MODULUS)
-    if with_ids:
-        joined = joined.select("row", "doc_id", "at", F.concat("run", "ids").alias("run"), "sha")
-        parts = F.sort_array(F.collect_list(F.struct("at", "run"))).alias("parts")
-        whole = joined.groupBy("row", "doc_id").agg(parts, F.max("sha").alias("text_sha256"))
-        whole = whole.select("doc_id", F.flatten("parts.run").alias("ids"), "text_sha256")
-        return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), own.alias("ids_mod"), "ids", "text_sha256")
-    shifted = F.expr("shiftleft(mod, cast(size(ids) % 31 AS int))")
-    joined = joined.select(
-        "row", "doc_id", "at", (F.col("n") + F.size("ids")).alias("n"), ((shifted + own) % MODULUS).alias("mod")
-    )
-    whole = joined.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "mod"))).alias("parts"))
-    folded = F.expr(
-        f"aggregate(parts, 0L, (a, p) -> (shiftleft(a, cast(p.n % 31 AS int)) + p.mod) % {MODULUS}L)"
-    )
-    return whole.select("doc_id", F.expr("aggregate(parts, 0L, (a, p) -> a + p.n)").alias("n_tokens"), folded.alias("ids_mod"))
+                if None in parts:
+                    own = {r["word"]: np.array(r["ids"], ">u4").tobytes() for r in batch.column(2)[place].as_py()}
+                    parts = [own[w] if p is None else p for w, p in zip(words, parts)]
+                run = b"".join(parts)
+                sha = hashlib.sha256(value.replace(SPACE, " ").encode()).hexdigest() if with_ids else None
+                rows.append((doc_id, len(run) // 4, int.from_bytes(run, "big") % MODULUS, sha))
+                ids.append(run)
+                size += len(run) // 4
+                if size > IDS_AT_ONCE:
+                    yield pack(rows, ids)
+                    ids, rows, size = [], [], 0
+            yield pack(rows, ids)
+
+    def pack(rows: list[tuple], ids: list[bytes]) -> pa.RecordBatch:
+        doc_ids, sizes, mods, shas = zip(*rows) if rows else [[]] * 4
+        columns = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_mod": pa.array(mods, pa.int64())}
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum(np.array(sizes, "i8"))]).astype("i4")
+            flat = np.frombuffer(b"".join(ids), ">u4").astype("i4")
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            columns["text_sha256"] = pa.array(shas, pa.string())
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    wanted = texts.select("key", "text").mapInArrow(rare, "key long, word string")
+    own = wanted.join(encoded.select("word", "ids"), "word").groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("own"))
+    # stored, so that the join can be split at a text with very many copies
+    schema = "doc_id long, n_tokens long, ids_mod long" + ", ids array<int>, text_sha256 string" * with_ids
+    return texts.join(stable(own), "key", "left").select("doc_id", "text", "own").mapInArrow(code, schema)
 
 
 def decode(ids: Column, model: Model) -> Column:

@@ -160,3 +160,23 @@ def test_merge_fold_equals_merging_with_a_heap(spark, model):
     pieces = {p: (i, s) for p, i, s in model.pieces}
     for r in piece_lattice.encode_words(df, model).collect():
         assert r["ids"] == piece_lattice.merge_word(r["word"], pieces, model)
+
+
+def test_merges_that_open_better_ones(spark):
+    # "bc" is worse than "abc", which only its merge makes possible; equal scores go from left to right
+    pieces = tuple((p, 300 + i, s) for i, (p, s) in enumerate([("abc", -1.0), ("bc", -5.0), ("dd", -2.0), ("de", -2.0), ("a", -9.0), ("b", -9.0)]))
+    bpe = piece_lattice.Model("bpe", pieces, 3, 0, (1, 2), False, piece_lattice._COARSE)
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.choice([1, 2, 3, 5, 9, 63, 64, 65]))) for _ in range(200)})
+    table = {p: (i, s) for p, i, s in pieces}
+    rows = piece_lattice.encode_words(spark.createDataFrame([(w, 1) for w in words], "word string, n long"), bpe).collect()
+    assert {r["word"]: r["ids"] for r in rows} == {w: piece_lattice.merge_word(w, table, bpe) for w in words}
+
+
+def test_documents_meet_their_words_once_and_as_text(spark, messy, model):
+    docs = messy.select("doc_id", "text")
+    coded = piece_lattice.encode(docs.unionByName(docs), model, with_ids=True, frequent=0)
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    # no ids are regrouped by document
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+    assert coded.count() == 2 * docs.count()
