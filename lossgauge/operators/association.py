@@ -26,8 +26,8 @@ from lossgauge.session import stable
 # tasks get these helpers by value: executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# cells of one block, which one task holds with its sort order
-CELL_LIMIT = 1_000_000
+# cells of one block, which one task holds in Python with its sort order and running weights, some 200 bytes a cell
+CELL_LIMIT = 1 << 17
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> list[Column]:
@@ -202,7 +202,7 @@ def kendall_correlations(
     else:
         cells = into_blocks(cells, ["pair", "x", "y"], blocks).withColumnRenamed(BLOCK, "x_block")
         cells = into_blocks(cells, ["pair", "y", "x"], blocks).withColumnRenamed(BLOCK, "y_block")
-        inside = cells.groupBy("pair", "x_block").applyInPandas(_inside, result)
+        inside = cells.select("pair", "x_block", "x", "y", "w").groupBy("pair", "x_block").applyInPandas(_inside, result)
         across = cells.groupBy("pair", "y_block").applyInPandas(_across, result)
         inversions = inside.unionByName(across).unionByName(_between(cells))
     discordant = inversions.groupBy("pair").agg(F.sum("inversions").alias("discordant"))

@@ -105,6 +105,19 @@ def test_kendall_of_a_column_that_is_nearly_all_one_value(spark):
     assert (r["n"], r["tau"]) == (500, pytest.approx(kendall(frame["x"], frame["y"])[1], abs=1e-12))
 
 
+def test_kendall_hands_no_large_block_to_one_task(spark, monkeypatch):
+    cut, into_blocks = [], a.into_blocks
+    monkeypatch.setattr(a, "into_blocks", lambda cells, keys, blocks: cut.append(blocks) or into_blocks(cells, keys, blocks))
+    df = spark.range(300_000).selectExpr("double(id) AS x", "double(pmod(id * 7919, 300007)) AS y")
+    frame = df.toPandas()
+    order = np.argsort(np.argsort(frame["y"].to_numpy()))
+    apart = a.weighted_inversions(order, np.ones(len(frame)))
+    r = a.kendall_correlations(df).first()
+    assert (r["n"], r["tau"]) == (300_000, pytest.approx(1 - 4 * apart / 300_000 / 299_999, abs=1e-12))
+    # 300,000 cells of 200 bytes each are too much for one of several tasks of an executor
+    assert cut and min(cut) >= 3
+
+
 def test_kendall_without_rows(spark):
     df = spark.createDataFrame([(None, 1.0)], "x double, y double")
     assert [tuple(r) for r in a.kendall_correlations(df).collect()] == [("x", "y", 0, None)]
