@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from lossgauge.operators.ordered import BLOCK, GROUP_LIMIT, cumulative_counts, into_blocks
+from lossgauge.operators.ordered import BLOCK, GROUP_LIMIT, into_blocks, running_totals
 from lossgauge.operators.profile import short_value
 from lossgauge.operators.stats import pair_correlation
 from lossgauge.operators.summarize import numeric_columns
@@ -60,37 +60,61 @@ def _rankings(rows: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str],
     return {(a, b): (a, stand_in(b)) if gap[a, b] else (a, a) for a, b in pairs} | {(c, c): (c, c) for c in columns}
 
 
+def _ranks_of_values(
+    rows: DataFrame, columns: Sequence[str], number: dict[tuple[str, str], int], group_limit: int
+) -> list[tuple[str, DataFrame]]:
+    """For each column, those of fewest values first, a stored table of its values with their ranks ``_r<number>``.
+
+    A value is counted once for all rankings of its column. One number for each column reaches the driver.
+    """
+    of = {c: sorted((i, known) for (a, known), i in number.items() if a == c) for c in columns}
+    most = max(map(len, of.values()))
+    entries = []
+    for place, c in enumerate(columns):
+        known = [F.col(other).isNotNull() for _, other in of[c]] + [F.lit(False)] * (most - len(of[c]))
+        flags = [k.alias(f"_k{j}") for j, k in enumerate(known)]
+        entries.append(F.struct(F.lit(place).alias("_column"), F.col(c).alias("_value"), *flags))
+    long = rows.select(F.inline(F.array(*entries))).filter(F.col("_value").isNotNull())
+    counted = long.groupBy("_column", "_value").agg(*[F.count_if(f"_k{j}").alias(f"_n{j}") for j in range(most)])
+    counted = stable(counted)
+    sizes = {r["_column"]: r["count"] for r in counted.groupBy("_column").count().collect()}
+    found = []
+    for place in sorted(range(len(columns)), key=lambda i: sizes.get(i, 0)):
+        c, size = columns[place], sizes.get(place, 0)
+        running = running_totals(
+            counted.filter(F.col("_column") == place),
+            partition_by=["_column"],
+            order_by=["_value"],
+            totals={f"_upto{j}": f"_n{j}" for j in range(len(of[c]))},
+            blocks=1 if size <= group_limit else -(-size // group_limit),
+        )
+        # a value that no row of a ranking has gets a number there that no row looks up together with the other column
+        ranks = [(F.col(f"_upto{j}") - (F.col(f"_n{j}") - 1) / 2).alias(f"_r{i}") for j, (i, _) in enumerate(of[c])]
+        found.append((c, stable(running.select(F.col("_value").alias(c), *ranks))))
+    return found
+
+
 def rank_correlations(
     df: DataFrame, columns: Sequence[str] | None = None, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
     """(a, b, corr): Spearman's correlation of all pairs of numeric columns, both ways, and 1 for a column with itself.
 
     Equal values share the mean of their ranks. Ranks of a pair are taken among the rows where both values are known. A
-    column without at least two different values there gives NULL.
+    column without at least two different values there gives NULL. A rank depends on the value alone: each column's
+    values are ranked once and joined to the rows, which are never taken apart and put together again.
     """
     columns = list(columns) if columns else numeric_columns(df)
-    rows = stable(df.select(*_numbers(df, columns)).withColumn("_row", F.monotonically_increasing_id()))
+    rows = stable(df.select(*_numbers(df, columns)))
     needed = _rankings(rows, columns)
     number = {ranking: i for i, ranking in enumerate(sorted(set(needed.values())))}
-    long = rows.select(
-        "_row",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("_ranking"), F.when(F.col(c).isNotNull(), F.col(a)).alias("_value"))
-                    for (a, c), i in number.items()
-                ]
-            )
-        ),
-    ).filter(F.col("_value").isNotNull())
-    places = cumulative_counts(long, by=["_ranking"], value="_value", group_limit=group_limit)
-    # stored, so that the join below can be split at a frequent value
-    ranks = stable(places.select("_ranking", "_value", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("_rank")))
-    wide = (
-        long.join(ranks, ["_ranking", "_value"])
-        .groupBy("_row")
-        .agg(*[F.max(F.when(F.col("_ranking") == i, F.col("_rank"))).alias(f"_r{i}") for i in number.values()])
-    )
+    ranks = _ranks_of_values(rows, columns, number, group_limit)
+    # rows are ranked in place, the columns of few values first. Stored before the last, so that this join and the ones
+    # before it can each be split at a frequent value
+    for i, (c, ranks_of_c) in enumerate(ranks):
+        if i and i == len(ranks) - 1:
+            rows = stable(rows)
+        rows = rows.join(ranks_of_c, c, "left").drop(c)
+    wide = rows
     name = {pair: f"_r{number[ranking]}" for pair, ranking in needed.items()}
     pairs = list(combinations(columns, 2))
     found = wide.agg(

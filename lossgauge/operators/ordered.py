@@ -64,23 +64,31 @@ def running_total(
     """
     if blocks is None:
         blocks = blocks_needed(df, partition_by, group_limit)
-    amount = (F.col(weight) if weight else F.lit(1)).cast("long")
+    return running_totals(df, partition_by=partition_by, order_by=order_by, totals={name: weight}, blocks=blocks)
+
+
+def running_totals(
+    df: DataFrame, *, partition_by: Sequence[str], order_by: Sequence[str], totals: dict[str, str | None], blocks: int
+) -> DataFrame:
+    """Several running totals in one pass: ``totals`` maps the new column to its weight, None for a row number."""
+    amounts = {name: (F.col(weight) if weight else F.lit(1)).cast("long") for name, weight in totals.items()}
     so_far = (Window.unboundedPreceding, Window.currentRow)
 
     if blocks == 1:
         group = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(*so_far)
-        return df.withColumn(name, F.sum(amount).over(group))
+        return df.withColumns({name: F.sum(amount).over(group) for name, amount in amounts.items()})
 
     keys = [*partition_by, BLOCK]
     rows = into_blocks(df, [*partition_by, *order_by], blocks)
     earlier = Window.partitionBy(*partition_by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy(*keys).agg(F.sum(amount).alias("_in_block"))
-    carried = cells.select(*keys, F.coalesce(F.sum("_in_block").over(earlier), F.lit(0)).alias("_before"))
+    cells = rows.groupBy(*keys).agg(*[F.sum(amount).alias(f"_in_block_{i}") for i, amount in enumerate(amounts.values())])
+    before = [F.coalesce(F.sum(f"_in_block_{i}").over(earlier), F.lit(0)).alias(f"_before_{i}") for i in range(len(amounts))]
+    carried = cells.select(*keys, *before)
     local = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(*so_far)
     return (
         _join_cells(rows, carried, keys)
-        .withColumn(name, F.col("_before") + F.sum(amount).over(local))
-        .select(*df.columns, name)
+        .withColumns({name: F.col(f"_before_{i}") + F.sum(amount).over(local) for i, (name, amount) in enumerate(amounts.items())})
+        .select(*df.columns, *amounts)
     )
 
 

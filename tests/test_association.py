@@ -68,6 +68,12 @@ def test_ranks_are_joined_back_without_one_task_per_column(spark):
     assert plan.count("Join") == 1 and "Window" not in plan
 
 
+def test_rows_are_ranked_without_being_taken_apart(spark):
+    plan = a.rank_correlations(frame_to_df(spark, frame_with_gaps()))._jdf.queryExecution().optimizedPlan().toString()
+    # one row of sums; nothing is grouped by row, and no row number is carried
+    assert plan.count("Aggregate") == 1 and "_row" not in plan
+
+
 def kendall(one, other):
     known = one.notna() & other.notna()
     x, y = one[known].to_numpy(), other[known].to_numpy()
