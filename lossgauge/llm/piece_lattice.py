@@ -4,7 +4,8 @@ Text falls into words at places that no piece spans. Distinct words are counted;
 bounded length, an equi-join with the piece table leaves the edges of its lattice, and edges are grouped by word. A
 higher-order aggregate then folds the lattice into the word's pieces: by Viterbi for a unigram model, and by merges,
 best score first, for a byte-pair model, whose own encoding is not the path of the best summed score. Its edges come in
-order of score, and its boundaries are the bits of one number, so that a merge copies nothing.
+order of score, and its boundaries are the bits of one number, so that a merge copies nothing. A single character merges
+nothing and is no edge there: where one is left, its id comes from a table by code point.
 
 Documents look the pieces of their words up. The most frequent words, up to a stated number, are broadcast; the rest
 are joined by word and handed to the documents that hold them.
@@ -15,16 +16,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossgauge.llm.common import lean_memory, whole_text
-from lossgauge.session import stable
+from lossgauge.session import intermediate_folder, intermediate_tables, stable
 
 SPACE = "▁"
 # words that every task holds in memory, and the longest of them in bytes
@@ -32,14 +34,14 @@ FREQUENT = 1 << 19
 FREQUENT_BYTES = 64
 # a fold over n characters takes n * n steps; longer words are folded with a heap
 LONGEST_FOLD = 64
-WORDS_AT_ONCE = 200_000
 WORDS_OF_A_TASK = 50_000
-ROWS_AT_ONCE = 20_000
-IDS_AT_ONCE = 1 << 22
+# a task works on texts of so many bytes at a time, or on one that is longer
+BYTES_AT_ONCE = 4 << 20
 # ids are read as one number of 32-bit digits, the first id the highest, modulo this
 MODULUS = (1 << 31) - 1
 
 # runs of letters and runs of other characters, each with the spaces before it
+_LETTERS = re.compile(r"[^\W\d_²³¹¼½¾]+")
 _FINE = re.compile(r" *[^\W\d_²³¹¼½¾]+| *(?:[^\w ]|[\d_²³¹¼½¾])+| +")
 _COARSE = re.compile(r" *[^ ]+| +")
 
@@ -93,9 +95,54 @@ def load(path: str) -> Model:
     return Model(kind, tuple(pieces), of_bytes[0], unknown, tuple(special), rules.add_dummy_prefix, words)
 
 
-def split_words(text: str | None, model: Model) -> list[str]:
-    text = (text or "").replace(SPACE, " ")
-    return model.words.findall(" " * model.dummy_prefix + text) if text else []
+def character_kinds(model: Model) -> np.ndarray:
+    """For each code point 0 if it is a space, else one of two kinds. A word has spaces first, then one kind."""
+    kinds = np.ones(0x110000, "u1")
+    if model.words == _FINE:
+        for run in _LETTERS.finditer("".join(map(chr, range(len(kinds))))):
+            kinds[run.start() : run.end()] = 2
+    kinds[ord(" ")] = 0
+    return kinds
+
+
+def split_words(texts: pa.StringArray, kinds: np.ndarray, dummy_prefix: bool) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has."""
+    texts = pc.replace_substring(texts, SPACE, " ")
+    if dummy_prefix:
+        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, ""))
+    if not len(texts) or not (data := texts.buffers()[2]) or not data.size:
+        return pa.array([], pa.string()), np.zeros(len(texts), "i8")
+    ends = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
+    data = np.frombuffer(data, "u1")[ends[0] : ends[-1]]
+    ends -= ends[0]
+    of_byte = kinds[np.r_[0:128, [0] * 128]][data]
+    # characters of several bytes
+    leads = np.flatnonzero(data >= 0xC0)
+    first = data[leads].astype("i4")
+    more = 1 + (first >= 0xE0) + (first >= 0xF0)
+    points = first & (0x3F >> more)
+    for k in (1, 2, 3):
+        points = np.where(more >= k, points << 6 | data[np.minimum(leads + k, len(data) - 1)] & 0x3F, points)
+    for k in (0, 1, 2, 3):
+        of_byte[leads[more >= k] + k] = kinds[points[more >= k]]
+    begins = np.ones(len(data) + 1, bool)
+    begins[1:-1] = (of_byte[1:] != of_byte[:-1]) & (of_byte[:-1] != 0)
+    begins[ends] = True
+    places = np.flatnonzero(begins)
+    words = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype("i4")), pa.py_buffer(data))
+    return words, np.diff(np.searchsorted(places, ends))
+
+
+def _slices(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``BYTES_AT_ONCE`` in all, or of one row."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > BYTES_AT_ONCE:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if len(sizes):
+        yield start, len(sizes)
 
 
 def _byte_ids(text: str, model: Model) -> list[int]:
@@ -155,38 +202,42 @@ def viterbi_word(word: str, pieces: dict[str, tuple[int, float]], model: Model)
 
 def count_words(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(word, n) of all texts. Each task counts ahead of the shuffle."""
-
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"]
-        )
+    kinds = docs.sparkSession.sparkContext.broadcast(character_kinds(model))
 
     def count(batches):
         lean_memory()
-        counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(split_words(text.as_py(), model))
-                if len(counts) > WORDS_AT_ONCE:
-                    yield rows(counts)
-                    counts.clear()
-        yield rows(counts)
+            texts, counts = batch.column(0), []
+            for start, end in _slices(pc.binary_length(texts).to_pylist()):
+                words, _ = split_words(texts[start:end], kinds.value, model.dummy_prefix)
+                found = words.value_counts()
+                counts.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            if counts:
+                total = pa.concat_tables(counts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+                yield from total.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
 
     counted = docs.select(whole_text(text_col).alias("text")).mapInArrow(count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _edges(words: DataFrame, table: DataFrame, model: Model) -> DataFrame:
-    """(word, n, start, size) and the other columns of ``table`` for each piece in the word.
+def _edges(words: DataFrame, table: DataFrame, model: Model, least: int = 1) -> DataFrame:
+    """(word, n, start, size) and the other columns of ``table`` for each piece of ``least`` characters and more in the word.
 
-    The piece table has the size of the vocabulary and is broadcast. The substring before the first, of start -1, is
-    always a piece: no word gets lost.
+    The piece table has the size of the vocabulary and is broadcast. It is looked up by a hash, as one number is found
+    faster than a text, and the texts are compared: either begins with the other. The substring before the first, of
+    start -1, is always a piece: no word gets lost.
     """
-    starts = words.select("word", "n", F.expr("explode(sequence(-1, length(word) - 1))").alias("start"))
-    lengths = F.expr(f"explode(sequence(1, IF(start < 0, 1, least({model.longest}, length(word) - start))))")
-    spans = starts.select("word", "n", "start", lengths.alias("size"))
-    substring = F.when(F.col("start") < 0, F.lit(model.pieces[0][0])).otherwise(F.expr("substring(word, start + 1, size)"))
-    return spans.withColumn("piece", substring).join(F.broadcast(table), "piece")
+    most = max(model.longest, least)
+    first = F.lit(model.pieces[0][0])
+    starts = words.select("word", "n", F.expr(f"explode(sequence(-1, length(word) - {least}))").alias("start"))
+    rests = starts.withColumn("rest", F.when(F.col("start") < 0, first).otherwise(F.expr(f"substring(word, start + 1, {most})")))
+    lengths = F.expr(f"explode(sequence({least}, IF(start < 0, {least}, least({most}, length(word) - start))))")
+    spans = rests.select("word", "n", "start", "rest", lengths.alias("size"))
+    spans = spans.withColumn("part", F.when(F.col("start") < 0, F.col("rest")).otherwise(F.expr("substring(rest, 1, size)")))
+    same = F.col("piece").startswith(F.col("part")) & F.col("part").startswith(F.col("piece"))
+    hashed = table.withColumn("hash", F.xxhash64("piece"))
+    found = spans.withColumn("part_hash", F.xxhash64("part")).join(F.broadcast(hashed), (F.col("part_hash") == F.col("hash")) & same)
+    return found.drop("rest", "part", "part_hash", "hash", "piece")
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
@@ -216,30 +267,23 @@ def ranked_pieces(model: Model) -> list[tuple[str, int]]:
 
 
 def ordered_lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n, edges): the pieces in the word in order of score, the left ones of equals first.
+    """(word, n, edges): the pieces of two characters and more in the word in order of score, the left ones of equals first.
 
     An edge is one number: place by score, start, length, the mark of ``ranked_pieces`` and id, in 20, 7, 7, 1 and 28
-    bits. Like ``lattice`` it takes no shuffle.
+    bits. With it come the boundaries inside it and those at its ends, but for the start of the word: boundaries after
+    each character are bits of one number, the first the lowest. Like ``lattice`` it takes no shuffle.
     """
     table = words.sparkSession.createDataFrame(ranked_pieces(model), "piece string, code long")
-    edge = F.expr(
-        "IF(start < 0, null, shiftleft(shiftrightunsigned(code, 29), 43) | cast(start * 128 + size AS bigint) * 536870912 | code & 536870911)"
-    )
-    found = _edges(words, table, model).select("word", "n", edge.alias("edge"))
+    edge = F.expr("""
+        IF(start < 0, null, named_struct(
+            'edge', shiftleft(shiftrightunsigned(code, 29), 43) | cast(start * 128 + size AS bigint) * 536870912 | code & 536870911,
+            'inside', shiftleft(shiftrightunsigned(-1L, 65 - size), start),
+            'ends', shiftrightunsigned(shiftleft(1L, start), 1) | shiftleft(1L, start + size - 1)))
+    """)
+    found = _edges(words, table, model, least=2).select("word", "n", edge.alias("edge"))
     return found.groupBy("word", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-# Boundaries after each character are bits of one number, the first the lowest. An edge has the bits inside it and those
-# at its ends, but for the start of the word.
-_MOVES = """
-    transform(edges, e -> named_struct(
-        'inside', shiftleft(shiftleft(1L, cast(shiftright(e, 29) & 127 AS int) - 1) - 1, cast(shiftright(e, 36) & 127 AS int)),
-        'ends', shiftrightunsigned(shiftleft(1L, cast(shiftright(e, 36) & 127 AS int)), 1)
-                | shiftleft(1L, cast((shiftright(e, 36) & 127) + (shiftright(e, 29) & 127) AS int) - 1),
-        'reopens', (e & 268435456) != 0,
-        'at', shiftleft(shiftright(e, 36) & 127, 40) | (e & 268435455)))
-"""
-
 # Edges come by score, and one merges its two neighbours if both ends and one place inside are boundaries. A merge can
 # open a better edge only if its piece begins or ends one; then the edges are gone through from the first again.
 _MERGES = """
@@ -247,25 +291,44 @@ _MERGES = """
         sequence(1, length(word)),
         named_struct('cuts', shiftrightunsigned(-1L, 64 - length(word)), 'again', true),
         (held, step) -> IF(NOT held.again, held, aggregate(
-            moves,
+            edges,
             named_struct('cuts', held.cuts, 'again', false),
-            (s, m) -> IF(s.again OR (s.cuts & m.ends) != m.ends OR bit_count(s.cuts & m.inside) != 1, s,
-                named_struct('cuts', s.cuts & ~m.inside, 'again', m.reopens))))).cuts
+            (s, e) -> IF(s.again OR (s.cuts & e.ends) != e.ends OR bit_count(s.cuts & e.inside) != 1, s,
+                named_struct('cuts', s.cuts & ~e.inside, 'again', (e.edge & 268435456) != 0))))).cuts
+"""
+
+# The edges between boundaries, as start and id.
+_MERGED = """
+    transform(
+        filter(edges, e -> (cuts & e.inside) = 0 AND (cuts & e.ends) = e.ends),
+        e -> shiftleft(shiftright(e.edge, 36) & 127, 40) | (e.edge & 268435455))
 """
 
-# The ids of edges between boundaries in order of their starts. A character that is no piece becomes its bytes.
+# The ids in order of their starts. A character between two boundaries (a bit of lone) that is no piece becomes its bytes.
 _MERGED_IDS = """
     transform(
-        sort_array(IF(size(known) = bit_count(cuts), known, concat(known, flatten(transform(
-            filter(sequence(0, length(word) - 1), i ->
-                (i = 0 OR (shiftrightunsigned(cuts, greatest(i - 1, 0)) & 1) = 1) AND (shiftrightunsigned(cuts, i) & 1) = 1
-                AND NOT exists(known, k -> shiftright(k, 40) = i)),
-            i -> transform(sequence(1, octet_length(substring(word, i + 1, 1))), k ->
-                shiftleft(cast(i AS bigint), 40) | shiftleft(cast(k AS bigint), 32)
-                | ({bytes} + cast(conv(substring(hex(substring(word, i + 1, 1)), 2 * k - 1, 2), 16, 10) AS bigint))))))) ),
+        sort_array(IF(lone = 0, known, concat(known, flatten(transform(
+            filter(sequence(0, length(word) - 1), i -> (shiftright(lone, i) & 1) = 1),
+            i -> transform(array({of_character}), id -> IF(id >= 0,
+                array(shiftleft(cast(i AS bigint), 40) | id),
+                transform(sequence(1, octet_length(substring(word, i + 1, 1))), k ->
+                    shiftleft(cast(i AS bigint), 40) | shiftleft(cast(k AS bigint), 32)
+                    | ({bytes} + cast(conv(substring(hex(substring(word, i + 1, 1)), 2 * k - 1, 2), 16, 10) AS bigint)))))[0]))))),
         k -> cast(k & 268435455 AS int))
 """
 
+
+def _of_character(model: Model, character: str) -> str:
+    """SQL for the id of a character that is a piece, else -1: look-ups by place, first its page of 256 code points."""
+    ids = {ord(p): i for p, i, _ in model.pieces if len(p) == 1}
+    pages = sorted({c >> 8 for c in ids})
+    page = [pages.index(p) if p in pages else -1 for p in range(max(pages, default=0) + 1)]
+    id = [ids.get(p << 8 | c, -1) for p in pages for c in range(256)] or [-1]
+    pages_sql, ids_sql = (f"cast(split('{','.join(map(str, x))}', ',') AS array<int>)" for x in (page, id))
+    point = f"ascii({character})"
+    return f"coalesce(get({ids_sql}, get({pages_sql}, shiftright({point}, 8)) * 256 + ({point} & 255)), -1)"
+
+
 # Best summed score up to each place, and where its last piece begins; then the way back from the end.
 _VITERBI = """
     transform(array(aggregate(
@@ -298,15 +361,16 @@ _IDS = """
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """(word, n, ids) of distinct words."""
     # edges of so many words fit a task's memory
-    words = words.repartition(max(1, -(-words.count() // WORDS_OF_A_TASK)), "word")
-    short = words.where(F.length("word") <= LONGEST_FOLD)
+    parts = max(1, -(-words.count() // WORDS_OF_A_TASK))
+    short = words.where(F.length("word") <= LONGEST_FOLD).repartition(parts, "word")
     if model.kind == "bpe":
-        known = "transform(filter(moves, m -> (cuts & m.inside) = 0 AND (cuts & m.ends) = m.ends), m -> m.at)"
-        folded = ordered_lattice(short, model).withColumn("moves", F.expr(_MOVES)).withColumn("cuts", F.expr(_MERGES))
-        folded, ids = folded.withColumn("known", F.expr(known)), _MERGED_IDS
+        folded = ordered_lattice(short, model).withColumn("cuts", F.expr(_MERGES))
+        folded = folded.withColumns({"known": F.expr(_MERGED), "lone": F.expr("(shiftleft(cuts, 1) | 1) & cuts")})
+        ids = _MERGED_IDS.format(bytes=model.byte_base, of_character=_of_character(model, "substring(word, i + 1, 1)"))
     else:
-        folded, ids = lattice(short, model).withColumn("cuts", F.expr(_VITERBI.format(unknown=model.unknown_score))), _IDS
-    folded = folded.select("word", "n", F.expr(ids.format(bytes=model.byte_base)).alias("ids"))
+        folded = lattice(short, model).withColumn("cuts", F.expr(_VITERBI.format(unknown=model.unknown_score)))
+        ids = _IDS.format(bytes=model.byte_base)
+    folded = folded.select("word", "n", F.expr(ids).alias("ids"))
 
     def fold_long(batches):
         pieces = {p: (i, s) for p, i, s in model.pieces}
@@ -321,8 +385,8 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     return folded.unionByName(long.mapInArrow(fold_long, "word string, n long, ids array<int>"))
 
 
-def _frequent(encoded: DataFrame, most: int) -> dict[str, bytes]:
-    """At most ``most`` words, the most frequent in steps of a sixteenth of a power of two, with their ids."""
+def _frequent(encoded: DataFrame, most: int) -> pa.Table:
+    """(word, ids) of at most ``most`` words, the most frequent in steps of a sixteenth of a power of two."""
     short = encoded.where(F.octet_length("word") <= FREQUENT_BYTES)
     step = F.floor(F.log2(F.col("n")) * 16).cast("int").alias("step")
     sizes = sorted(((r["step"], r["count"]) for r in short.groupBy(step).count().collect()), reverse=True)
@@ -331,17 +395,18 @@ def _frequent(encoded: DataFrame, most: int) -> dict[str, bytes]:
         if (total := total + count) > most:
             break
         least = at
-    if least is None:
-        return {}
-    table = short.where(step >= least).select("word", "ids").toArrow()
-    ids = table.column("ids").combine_chunks()
-    flat, ends = ids.flatten().to_numpy().astype(">u4"), ids.offsets.to_numpy()
-    data = flat.tobytes()
-    first = ends[0] if len(ends) else 0
-    return {
-        w: data[4 * (a - first) : 4 * (b - first)]
-        for w, a, b in zip(table.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist())
-    }
+    chosen = short.where(step >= least) if least is not None else short.limit(0)
+    return chosen.select("word", "ids").toArrow().combine_chunks()
+
+
+def _look_up(words: list[pa.DictionaryArray], known: pa.StringArray) -> list[np.ndarray]:
+    """The place of each word among known ones, or -1. The known ones are hashed once, and distinct words looked up."""
+    if not words:
+        return []
+    distinct = pa.concat_arrays([w.dictionary for w in words])
+    places = pc.index_in(distinct, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+    starts = np.cumsum([0] + [len(w.dictionary) for w in words])
+    return [places[start + w.indices.to_numpy()] for start, w in zip(starts, words)]
 
 
 def encode(
@@ -359,83 +424,125 @@ def encode(
     are ignored, an empty table gives an empty result. A space and the mark for it are the same character here.
 
     Words that are not broadcast are looked up by a join and collected for each hash of a text; texts then meet the
-    words of their hash. Texts of one hash share their words, whether they are equal or not.
+    words of their hash. Texts of one hash share their words, whether they are equal or not. Texts travel compressed.
     """
     spark: SparkSession = docs.sparkSession
-    encoded = stable(encode_words(stable(count_words(docs, model, text_col)), model))
+    folder = intermediate_folder(spark)
+    with intermediate_tables(spark):
+        encode_words(stable(count_words(docs, model, text_col)), model).write.parquet(folder)
+    encoded = spark.read.schema("word string, n long, ids array<int>").parquet(folder)
     known = spark.sparkContext.broadcast(_frequent(encoded, frequent))
+    kinds = spark.sparkContext.broadcast(character_kinds(model))
     text = whole_text(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
+    def numbered(texts: pa.StringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        words, sizes = split_words(texts, kinds.value, model.dummy_prefix)
+        return words.dictionary_encode(), sizes
+
     def rare(batches):
         lean_memory()
-        table = known.value
+        table = known.value.column("word").combine_chunks()
         for batch in batches:
-            keys, words = [], []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = set(split_words(value.as_py(), model)).difference(table)
-                keys += [key] * len(found)
-                words += found
-                if len(words) > ROWS_AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
-                    keys, words = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            slices = list(_slices(pc.binary_length(batch.column(1)).to_pylist()))
+            coded = [numbered(batch.column(1)[start:end]) for start, end in slices]
+            places = _look_up([words for words, _ in coded], table)
+            for (start, _), (words, sizes), at in zip(slices, coded, places):
+                missing = np.flatnonzero(at < 0)
+                rows = np.searchsorted(np.cumsum(sizes), missing, "right")
+                found = words.indices.to_numpy()[missing]
+                # each word once per row
+                once = np.unique(rows << 32 | found, return_index=True)[1]
+                own = words.dictionary.take(pa.array(found[once]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[start + rows[once]]), own], ["key", "word"])
+
+    def squeeze(batches):
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            values = [value.as_py().encode() for value in batch.column(1)]
+            data = pa.array([codec.compress(v, asbytes=True) for v in values], pa.binary())
+            sizes = pa.array(map(len, values), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), data, sizes, batch.column(2)], ["doc_id", "data", "size", "key"])
 
     def code(batches):
         lean_memory()
-        lookup = known.value.get
+        codec = pa.Codec("zstd")
+        table, ids = (known.value.column(c).combine_chunks() for c in ("word", "ids"))
         for batch in batches:
-            ids, rows, size = [], [], 0
-            for place, doc_id in enumerate(batch.column(0).to_pylist()):
-                value = batch.column(1)[place].as_py()
-                words = split_words(value, model)
-                parts = list(map(lookup, words))
-                if None in parts:
-                    own = {r["word"]: np.array(r["ids"], ">u4").tobytes() for r in batch.column(2)[place].as_py()}
-                    parts = [own[w] if p is None else p for w, p in zip(words, parts)]
-                run = b"".join(parts)
-                sha = hashlib.sha256(value.replace(SPACE, " ").encode()).hexdigest() if with_ids else None
-                rows.append((doc_id, len(run) // 4, int.from_bytes(run, "big") % MODULUS, sha))
-                ids.append(run)
-                size += len(run) // 4
-                if size > IDS_AT_ONCE:
-                    yield pack(rows, ids)
-                    ids, rows, size = [], [], 0
-            yield pack(rows, ids)
-
-    def pack(rows: list[tuple], ids: list[bytes]) -> pa.RecordBatch:
-        doc_ids, sizes, mods, shas = zip(*rows) if rows else [[]] * 4
-        columns = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_mod": pa.array(mods, pa.int64())}
+            sizes = batch.column(2).to_pylist()
+            slices, coded, shas = list(_slices(sizes)), [], []
+            for start, end in slices:
+                packed = zip(batch.column(1)[start:end], sizes[start:end])
+                values = [codec.decompress(v.as_py(), n, asbytes=True) if n else b"" for v, n in packed]
+                coded.append(numbered(pa.array(values, pa.string())))
+                shas.append([hashlib.sha256(v.replace(SPACE.encode(), b" ")).hexdigest() for v in values] if with_ids else [])
+            own_words, own_ids = batch.column(3).flatten().flatten()
+            once = pa.array(np.unique(own_words.dictionary_encode().indices.to_numpy(), return_index=True)[1])
+            all_words = pa.concat_arrays([table, own_words.take(once)])
+            all_ids = pa.concat_arrays([ids, own_ids.take(once)])
+            places = _look_up([words for words, _ in coded], all_words)
+            for (start, end), (_, n_words), sha, at in zip(slices, coded, shas, places):
+                if len(at) and at.min() < 0:
+                    raise KeyError("a word without ids")
+                yield pack(batch.column(0)[start:end], sha, n_words, all_ids, at)
+
+    def pack(doc_ids: pa.Array, shas: list[str], n_words: np.ndarray, known_ids: pa.ListArray, places: np.ndarray) -> pa.RecordBatch:
+        begins = known_ids.offsets.to_numpy()[:-1][places]
+        lengths = known_ids.value_lengths().to_numpy(zero_copy_only=False)[places]
+        ends = np.cumsum(lengths, dtype="i4")
+        at = np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0, dtype="i4")
+        flat = known_ids.values.to_numpy(zero_copy_only=False)[at].astype("i4", copy=False)
+        ends = np.r_[0, ends][np.r_[0, np.cumsum(n_words)]].astype("i4")
+        digits, bounds = flat.astype(">u4").tobytes(), (4 * ends.astype("i8")).tolist()
+        mods = [int.from_bytes(digits[a:b], "big") % MODULUS for a, b in zip(bounds, bounds[1:])]
+        columns = {"doc_id": doc_ids, "n_tokens": pa.array(np.diff(ends).astype("i8")), "ids_mod": pa.array(mods, pa.int64())}
         if with_ids:
-            ends = np.concatenate([[0], np.cumsum(np.array(sizes, "i8"))]).astype("i4")
-            flat = np.frombuffer(b"".join(ids), ">u4").astype("i4")
-            columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            columns["text_sha256"] = pa.array(shas, pa.string())
+            columns |= {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "text_sha256": pa.array(shas, pa.string())}
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     wanted = texts.select("key", "text").mapInArrow(rare, "key long, word string")
     own = wanted.join(encoded.select("word", "ids"), "word").groupBy("key").agg(F.collect_set(F.struct("word", "ids")).alias("own"))
+    squeezed = texts.mapInArrow(squeeze, "doc_id long, data binary, size long, key long")
     # stored, so that the join can be split at a text with very many copies
     schema = "doc_id long, n_tokens long, ids_mod long" + ", ids array<int>, text_sha256 string" * with_ids
-    return texts.join(stable(own), "key", "left").select("doc_id", "text", "own").mapInArrow(code, schema)
+    return squeezed.join(stable(own), "key", "left").select("doc_id", "data", "size", "own").mapInArrow(code, schema)
 
 
 def decode(ids: Column, model: Model) -> Column:
-    """The text of an array of ids. Null ids give null; bytes that are no sound UTF-8 become U+FFFD."""
-    shown = {i: p.encode().hex() for p, i, _ in model.pieces}
-    shown |= {model.byte_base + b: f"{b:02x}" for b in range(256)}
-    shown |= {model.unknown: " ⁇ ".encode().hex()} | dict.fromkeys(model.special, "")
-    table = F.split(F.lit(",".join(shown.get(i, "") for i in range(max(shown) + 1))), ",")
-    data = F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
-    text = F.make_valid_utf8(data.cast("string"))
-    return F.regexp_replace(text, "^ ", "") if model.dummy_prefix else text
+    """The text of an array of ids. Null ids give null; bytes that are no sound UTF-8 become U+FFFD.
+
+    Pieces and ASCII characters are joined as they are. Only arrays with other bytes are joined as bytes.
+    """
+    shown = {i: p.encode() for p, i, _ in model.pieces}
+    shown |= {model.byte_base + b: bytes([b]) for b in range(256)}
+    shown |= {model.unknown: " ⁇ ".encode()} | dict.fromkeys(model.special, b"")
+    listed = [shown.get(i, b"") for i in range(max(shown) + 1)]
+    # two characters that no piece has: one stands for the bytes, one between the entries
+    free = (chr(c) for c in range(0xE000, 0xF900) if not any(chr(c) in p for p, _, _ in model.pieces))
+    other, between = next(free), next(free)
+    single = range(model.byte_base + 128, model.byte_base + 256)
+    texts = F.split(F.lit(between.join(other if i in single else x.decode() for i, x in enumerate(listed))), between)
+    table = F.split(F.lit(",".join(x.hex() for x in listed)), ",")
+
+    def joined(of: Column) -> Column:
+        return F.array_join(F.transform(ids, lambda i: of[i]), "")
+
+    text = F.transform(
+        F.array(joined(texts)),
+        lambda t: F.when(~F.contains(t, F.lit(other)), t).otherwise(F.make_valid_utf8(F.unhex(joined(table)).cast("string"))),
+    )[0]
+    if model.dummy_prefix:
+        return F.transform(F.array(text), lambda t: F.when(t.startswith(" "), F.substr(t, F.lit(2))).otherwise(t))[0]
+    return text
 
 
 def round_trip(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode: doc_id, n_tokens, ids_mod, ids_crc32 (of the ids in decimal, with commas between), ids,
     decoded_sha256 (of the decoded text) and decoded_equal (whether it is the text that was encoded)."""
     coded = encode(docs, model, id_col, text_col, with_ids=True)
-    crc = F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32")
+    # the quickest way to write numbers with commas between
+    crc = F.crc32(F.btrim(F.to_json("ids"), F.lit("[]")).cast("binary")).alias("ids_crc32")
     back = F.sha2(decode(F.col("ids"), model).cast("binary"), 256).alias("decoded_sha256")
     coded = coded.select("doc_id", "n_tokens", "ids_mod", crc, "ids", back, "text_sha256")
     return coded.withColumn("decoded_equal", F.col("decoded_sha256") == F.col("text_sha256")).drop("text_sha256")

@@ -3,6 +3,7 @@ import itertools
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,45 @@ def test_documents_meet_their_words_once_and_as_text(spark, messy, model):
     # no ids are regrouped by document
     assert plan.count("Join") == 1 and "Aggregate" not in plan
     assert coded.count() == 2 * docs.count()
+
+
+def test_words_of_texts_are_those_of_the_pattern(model):
+    texts = ["", " ", "a", "  two  spaces ", "▁a▁▁b\n\n\tq", "x²½ ñandú,中文!! 😀🤣 é\x00", "don't 123 4.5 C++ __init__", "ё" * 9 + "  "]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice(" aé中😀1,²\n▁") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    coarse = piece_lattice.Model("unigram", model.pieces, 3, 0, (1, 2), False, piece_lattice._COARSE)
+    for m in (model, coarse):
+        kinds = piece_lattice.character_kinds(m)
+        for some in (texts, texts[:1], []):
+            words, sizes = piece_lattice.split_words(pa.array(["x"] + some, pa.string())[1:], kinds, m.dummy_prefix)
+            want = [m.words.findall(" " * m.dummy_prefix + t.replace("▁", " ")) if t else [] for t in some]
+            assert words.to_pylist() == [w for of_text in want for w in of_text]
+            assert sizes.tolist() == [len(w) for w in want]
+
+
+def test_texts_travel_compressed_and_pieces_are_found_by_a_number(spark, messy, model):
+    coded = piece_lattice.encode(messy.select("doc_id", "text"), model, with_ids=True)
+    join = next(x for x in coded._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow code")[1:])
+    assert "MapInArrow squeeze" in join
+    words = spark.createDataFrame([(" hello", 1)], "word string, n long")
+    plan = piece_lattice.ordered_lattice(words, model)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [part_hash" in plan
+
+
+def test_single_characters_are_no_edges_and_keep_their_ids(spark, model):
+    words = ["a", "🤣", "x🤣中é", "\U000f1234", "ééé", "a\U000f1234b", "\n\n", "q" * 64, "中" * 64]
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    rows = piece_lattice.ordered_lattice(df, model).collect()
+    assert sorted(r["word"] for r in rows) == sorted(words)
+    assert all((e["edge"] >> 29) & 127 > 1 for r in rows for e in r["edges"])
+    pieces = {p: (i, s) for p, i, s in model.pieces}
+    found = {r["word"]: r["ids"] for r in piece_lattice.encode_words(df, model).collect()}
+    assert found == {w: piece_lattice.merge_word(w, pieces, model) for w in words}
+
+
+def test_bytes_of_characters_and_broken_ones_are_decoded(spark, model):
+    first = model.byte_base
+    cases = [[], [first + 10], [first + b for b in "é\U000f1234".encode()], [first + 0xC3], [first + 0xC3, first + 10], None]
+    df = spark.createDataFrame([(i, ids) for i, ids in enumerate(cases)], "i int, ids array<int>")
+    found = {r["i"]: r["t"] for r in df.select("i", piece_lattice.decode(F.col("ids"), model).alias("t")).collect()}
+    assert found == {0: "", 1: "\n", 2: "é\U000f1234", 3: "�", 4: "�\n", 5: None}
